@@ -144,6 +144,23 @@ def worker_env() -> None:
         os.environ.setdefault(key, value)
 
 
+def grouped(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
+    """(first column, texts of the second column with "" for null) of batches together up to about `chars` characters."""
+    ids: list = []
+    texts: list[str] = []
+    total = 0
+    for batch in batches:
+        new = [t or "" for t in batch.column(1).to_pylist()]
+        ids += batch.column(0).to_pylist()
+        texts += new
+        total += sum(map(len, new))
+        if total >= chars:
+            yield ids, texts
+            ids, texts, total = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def chunks(items: list, weights: Iterable[int], most: int) -> Iterator[list]:
     """Runs of items whose weights add up to `most` or less, or single items above that."""
     run, total = [], 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable
+from barlane.llm import op01_sstable, op03_sentencepiece
 
 #: op N: (query name, module attribute).
 QUERIES = {
     "op1_sstable": op01_sstable.op1_sstable,
+    "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
 }
 SQL: dict[str, str] = {}
 
