@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op03_sentencepiece
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language
 
 #: op N: (query name, module attribute).
 QUERIES = {
     "op1_sstable": op01_sstable.op1_sstable,
+    "op2_compression": op02_compression.op2_compression,
     "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
+    "op6_language": op06_language.op6_language,
 }
 SQL: dict[str, str] = {}
 
