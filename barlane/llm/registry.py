@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language, op07_quality, op10_toxicity
 
 #: op N: (query name, module attribute).
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_compression": op02_compression.op2_compression,
     "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
     "op6_language": op06_language.op6_language,
+    "op7_quality": op07_quality.op7_quality,
+    "op10_toxicity": op10_toxicity.op10_toxicity,
 }
 SQL: dict[str, str] = {}
 
