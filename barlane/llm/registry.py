@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language, op07_quality, op10_toxicity
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language, op07_quality, op08_chat, op10_toxicity
 
 #: op N: (query name, module attribute).
 QUERIES = {
@@ -11,9 +11,12 @@ QUERIES = {
     "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
     "op6_language": op06_language.op6_language,
     "op7_quality": op07_quality.op7_quality,
+    "op8_chat": op08_chat.op8_chat,
     "op10_toxicity": op10_toxicity.op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_chat": op08_chat.SQL,
+}
 
 
 def queries() -> dict:
