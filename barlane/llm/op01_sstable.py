@@ -45,9 +45,11 @@ BLOOM_PROBES = 7
 #: Bytes of the input's files that one shard takes.
 SHARD_BYTES = 32 << 20
 #: Entries of a worker's word cache, and the longest word it keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 CACHE_CHARS = 40
 READ_ROWS = 1024
+#: Characters of text that are encoded together.
+GROUP_CHARS = 2 << 20
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -284,21 +286,12 @@ class Encoder:
         for w in cut:
             stem, mark = w[:-1], w[-1]
             found[w] = (found[stem] if stem in found else cache[stem]) + (found[mark] if mark in found else cache[mark])
-        if len(cache) < CACHE_WORDS:
-            cache.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
-        get = _Over(found, cache).__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class _Over(dict):
-    """A batch's new words over the cache."""
-
-    def __init__(self, found: dict, cache: dict) -> None:
-        super().__init__(found)
-        self.cache = cache
-
-    def __missing__(self, word: str) -> bytes:
-        return self.cache[word]
+        room = CACHE_WORDS - len(cache)
+        cache.update(found)
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for w in found if room < len(found) else [w for w in found if len(w) > CACHE_CHARS]:
+            del cache[w]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -330,14 +323,12 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
         fs, root = common.filesystem(out_uri)
         path, writer, stream = f"{root}/shard-{shard:07d}.sst", None, None
         part = f"{root}/.shard-{shard:07d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for doc_ids, texts in common.grouped(batches, GROUP_CHARS):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 stream = fs.open_output_stream(part)
                 writer = Writer(stream, enc.width)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.texts(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(doc_ids, enc.texts(texts), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             info = writer.close()
