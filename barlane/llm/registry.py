@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op06_language, op07_quality, op08_chat, op10_toxicity
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op06_language, op07_quality, op08_chat, op10_toxicity
 
 #: op N: (query name, module attribute).
 QUERIES = {
     "op1_sstable": op01_sstable.op1_sstable,
     "op2_compression": op02_compression.op2_compression,
     "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
+    "op4_line_dedup": op04_line_dedup.op4_line_dedup,
     "op6_language": op06_language.op6_language,
     "op7_quality": op07_quality.op7_quality,
     "op8_chat": op08_chat.op8_chat,
     "op10_toxicity": op10_toxicity.op10_toxicity,
 }
 SQL: dict[str, str] = {
+    "op4_line_dedup": op04_line_dedup.SQL,
     "op8_chat": op08_chat.SQL,
 }
 
