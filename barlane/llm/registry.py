@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op06_language, op07_quality, op08_chat, op10_toxicity
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op06_language, op07_quality, op08_chat, op09_decontaminate, op10_toxicity
 
 #: op N: (query name, module attribute).
 QUERIES = {
@@ -13,11 +13,13 @@ QUERIES = {
     "op6_language": op06_language.op6_language,
     "op7_quality": op07_quality.op7_quality,
     "op8_chat": op08_chat.op8_chat,
+    "op9_decontaminate": op09_decontaminate.op9_decontaminate,
     "op10_toxicity": op10_toxicity.op10_toxicity,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": op04_line_dedup.SQL,
     "op8_chat": op08_chat.SQL,
+    "op9_decontaminate": op09_decontaminate.SQL,
 }
 
 
