@@ -87,10 +87,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: its lineage ends there, and it is computed once."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """`df` written to the shared folder and read back: its lineage ends there, and it is computed once.
+
+    batch_rows is the size of Arrow batches meanwhile, for rows that are known to be small.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    usual = conf.get(key)
+    try:
+        if batch_rows:
+            conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(key, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op06_language, op07_quality, op08_chat, op09_decontaminate, op10_toxicity
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op05_jaccard, op06_language, op07_quality, op08_chat, op09_decontaminate, op10_toxicity
 
 #: op N: (query name, module attribute).
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_compression": op02_compression.op2_compression,
     "op3_sentencepiece": op03_sentencepiece.op3_sentencepiece,
     "op4_line_dedup": op04_line_dedup.op4_line_dedup,
+    "op5_jaccard": op05_jaccard.op5_jaccard,
     "op6_language": op06_language.op6_language,
     "op7_quality": op07_quality.op7_quality,
     "op8_chat": op08_chat.op8_chat,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": op04_line_dedup.SQL,
+    "op5_jaccard": op05_jaccard.SQL,
     "op8_chat": op08_chat.SQL,
     "op9_decontaminate": op09_decontaminate.SQL,
 }
