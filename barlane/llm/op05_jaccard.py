@@ -85,11 +85,11 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of three kinds. 0: a document's did, n, f1, f2 (fingerprint), sig (BUCKETS counts) and hashes. 1: a shingle
+    """Rows of three kinds. 0: a document's did, th (hash of its text), n, f1, f2 (fingerprint), sig (BUCKETS counts) and hashes. 1: a shingle
     (f1) that n of the shingles counted together in a task were. 2: a shingle (f1) of a measured list."""
-    schema = "kind byte, did long, n long, f1 long, f2 long, sig binary, hashes binary"
+    schema = "kind byte, did long, th long, n long, f1 long, f2 long, sig binary, hashes binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int8(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+    kinds = [pa.int8(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
 
     def rows_of(kind: int, **cols) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
@@ -121,7 +121,7 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 start = s[: rule.prefix(len(s))]
                 measured.append(start[(start >> _U(6)) % _U(MEASURED) == 0])
             f = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-            yield rows_of(0, did=ids, n=n, f1=f[:, 0], f2=f[:, 1], sig=sig, hashes=packed)
+            yield rows_of(0, did=[i["did"] for i in ids], th=[i["th"] for i in ids], n=n, f1=f[:, 0], f2=f[:, 1], sig=sig, hashes=packed)
             measured = np.concatenate(measured)
             if len(measured):
                 yield rows_of(2, f1=measured.view(np.int64))
@@ -131,7 +131,7 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
         if seen:
             yield counted()
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("did"), "text"), run, schema)
+    return common.map_arrow(docs.select(F.struct(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("th")), "text"), run, schema)
 
 
 def boundary(sizes: list[tuple[int, int]], scan: float, rule: Rule) -> int:
@@ -412,7 +412,7 @@ def one_each(sets: DataFrame, table: np.ndarray) -> DataFrame:
 
 @dataclass(frozen=True)
 class Joined:
-    """What a join found: one row a document (did, n, f1), the classes of equal sets, and the components of classes."""
+    """What a join found: one row a document (did, th, n, f1), the classes of equal sets, and the components of classes."""
 
     documents: DataFrame
     labels: DataFrame
@@ -443,16 +443,17 @@ def join(docs: DataFrame, rule: Rule) -> Joined:
         found = common.written(verified(pairs, sets, rule), "links")
         links = found if links is None else links.unionAll(found)
         labels = components(links)
-    return Joined(sets.select("did", "n", "f1"), labels, links, light)
+    return Joined(sets.select("did", "th", "n", "f1"), labels, links, light)
 
 
 def classes(joined: Joined) -> DataFrame:
-    """did, n, f1, component: per document the smallest did of its component. Documents without shingles have no component."""
+    """did, th, n, f1, label, component: per document a name of its component and the smallest did in it. Documents
+    without shingles have no component."""
     least = joined.documents.where("n > 0").groupBy("f1").agg(F.min("did").alias("least"))
     named = least.join(joined.labels, F.col("f1") == F.col("node"), "left").select("f1", "least", F.coalesce("label", "f1").alias("label"))
     named = common.written(named, "classes")
     whole = named.groupBy("label").agg(F.min("least").alias("component"))
-    return joined.documents.join(named.join(whole, "label").select("f1", "component"), "f1", "left")
+    return joined.documents.join(named.join(whole, "label").select("f1", "label", "component"), "f1", "left")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -466,6 +467,26 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     return got.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their component: one row of each component, which
+    has its smallest doc_id.
+
+    Documents without shingles all stay. Among rows of a component that repeat its smallest doc_id, the text with the
+    smallest hash stays, and of rows with equal texts one. A null doc_id stands for a component of such rows only.
+    """
+    got = classes(join(docs, rule)).where("n > 0").withColumn("first", F.col("did").eqNullSafe(F.col("component")))
+    best = got.where("first").groupBy("label").agg(F.min("th").alias("best"))
+    got = common.written(got.join(best, "label").select(common.fold(F.col("did")).alias("__did"), F.col("th").alias("__th"), (F.col("first") & (F.col("th") == F.col("best"))).alias("stays")), "stays")
+    lose = got.where("NOT stays").select("__did", "__th").distinct()
+    again = got.where("stays").groupBy("__did", "__th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__did", "__th")
+    match = lambda rows: (common.fold(rows["doc_id"]) == F.col("__did")) & (F.xxhash64(rows["text"]) == F.col("__th"))
+    kept = docs.join(lose, match(docs), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, match(kept), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, match(kept), "left_anti").unionByName(once)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: all documents, 3-word shingles, similarity 0.9."""
     return near_duplicates(common.load(spark, sf_dir, "documents"), Rule(3, 90, 100))
