@@ -1,9 +1,14 @@
 """Name -> query and name -> SQL for the forecast-evaluation operators."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from barlane.plans import oracle
+from barlane.plans import queries as _queries
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(_queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.SQL)
