@@ -122,8 +122,12 @@ def _z(c: str) -> str:
     return f"({c} - avg({c}) OVER w) / (CASE WHEN stddev_pop({c}) OVER w = 0 THEN 1 ELSE stddev_pop({c}) OVER w END)"
 
 
-def _rounded(*names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in names)
+def _rounded(*names: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in names)
+
+
+def _nudged(*names: str) -> str:
+    return ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in names)
 
 
 SCALED = f"{FEATURES}, scaled AS (SELECT series_id, start, pos, close, volume, {_z('log_ret')} AS log_ret, {_z('vol_delta')} AS vol_delta, rolling_vol FROM features WINDOW w AS (PARTITION BY series_id, start))"
@@ -191,7 +195,7 @@ FROM long GROUP BY series_id, start""",
     "vol_delta": _with(FEATURES, f"{AT}{_rounded('vol_delta')} FROM features"),
     "rolling_vol": _with(FEATURES, f"{AT}{_rounded('rolling_vol')} FROM features"),
     "basic_features": _with(FEATURES, f"{AT}{_rounded(*FIVE)} FROM features"),
-    "vwap": _with(VWAP, f"{AT}{_rounded('close', 'volume', 'vwap', digits=4)} FROM vwaps"),
+    "vwap": _with(VWAP, f"{AT}{_nudged('close', 'volume', 'vwap')} FROM vwaps"),
     "zscore": _with(f"{LONG}, z AS (SELECT series_id, start, pos, {_z('close')} AS close, {_z('volume')} AS volume FROM input WINDOW w AS (PARTITION BY series_id, start))", f"{AT}{_rounded('close', 'volume')} FROM z"),
     "zscore_inverse": _with(LONG, f"{AT}{_rounded('close', 'volume')} FROM input"),
     "feature_pipeline": _with(SCALED, f"{AT}{_rounded(*FIVE)} FROM scaled"),

@@ -17,6 +17,11 @@ def r(c, digits: int = 8, name: str | None = None):
     return F.round(F.col(c), digits).alias(name or c)
 
 
+def nudged(c, digits: int = 4):
+    """Rounded, with exact halves always up: ratios of prices often end in one, and engines differ by their last bit."""
+    return F.round(F.col(c) + 1e-7, digits).alias(c)
+
+
 def _returns(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     t = fixtures.tables(spark, sf_dir)
     return returns.joined_returns(t.y_true, t.y_pred, t.x_test, mode)
@@ -129,10 +134,10 @@ def _long(spark, sf_dir):
 KEYED = ("series_id", "start")
 
 
-def _features(*names: str, transform, digits: int = 6):
+def _features(*names: str, transform, rounded=lambda c: r(c, 6)):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = transform(_long(spark, sf_dir))
-        return out.select(*KEYED, F.col("pos").cast("int").alias("pos"), *(r(c, digits) for c in names))
+        return out.select(*KEYED, F.col("pos").cast("int").alias("pos"), *(rounded(c) for c in names))
 
     return query
 
@@ -291,7 +296,7 @@ QUERIES = {
     "vol_delta": _features("vol_delta", transform=basic.apply),
     "rolling_vol": _features("rolling_vol", transform=basic.apply),
     "basic_features": _features(*features.FEATURES, transform=basic.apply),
-    "vwap": _features("close", "volume", "vwap", transform=features.VwapFeatures(noise_std=0.0).apply, digits=4),
+    "vwap": _features("close", "volume", "vwap", transform=features.VwapFeatures(noise_std=0.0).apply, rounded=nudged),
     "zscore": _features("close", "volume", transform=features.Standardise(["close", "volume"]).apply),
     "zscore_inverse": _features("close", "volume", transform=lambda d: features.Standardise(["close", "volume"]).invert(features.Standardise(["close", "volume"]).apply(d))),
     "feature_pipeline": _features(*features.FEATURES, transform=chain.apply),

@@ -1,0 +1,152 @@
+"""Metrics against plain restatements of their formulas, and their degenerate cases."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from barlane.operators import metrics, returns, strategies
+
+DAY = dt.datetime(2024, 1, 1)
+
+
+def at(i):
+    return DAY + dt.timedelta(minutes=i)
+
+
+def joined(spark, groups):
+    rows = [(at(i), None if p is None else float(p), None if r is None else float(r)) for i, g in enumerate(groups) for p, r in g]
+    return spark.createDataFrame(rows, "event_datetime timestamp_ntz, pred_ret double, true_ret double")
+
+
+def table(spark, groups):
+    return {r["event_datetime"]: r for r in strategies.portfolio_table(joined(spark, groups)).collect()}
+
+
+def series(spark, rets, name="CSM"):
+    return spark.createDataFrame([(at(i), name, float(r)) for i, r in enumerate(rets)], "event_datetime timestamp_ntz, strategy string, ret double")
+
+
+def brute(group):
+    p, r = np.array(group, float).T
+    lo, mid, hi = np.quantile(p, [0.1, 0.8, 0.9])
+    w = np.maximum(p, 0)
+    return (
+        r[p >= hi].mean() - r[p <= lo].mean() if len(p) >= 20 else 0.0,
+        r[p >= mid].mean() if len(p) >= 5 else 0.0,
+        (w * r).sum() / w.sum() if w.sum() > 0 else 0.0,
+    )
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 19, 20, 57])
+def test_strategies_match_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    group = [(round(p, 1), r) for p, r in rng.normal(size=(n, 2))]
+    got = table(spark, [group])[at(0)]
+    np.testing.assert_allclose([got["CSM"], got["LOTQ"], got["PW"]], brute(group), atol=1e-12)
+
+
+def test_small_cross_sections_are_left_out(spark):
+    assert table(spark, [[(1, 1), (2, 2)], [(1, 1), (2, 2), (3, 3)]]).keys() == {at(1)}
+
+
+def test_missing_sides_and_signs(spark):
+    ok = [(i, i) for i in range(25)]
+    got = table(spark, [[(None, 1.0), *ok], [(3.0, None), *ok], [(-1, 5)] * 25, [(2, i) for i in range(25)]])
+    assert (got[at(0)]["CSM"], got[at(0)]["LOTQ"], got[at(0)]["PW"]) == (0.0, 0.0, 0.0)
+    assert got[at(1)]["CSM"] != 0.0 and got[at(1)]["PW"] == 0.0
+    assert got[at(2)]["PW"] == 0.0
+    assert got[at(3)]["CSM"] == 0.0 and got[at(3)]["LOTQ"] == 12.0
+
+
+def test_ic_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    groups = [[(round(p, 1), round(r, 1)) for p, r in rng.normal(size=(n, 2))] for n in (3, 12, 40)]
+    groups += [[(1, 1), (1, 2), (1, 3)], [(1, 1), (2, 2)], [(None, 4), (1, 1), (2, 3), (3, 2)]]
+    got = {r["event_datetime"]: r["ic"] for r in metrics.ic_by_timestamp(joined(spark, groups)).collect()}
+    want = {}
+    for i, g in enumerate(groups):
+        d = pd.DataFrame(g, columns=["p", "r"], dtype=float)
+        if len(d) >= 3:
+            d = d.dropna().rank()
+            c = d["p"].corr(d["r"]) if d["p"].nunique() > 1 and d["r"].nunique() > 1 else np.nan
+            if np.isfinite(c):
+                want[at(i)] = c
+    assert got.keys() == want.keys()
+    for k in want:
+        assert math.isclose(got[k], want[k], abs_tol=1e-12)
+    row = metrics.ic_ir(metrics.ic_by_timestamp(joined(spark, groups))).first()
+    v = np.array(list(want.values()))
+    assert math.isclose(row["ic"], v.mean(), abs_tol=1e-12) and math.isclose(row["ir"], v.mean() / (v.std() + 1e-12), rel_tol=1e-9)
+
+
+def test_no_ic(spark):
+    row = metrics.ic_ir(metrics.ic_by_timestamp(joined(spark, [[(1, 1)] * 4]))).first()
+    assert (row["ic"], row["ir"]) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("rets", [[-0.5, 0.1, 0.2], [0.1, -1.5, 0.3, 0.2], [0.0, 0.0], [0.02, -0.01, 0.05, -0.2, 0.1, 0.03]])
+def test_risk_matches_numpy(spark, rets):
+    a = np.array(rets)
+    equity = np.cumprod(1 + a)
+    peak = np.maximum.accumulate(equity)
+    var = np.percentile(a, 5)
+    want = {"sharpe": a.mean() / (a.std() + 1e-12), "mdd": ((peak - equity) / (peak + 1e-12)).max(), "var": var, "es": a[a <= var].mean()}
+    got = {r["strategy"]: r for r in metrics.risk(series(spark, rets)).collect()}
+    for k, v in want.items():
+        assert math.isclose(got["CSM"][k], v, rel_tol=1e-9, abs_tol=1e-12)
+        assert got["PW"][k] == 0.0  # an empty series
+
+
+def frames(spark, n_windows=30, history=60, offset=0):
+    rng = np.random.default_rng(1)
+    prices = rng.uniform(5, 9, (n_windows, history + 10))
+    x = spark.createDataFrame([(w, t, float(prices[w, t]), 1.0) for w in range(n_windows) for t in range(history)], "window_id long, time_step int, close double, volume double")
+    y = spark.createDataFrame([(w, t + offset, float(prices[w, history + t]), at(t)) for w in range(n_windows) for t in range(10)], "window_id long, time_step int, close double, event_datetime timestamp_ntz")
+    p = spark.createDataFrame([(w, t + offset, float(prices[w, history + t] * rng.uniform(0.9, 1.1))) for w in range(n_windows) for t in range(10)], "window_id long, time_step int, pred_close double")
+    return y, p, x
+
+
+def test_base_modes(spark):
+    y, p, x = frames(spark)
+    assert returns.joined_returns(y, p, x, "literal").count() == 30 * 37
+    assert returns.joined_returns(y, p, x, "contiguous").count() == 30 * 10
+    y2, p2, x2 = frames(spark, offset=60)
+    assert returns.joined_returns(y2, p2, x2, "literal").count() == 30 * 10
+    first = returns.returns_base(y, p, x, "contiguous").true.where("window_id = 3 AND time_step = 0").first()
+    assert first["prev_price"] == x.where("window_id = 3 AND time_step = 59").first()["close"]
+    with pytest.raises(ValueError):
+        returns.previous_prices(y, x, "other")
+
+
+def test_evaluate_without_time_or_overlap(spark):
+    y, p, x = frames(spark, 4)
+    row = metrics.evaluate_all_metrics(y.drop("event_datetime"), p, x).first()
+    assert row["MSE"] > 0 and [row[m] for m in metrics.METRICS[2:]] == [0.0] * 6
+    nothing = metrics.evaluate_all_metrics(y, p.withColumn("window_id", F.col("window_id") + 100), x).first()
+    assert nothing["MSE"] is None and nothing["IC"] == 0.0 and nothing["VaR"] == 0.0
+
+
+def test_nan_is_skipped_in_errors(spark):
+    y, p, x = frames(spark, 2)
+    p = p.withColumn("pred_close", F.when((F.col("window_id") == 0) & (F.col("time_step") == 0), float("nan")).otherwise(F.col("pred_close")))
+    assert np.isfinite(metrics.mse(y, p).first()["mse"])
+
+
+def test_times_as_strings(spark):
+    groups = joined(spark, [[(1, 1), (2, 2), (3, 1)]] * 2).withColumn("event_datetime", F.when(F.minute("event_datetime") == 0, F.lit("bad")).otherwise(F.col("event_datetime").cast("string")))
+    assert strategies.portfolio_table(groups).count() == 1
+
+
+def test_run_strategy(spark):
+    y, p, x = frames(spark)
+    a = {r["event_datetime"]: r["ret"] for r in strategies.run_strategy("proportional", y, p, x).collect()}
+    b = {r["event_datetime"]: r["ret"] for r in strategies.run_strategy("PW", y, p, x).collect()}
+    assert a == pytest.approx(b) and len(a) == 10
+    with pytest.raises(ValueError):
+        strategies.run_strategy("none", y, p, x)
+    tails = strategies.run_strategy("csm", y, p, x, top_decile=0.2)
+    assert tails.count() == 10
