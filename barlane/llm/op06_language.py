@@ -132,7 +132,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     give rows of their own; an empty table gives none.
     """
     langs = list(prototypes)
-    unit = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-30) for x in langs], np.float32).reshape(len(langs), -1)
+    unit = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-30) for x in langs], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space()
