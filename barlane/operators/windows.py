@@ -80,13 +80,23 @@ def window_count(df: DataFrame, rolling: bool = True, step_size: int | None = 1,
     return sizes.agg(F.coalesce(F.sum(F.when(n >= window, each)), F.lit(0)).alias("n_windows"))
 
 
+def _first_numbers(sizes: DataFrame) -> DataFrame:
+    """series_id, __first: the rows of all series before each, from (series_id, __size). Series are added up in groups
+    of neighbouring ids, and only the groups' sums in one task."""
+    grouped = sizes.withColumn("__group", F.floor(F.col("series_id") / BLOCK))
+    before = lambda w: F.coalesce(F.sum("__size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("__group").agg(F.sum("__size").alias("__size")).select("__group", before(W.orderBy("__group")).alias("__start"))
+    inside = grouped.withColumn("__in", before(W.partitionBy("__group").orderBy("series_id")))
+    return inside.join(groups, "__group").select("series_id", (F.col("__start") + F.col("__in")).alias("__first"))
+
+
 def sample_index(windows: DataFrame) -> DataFrame:
     """`windows` with a dense `sample_idx` by series and start. Numbers in a series and the series' first numbers are
     made apart, so no task orders all windows."""
     inside = F.row_number().over(W.partitionBy("series_id").orderBy("start")) - 1
     sizes = windows.groupBy("series_id").agg(F.count(F.lit(1)).alias("__size"))
-    first = F.coalesce(F.sum("__size").over(W.orderBy("series_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return windows.withColumn("__in", inside).join(sizes.select("series_id", first.alias("__first")), "series_id").withColumn("sample_idx", F.col("__first") + F.col("__in")).drop("__in", "__first")
+    numbered = windows.withColumn("__in", inside).join(_first_numbers(sizes), "series_id")
+    return numbered.withColumn("sample_idx", F.col("__first") + F.col("__in")).drop("__in", "__first")
 
 
 def sample_cap(windows: DataFrame, most: int) -> DataFrame:
