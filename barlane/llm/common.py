@@ -12,6 +12,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -82,9 +83,34 @@ def shared_dir(spark: SparkSession) -> str:
     return uri.rstrip("/")
 
 
+_space: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; whoever asks for it writes it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in the workspace that is open; whoever asks for it writes it."""
+    return f"{_space.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A folder for what an operator writes on its way, which goes at the end. Yields a function that writes a result
+    outside of it, to stay; anything else that was read from it can't be read afterwards."""
+    path = scratch(spark, name)
+    token = _space.set(path)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _space.set(None)
+        try:
+            return written(df, name)
+        finally:
+            _space.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _space.reset(token)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:

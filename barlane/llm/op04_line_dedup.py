@@ -246,11 +246,12 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     all returned. An empty table gives none.
     """
     name = "line_dedup"
-    lines = common.written(hashed_lines(docs, least_chars), "line-hashes")
-    n_shards = max(1, -(-lines.count() // SHARD_KEYS))
-    index = common.written(build_index(lines, n_shards), "line-index")
-    drops = probe(lines, index, n_shards, least_docs).distinct()
-    drops = drops.groupBy("did", "th").agg(F.flatten(F.collect_list("lines")).alias("__drop"))
+    with common.workspace(docs.sparkSession, "line-dedup") as keep:
+        lines = common.written(hashed_lines(docs, least_chars), "hashes")
+        n_shards = max(1, -(-lines.count() // SHARD_KEYS))
+        index = common.written(build_index(lines, n_shards), "index")
+        drops = probe(lines, index, n_shards, least_docs).distinct()
+        drops = keep(drops.groupBy("did", "th").agg(F.flatten(F.collect_list("lines")).alias("__drop")), "line-drops")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"))
     joined = keyed.join(drops, ["did", "th"], "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
