@@ -13,7 +13,8 @@ Footer (fixed length, at the end): offsets, lengths and counts of all these, a c
 
 `get` reads the footer, asks the Bloom filter, bisects the index for one block and bisects its restart points.
 
-Documents are dealt to shards by range of (doc_id, hash of text), so one doc_id that repeats very often still spreads.
+Documents are dealt to shards by range of (doc_id, hash of text, number of the row), so one doc_id that repeats very
+often still spreads, and so does one row.
 Each task sorts its range, encodes and writes block by block; only the block, the sparse index and the keys' hashes
 stay in memory. A file gets its final name by a rename after it is whole, so a lost executor's task just runs again.
 """
@@ -314,7 +315,8 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
     """
     n = n_shards or common.parts_for(docs, SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "k": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h", "k").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h", "k")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()

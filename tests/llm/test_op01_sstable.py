@@ -38,8 +38,9 @@ def test_round_trip(spark, docs, doc_rows, tokenizer, shards):
     assert op.lookup(out, paths, 31) is None
 
 
-def test_hot_doc_id_spreads(spark, make_docs):
-    rows = [(7, f"text {i}") for i in range(200)] + [(8, "z")]
+@pytest.mark.parametrize("same", [False, True])
+def test_hot_doc_id_spreads(spark, make_docs, same):
+    rows = [(7, "text" if same else f"text {i}") for i in range(200)] + [(8, "z")]
     out = common.scratch(spark, "t1")
     manifest = op.write_shards(make_docs(rows).repartition(8), out, PATH, 1, 4)
     assert manifest.count() > 2
