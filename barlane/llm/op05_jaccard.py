@@ -4,22 +4,23 @@ A document's set is its distinct word shingles; two documents link when the Jacc
 threshold. Equal sets are one node, by a 128-bit fingerprint, so copies cost nothing further.
 
 Order. Shingles are ordered rarest first: those that many documents hold (found by counting in every task, all
-documents) come last, by their count; the others come in the order of their hashes. Two sets that link share at least
+documents) come last, by their count; the others by the length of their words, longest first, then by hash. Two sets that link share at least
 c shingles among the first n - ceil(threshold * n) + c of each.
 
 Light sets, of `boundary` shingles or fewer, enumerate all pairs (fixed-size subsets, c = 2) of that prefix; light sets
 that link share such a pair. Heavy sets, and light ones near enough in size to link with them, go to the inverted lists
-of their prefix's shingles (c = 1). The boundary is the one for which subsets to write cost no more than lists to write
-and scan, by the sizes of all sets and the lengths of a hashed part of the lists.
-
-Lists. Sets in the same list are candidates. Equal lists count once. No list is expanded to all its pairs: the tool
-keeps for each set 64 counts of its shingles by hash, and the sum of their differences is a lower bound of how many
-shingles two sets do not share, which rules out most candidates without their sets. In rounds, each set of a list picks
-its nearest candidates outside its component, these are verified on the sets, and components grow. The last round
-takes all that are left across components, so every link that could join two components has been looked at. A list of
-more than PART sets is scanned by several tasks, each for some of its sets against all.
-
-Exactness: shingles are 48-bit hashes within verified pairs, and sets are told apart by 64 bits of the fingerprint,
+of their prefix's shingles (c = 1). The boundary is the one with the least cost of writing and scanning
+both kinds of lists, by the sizes of all sets and the lengths of a hashed part of the lists of each kind.
+
+Lists. Sets in the same list are candidates. Equal lists count once. No list is expanded to all its pairs: for each set
+there are counts of its shingles by hash, a count for about ten shingles, and the sum of their differences is a lower
+bound of how many shingles two sets do not share, which rules out nearly all unlike candidates without their sets. The pairs that are
+left are verified on the sets. A list with more of them than DENSE for each of its sets is a group of near copies:
+there each set picks its nearest candidate first, and once components are known its nearest few outside its own. The
+last round takes all that are left across components, so every link that could join two components has been looked
+at. A list of more than PART sets is scanned by several tasks, each for some of its sets against all.
+
+Exactness: shingles are 48-bit numbers (42 of a hash, 6 of the length) within verified pairs, and sets are told apart by 64 bits of the fingerprint,
 whose collisions are detected by the other 64.
 """
 
@@ -38,18 +39,25 @@ from barlane.llm.components import components
 
 GROUP_CHARS = 2 << 20
 #: Shingles counted together in a task, and how many of them must be equal to be reported as frequent.
-COUNTED = 4 << 20
-REPORTED = 12
-#: Frequent shingles that are put last in the order, at most; they go to every task (1 MB).
-FREQUENT = 1 << 16
-BUCKETS = 64
-#: One list in so many is measured for the cost of scanning.
+COUNTED = 1 << 20
+REPORTED = 3
+#: Frequent shingles that are put last in the order, at most; they go to every task (8 MB).
+FREQUENT = 1 << 20
+#: Least and most buckets of a set's counts, which are a power of two of about a tenth of its shingles.
+BUCKETS = (64, 8192)
+#: One list in so many, by the hash of its key, is measured for the cost of scanning.
 MEASURED = 64
+#: Subsets of a set up to which it can be light.
+MOST_SUBSETS = 15
+#: What a candidate met while scanning costs, in list entries written: its counts move and are compared (190 bytes to 24).
+SCAN_COST = 8
 #: Sets of a list that one task takes as picking ones.
 PART = 2048
-#: Candidates that a set picks in each round; None: all.
+#: Candidates for each set of a list above which the list is dense.
+DENSE = 4
+#: Candidates that a set of a dense list picks in each round; None: all.
 ROUNDS = (1, 4, None)
-NUMERIC_ROWS = 20_000
+NUMERIC_ROWS = 2000
 _U = np.uint64
 
 
@@ -74,7 +82,7 @@ class Rule:
 
 
 def pack(h: np.ndarray) -> bytes:
-    """48-bit hashes as 6 bytes each."""
+    """48-bit numbers as 6 bytes each."""
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -84,9 +92,14 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def buckets(n: int) -> int:
+    """How many counts a set of n shingles has."""
+    return min(BUCKETS[1], max(BUCKETS[0], 1 << (n // 10).bit_length()))
+
+
 def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of three kinds. 0: a document's did, th (hash of its text), n, f1, f2 (fingerprint), sig (BUCKETS counts) and hashes. 1: a shingle
-    (f1) that n of the shingles counted together in a task were. 2: a shingle (f1) of a measured list."""
+    """Rows of two kinds. 0: a document's did, th (hash of its text), n, f1, f2 (fingerprint), sig (counts by bucket) and hashes. 1: a shingle
+    (f1) that n of the shingles counted together in a task were."""
     schema = "kind byte, did long, th long, n long, f1 long, f2 long, sig binary, hashes binary"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int8(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
@@ -108,23 +121,20 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
             return rows_of(1, f1=values[often].view(np.int64), n=counts[often])
 
         for ids, texts in common.grouped(batches, GROUP_CHARS):
-            n, f, sig, packed, measured = [], [], [], [], []
-            for h in hasher.words([shingles.words(t) for t in texts]):
-                s = shingles.shingle_set(h, rule.size)
+            n, f, sig, packed = [], [], [], []
+            listed = [shingles.words(t) for t in texts]
+            for ws, h in zip(listed, hasher.words(listed), strict=True):
+                s = shingles.rare_first(ws, h, rule.size)
                 n.append(len(s))
                 f.append(xxhash.xxh3_128_digest(s.tobytes()))
                 s >>= _U(16)
-                sig.append(np.minimum(np.bincount((s % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                b = buckets(len(s))
+                sig.append(np.minimum(np.bincount((s % _U(b)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes())
                 packed.append(pack(s))
                 seen.append(s)
                 total += len(s)
-                start = s[: rule.prefix(len(s))]
-                measured.append(start[(start >> _U(6)) % _U(MEASURED) == 0])
             f = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
             yield rows_of(0, did=[i["did"] for i in ids], th=[i["th"] for i in ids], n=n, f1=f[:, 0], f2=f[:, 1], sig=sig, hashes=packed)
-            measured = np.concatenate(measured)
-            if len(measured):
-                yield rows_of(2, f1=measured.view(np.int64))
             if total >= COUNTED:
                 yield counted()
                 seen, total = [], 0
@@ -134,28 +144,34 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return common.map_arrow(docs.select(F.struct(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("th")), "text"), run, schema)
 
 
-def boundary(sizes: list[tuple[int, int]], scan: float, rule: Rule) -> int:
-    """The size up to which sets enumerate subsets, from (size, sets) pairs and the list entries to scan for each entry written."""
-    if not sizes:
-        return 0
-    largest = max(n for n, _ in sizes)
-    small = lambda n: rule.prefix(n, 2) * (rule.prefix(n, 2) - 1) / 2
-    large = lambda n: rule.prefix(n) * (1 + scan)
+def subsets(n: int, rule: Rule) -> int:
+    """How many subsets a set of n shingles enumerates."""
+    return rule.prefix(n, 2) * (rule.prefix(n, 2) - 1) // 2
+
+
+def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float, rule: Rule) -> int:
+    """The size up to which sets enumerate subsets, from (size, sets) pairs and what scanning costs for each entry of
+    the two kinds of lists, in entries written."""
     by_size = sorted(sizes)
-    lights = np.cumsum([k * small(n) for n, k in by_size])
-    heavies = np.cumsum([k * large(n) for n, k in by_size])
+    if not by_size:
+        return 0
     at = [n for n, _ in by_size]
+    lights = np.cumsum([k * subsets(n, rule) * (1 + light_scan) for n, k in by_size])
+    heavies = np.cumsum([k * rule.prefix(n) * (1 + heavy_scan) for n, k in by_size])
     best, least = 0, heavies[-1]
     for i, x in enumerate(at):
-        from_ = np.searchsorted(at, x * rule.num / rule.den, side="left") if x < largest else len(at)
-        cost = lights[i] + heavies[-1] - (heavies[from_ - 1] if from_ else 0)
+        if subsets(x, rule) > MOST_SUBSETS:
+            break
+        first = int(np.searchsorted(at, x * rule.num / rule.den, side="right")) if x < at[-1] else len(at)
+        cost = lights[i] + heavies[-1] - (heavies[first - 1] if first else 0)
         if cost < least:
             best, least = x, cost
     return best
 
 
-def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule) -> DataFrame:
-    """key, f1, n: the lists that each distinct set of a task goes to. `frequent` has shingles by ascending count."""
+def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule, measure: bool = False) -> DataFrame:
+    """key, f1, n: the lists that each distinct set of a task goes to. `frequent` has shingles by ascending count. To
+    measure, sets go to both kinds of lists (keys of the light kind have the highest bit set), but only to some of them."""
     order = np.argsort(frequent)
     ascending = frequent[order]
 
@@ -175,12 +191,14 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule)
                     if often.any():
                         s = np.concatenate([s[~often], frequent[np.sort(order[place[often]])]])
                 mine = []
-                if n <= light:
+                if n <= light or measure and subsets(n, rule) <= MOST_SUBSETS:
                     p = s[: rule.prefix(n, 2)]
                     i, j = np.triu_indices(len(p), 1)
                     mine.append(pairs_key(p[i], p[j]))
-                if n * rule.den > light * rule.num:
+                if n * rule.den > light * rule.num or measure:
                     mine.append(s[: rule.prefix(n)])
+                if measure:
+                    mine = [k[(k >> _U(7)) % _U(MEASURED) == 0] for k in mine]
                 keys += mine
                 size = sum(map(len, mine))
                 f1s.append(f1)
@@ -210,15 +228,21 @@ def lists(entries: DataFrame, rule: Rule) -> DataFrame:
 
         def close() -> None:
             f1, at = np.unique(np.concatenate(nodes), return_index=True)
-            n = np.sort(np.concatenate(sizes)[at])
-            if len(f1) > 1 and (n[:-1] * rule.den >= n[1:] * rule.num).any():
-                digest = f1.tobytes()
+            n = np.concatenate(sizes)[at]
+            by_size = np.argsort(n, kind="stable")
+            n = n[by_size]
+            # no set can link across a gap in sizes, so a list ends there
+            for part in np.split(by_size, np.flatnonzero(n[:-1] * rule.den < n[1:] * rule.num) + 1):
+                if len(part) < 2:
+                    continue
+                members = f1[np.sort(part)]
+                digest = members.tobytes()
                 if len(digest) <= 64:
                     if digest in done:
-                        return
+                        continue
                     if len(done) < 500_000:
                         done.add(digest)
-                found.append(f1)
+                found.append(members)
 
         for batch in batches:
             if not batch.num_rows:
@@ -262,35 +286,69 @@ def memberships(rows: DataFrame) -> DataFrame:
     return common.map_arrow(rows, run, "list long, parts long, f1 long")
 
 
-def nearest(n: np.ndarray, sig: np.ndarray, comp: np.ndarray, f1: np.ndarray, mine: np.ndarray, most: int | None, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) with a < b: for each of the sets `mine` of a list its `most` nearest candidates outside its component."""
-    a, b = [], []
-    for at in range(0, len(mine), 64):
-        rows = mine[at : at + 64]
-        apart = np.abs(sig[rows][:, None, :] - sig[None, :, :]).sum(2, dtype=np.int64)
+def apart_at_least(sig: list[np.ndarray], rows: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each of `rows` and each set of a list a lower bound of the shingles they do not share. Counts of unequal
+    length are compared at the shorter one's, to which the longer ones fold. Pairs whose sizes rule them out (limit
+    below 0) are left at the largest number."""
+    out = np.full((len(rows), len(sig)), 2**40, np.int64)
+    level = np.array([len(x) for x in sig])
+    for b in np.unique(level).tolist():
+        which = np.flatnonzero((level == b) | (level == 2 * b))
+        at = np.flatnonzero(np.isin(rows, which))
+        if not len(at):
+            continue
+        same = np.stack([sig[k] if level[k] == b else sig[k][:b] + sig[k][b:] for k in which.tolist()])
+        place = np.searchsorted(which, rows[at])
+        step = max(1, (8 << 20) // (b * len(which)))
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            apart = np.abs(same[place[k : k + step]][:, None, :] - same[None, :, :]).sum(2, dtype=np.int64)
+            lower = np.minimum(level[rows[some]][:, None], level[which][None, :]) == b
+            grid = np.ix_(some, which)
+            out[grid] = np.where(lower & (limit[grid] >= 0), apart, out[grid])
+    return out
+
+
+def nearest(n: np.ndarray, sig: list[np.ndarray], comp: np.ndarray, f1: np.ndarray, mine: np.ndarray, most: int | None, rule: Rule, sparse: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b) with a < b: for each of the sets `mine` of a list its `most` nearest candidates outside its component; all
+    of them if they are no more than `sparse`. And whether any were left out."""
+    a, b, all_a, all_b, total = [], [], [], [], 0
+    for at in range(0, len(mine), 256):
+        rows = mine[at : at + 256]
         low, high = np.minimum(n[rows][:, None], n[None, :]), np.maximum(n[rows][:, None], n[None, :])
-        ok = (comp[rows][:, None] != comp[None, :]) & (low * rule.den >= high * rule.num) & (apart <= rule.most_apart(low + high))
+        limit = np.where((comp[rows][:, None] != comp[None, :]) & (low * rule.den >= high * rule.num), rule.most_apart(low + high), -1)
+        if (limit < 0).all():
+            continue
+        apart = apart_at_least(sig, rows, limit)
+        ok = apart <= limit
         if not ok.any():
             continue
-        if most is not None and most < len(n):
+        if most is None or total <= sparse:
+            r, c = np.nonzero(ok)
+            total += len(r)
+            all_a.append(f1[rows[r]])
+            all_b.append(f1[c])
+        else:
+            total += int(ok.sum())
+        if most is not None:
             cost = np.where(ok, apart, 2**40)
             pick = np.argsort(cost, axis=1, kind="stable")[:, :most] if most > 1 else cost.argmin(1)[:, None]
             r = np.repeat(np.arange(len(rows)), pick.shape[1])
             c = pick.ravel()
             good = ok[r, c]
-            r, c = r[good], c[good]
-        else:
-            r, c = np.nonzero(ok)
-        x, y = f1[rows[r]], f1[c]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
+            a.append(f1[rows[r[good]]])
+            b.append(f1[c[good]])
+    dense = most is not None and total > sparse
+    x, y = (a, b) if dense else (all_a, all_b)
+    if not x:
+        return np.empty(0, np.int64), np.empty(0, np.int64), False
+    x, y = np.concatenate(x), np.concatenate(y)
+    return np.minimum(x, y), np.maximum(x, y), dense
 
 
 def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, most: int | None, rule: Rule) -> DataFrame:
-    """a, b: the pairs that a round verifies. Lists within one component are left out first."""
+    """a, b, dense: the pairs that a round verifies; and lists (in a, with dense set) of which pairs are left for the
+    next round. Lists within one component are left out first."""
     if labels is None:
         rows = members.withColumn("comp", F.col("f1"))
     else:
@@ -303,33 +361,38 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        out_a, out_b = [], []
+        out_a, out_b, left = [], [], set()
 
         def close() -> None:
-            f1, n, comp, parts, sig = (np.concatenate([h[i] for h in held]) for i in range(5))
+            f1, n, comp, parts = (np.concatenate([h[i] for h in held]) for i in range(4))
             if len(f1) < 2:
                 return
+            sig = [np.frombuffer(x, np.uint8).astype(np.int16) for h in held for x in h[4]]
             mine = np.arange(len(f1))
             mine = mine[mine % parts[0] == key[1]]
-            a, b = nearest(n, sig, comp, f1, mine, most, rule)
+            a, b, dense = nearest(n, sig, comp, f1, mine, most, rule, DENSE * len(mine))
             out_a.append(a)
             out_b.append(b)
+            if dense:
+                left.add(key[0])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not out_a:
                 return
             pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            out_a.clear()
-            out_b.clear()
+            a = np.concatenate([pairs[:, 0], np.array(sorted(left), np.int64)])
+            b = np.concatenate([pairs[:, 1], np.zeros(len(left), np.int64)])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(pairs))], ["a", "b", "dense"])
+            for x in (out_a, out_b, left):
+                x.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {c: batch.column(c) for c in batch.schema.names}
             ls, part, parts, f1, n, comp = (col[c].to_numpy() for c in ("list", "part", "parts", "f1", "n", "comp"))
-            sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+            sig = col["sig"].to_pylist()
             edges = np.flatnonzero((np.diff(ls) != 0) | (np.diff(part) != 0)) + 1
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(ls)], strict=True):
                 now = (int(ls[i]), int(part[i]))
@@ -344,14 +407,16 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
             close()
         yield from flush()
 
-    return common.map_arrow(rows, run, "a long, b long").distinct()
+    return common.map_arrow(rows, run, "a long, b long, dense boolean").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: the pairs that link, by their sets. A Bloom filter of the pairs' nodes keeps other sets from moving."""
+    """a, b: the pairs that link, by their sets. A filter of the pairs' nodes keeps other sets from moving. Sets are large
+    and pairs may be many, so both joins are sort-merge joins at every size."""
     nodes = pairs.select(F.col("a").alias("f1")).unionAll(pairs.select(F.col("b").alias("f1")))
-    held = one_each(sets, node_filter(nodes))
-    rows = pairs.join(held.select(F.col("f1").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("f1").alias("b"), F.col("hashes").alias("y")), "b")
+    held = one_each(sets.select("f1", "hashes"), node_filter(nodes))
+    rows = pairs.hint("merge").join(held.select(F.col("f1").alias("a"), F.col("hashes").alias("x")), "a")
+    rows = rows.hint("merge").join(held.select(F.col("f1").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +455,7 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def one_each(sets: DataFrame, table: np.ndarray) -> DataFrame:
-    """f1, hashes of the sets that the filter lets through, each once in a task."""
+    """The rows of `sets` (f1 and more) that the filter lets through, one for each f1."""
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +472,7 @@ def one_each(sets: DataFrame, table: np.ndarray) -> DataFrame:
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
-    return common.map_arrow(sets.select("f1", "hashes"), run, "f1 long, hashes binary").dropDuplicates(["f1"])
+    return common.map_arrow(sets, run, sets.schema).dropDuplicates(["f1"])
 
 
 @dataclass(frozen=True)
@@ -430,19 +495,21 @@ def join(docs: DataFrame, rule: Rule) -> Joined:
     top = table.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(FREQUENT).select("f1", "n").toArrow()
     frequent = top["f1"].to_numpy().view(np.uint64)[::-1].copy()
     sizes = [(r["n"], r["c"]) for r in sets.groupBy("n").agg(F.count_distinct("f1").alias("c")).collect() if not rule.lonely(r["n"])]
-    measured = table.where("kind = 2").groupBy("f1").agg(F.count(F.lit(1)).alias("c"))
-    if len(frequent):
-        measured = measured.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"f1": pa.array(frequent.view(np.int64))}))), "f1", "left_anti")
-    one = measured.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-    light = boundary(sizes, float(one[1] / one[0]) if one[0] else 0.0, rule)
-    nodes = common.written(sets.where("n > 0").groupBy("f1").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    lengths = list_entries(sets, frequent, 0, rule, measure=True).groupBy("key").agg(F.count_distinct("f1").alias("c"))
+    scan = {r["light"]: SCAN_COST * r["pairs"] / r["entries"] for r in lengths.groupBy((F.col("key") < 0).alias("light")).agg(F.sum("c").alias("entries"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()}
+    light = boundary(sizes, scan.get(True, 0.0), scan.get(False, 0.0), rule)
     members = common.written(memberships(common.written(lists(list_entries(sets, frequent, light, rule), rule), "lists", NUMERIC_ROWS)), "members")
+    nodes = common.written(one_each(sets.select("f1", "n", "sig"), node_filter(members.select("f1"))), "nodes")
     labels, links = None, None
     for most in ROUNDS:
-        pairs = common.written(candidates(members, nodes, labels, most, rule), "pairs", NUMERIC_ROWS)
-        found = common.written(verified(pairs, sets, rule), "links")
-        links = found if links is None else links.unionAll(found)
+        found = common.written(candidates(members, nodes, labels, most, rule), "pairs", NUMERIC_ROWS)
+        good = common.written(verified(found.where("NOT dense").select("a", "b"), sets, rule), "links")
+        links = good if links is None else links.unionAll(good)
         labels = components(links)
+        left = found.where("dense").select(F.col("a").alias("list"))
+        if left.isEmpty():
+            break
+        members = common.written(members.join(left, "list", "left_semi"), "members")
     return Joined(sets.select("did", "th", "n", "f1"), labels, links, light)
 
 
@@ -463,7 +530,8 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     shingles and link with nothing, not even with each other. Repeated rows are in one component. A null doc_id is
     returned as such and is never the smallest beside others. An empty table gives no rows.
     """
-    got = classes(join(docs, rule))
+    with common.workspace(docs.sparkSession, "jaccard") as keep:
+        got = keep(classes(join(docs, rule)).select("did", "n", "component"), "near-duplicates")
     return got.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component_id"))
 
 
@@ -474,9 +542,11 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     Documents without shingles all stay. Among rows of a component that repeat its smallest doc_id, the text with the
     smallest hash stays, and of rows with equal texts one. A null doc_id stands for a component of such rows only.
     """
-    got = classes(join(docs, rule)).where("n > 0").withColumn("first", F.col("did").eqNullSafe(F.col("component")))
-    best = got.where("first").groupBy("label").agg(F.min("th").alias("best"))
-    got = common.written(got.join(best, "label").select(common.fold(F.col("did")).alias("__did"), F.col("th").alias("__th"), (F.col("first") & (F.col("th") == F.col("best"))).alias("stays")), "stays")
+    with common.workspace(docs.sparkSession, "jaccard") as keep:
+        got = common.written(classes(join(docs, rule)).where("n > 0").withColumn("first", F.col("did").eqNullSafe(F.col("component"))), "classes")
+        best = got.where("first").groupBy("label").agg(F.min("th").alias("best"))
+        stays = F.col("first") & (F.col("th") == F.col("best"))
+        got = keep(got.join(best, "label").select(common.fold(F.col("did")).alias("__did"), F.col("th").alias("__th"), stays.alias("stays")), "stays")
     lose = got.where("NOT stays").select("__did", "__th").distinct()
     again = got.where("stays").groupBy("__did", "__th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__did", "__th")
     match = lambda rows: (common.fold(rows["doc_id"]) == F.col("__did")) & (F.xxhash64(rows["text"]) == F.col("__th"))

@@ -16,7 +16,7 @@ def words(text: str) -> list[bytes]:
 class Hasher:
     """64-bit hashes of words and of runs of words. Words of a worker are hashed once while the cache has room."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         import xxhash
 
         self.digest, self.most, self.cache = xxhash.xxh3_64_intdigest, most, {}
@@ -48,6 +48,18 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> _U(31))
 
 
+def rare_first(ws: list[bytes], h: np.ndarray, size: int) -> np.ndarray:
+    """Ascending distinct shingles of a text as 64-bit numbers whose order puts those likely to be rare first: the
+    highest 6 bits fall with the bytes of the shingle's words, since long words are rare, the others are its hash."""
+    if not len(h):
+        return np.empty(0, np.uint64)
+    k = min(size, len(h))
+    upto = np.zeros(len(ws) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)), out=upto[1:])
+    length = np.minimum(upto[k:] - upto[:-k], 63).astype(np.uint64)
+    return np.unique((_U(63) - length) << _U(58) | runs(h, k) >> _U(6))
+
+
 def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
     """Ascending distinct shingle hashes; with fewer words than `size` the whole sequence is one, without words none."""
     return np.unique(runs(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
