@@ -13,7 +13,7 @@ of their prefix's shingles (c = 1). The boundary is the one with the least cost
 both kinds of lists, by the sizes of all sets and the lengths of a hashed part of the lists of each kind.
 
 Lists. Sets in the same list are candidates. Equal lists count once. No list is expanded to all its pairs: for each set
-there are counts of its shingles by hash, a count for about ten shingles, and the sum of their differences is a lower
+there are counts of its shingles by hash, a count for two to ten shingles, and the sum of their differences is a lower
 bound of how many shingles two sets do not share, which rules out nearly all unlike candidates without their sets. The pairs that are
 left are verified on the sets. A list with more of them than DENSE for each of its sets is a group of near copies:
 there each set picks its nearest candidate first, and once components are known its nearest few outside its own. The
@@ -43,7 +43,7 @@ COUNTED = 1 << 20
 REPORTED = 3
 #: Frequent shingles that are put last in the order, at most; they go to every task (8 MB).
 FREQUENT = 1 << 20
-#: Least and most buckets of a set's counts, which are a power of two of about a tenth of its shingles.
+#: Least and most buckets of a set's counts, which are a power of two.
 BUCKETS = (64, 8192)
 #: One list in so many, by the hash of its key, is measured for the cost of scanning.
 MEASURED = 64
@@ -56,7 +56,7 @@ PART = 2048
 #: Candidates for each set of a list above which the list is dense.
 DENSE = 4
 #: Candidates that a set of a dense list picks in each round; None: all.
-ROUNDS = (1, 4, None)
+ROUNDS = (1, 2, None)
 NUMERIC_ROWS = 2000
 _U = np.uint64
 
@@ -92,9 +92,11 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def buckets(n: int) -> int:
-    """How many counts a set of n shingles has."""
-    return min(BUCKETS[1], max(BUCKETS[0], 1 << (n // 10).bit_length()))
+def buckets(n: int, rule: Rule) -> int:
+    """How many counts a set of n shingles has. Unlike sets differ by about the root of n * buckets, linked ones by their
+    share of n at most: the more a rule lets linked sets differ, the more counts it takes to tell them apart."""
+    share = 2 * (rule.den - rule.num) / (rule.den + rule.num)
+    return min(BUCKETS[1], max(BUCKETS[0], 1 << int(9 * share * share * n).bit_length()))
 
 
 def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -128,7 +130,7 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 n.append(len(s))
                 f.append(xxhash.xxh3_128_digest(s.tobytes()))
                 s >>= _U(16)
-                b = buckets(len(s))
+                b = buckets(len(s), rule)
                 sig.append(np.minimum(np.bincount((s % _U(b)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes())
                 packed.append(pack(s))
                 seen.append(s)
@@ -356,8 +358,12 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
         named = common.written(named, "named")
         open_ = named.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list")
         rows = named.join(open_, "list", "left_semi")
+    if most is None:  # a pair that several lists hold is taken in the first of them
+        rows = rows.join(members.groupBy("f1").agg(F.collect_set("list").alias("lists")), "f1")
+    else:
+        rows = rows.withColumn("lists", F.array().cast("array<long>"))
     rows = rows.join(nodes, "f1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    rows = rows.select("list", "part", "parts", "f1", "n", "comp", "sig").repartition("list", "part").sortWithinPartitions("list", "part", "f1")
+    rows = rows.select("list", "part", "parts", "f1", "n", "comp", "sig", "lists").repartition("list", "part").sortWithinPartitions("list", "part", "f1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -371,6 +377,10 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
             mine = np.arange(len(f1))
             mine = mine[mine % parts[0] == key[1]]
             a, b, dense = nearest(n, sig, comp, f1, mine, most, rule, DENSE * len(mine))
+            if most is None and len(a):
+                of = {x: set(y) for h in held for x, y in zip(h[0].tolist(), h[5], strict=True)}
+                first = np.array([min(of[x] & of[y]) == key[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                a, b = a[first], b[first]
             out_a.append(a)
             out_b.append(b)
             if dense:
@@ -392,7 +402,7 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
                 continue
             col = {c: batch.column(c) for c in batch.schema.names}
             ls, part, parts, f1, n, comp = (col[c].to_numpy() for c in ("list", "part", "parts", "f1", "n", "comp"))
-            sig = col["sig"].to_pylist()
+            sig, among = col["sig"].to_pylist(), col["lists"].to_pylist()
             edges = np.flatnonzero((np.diff(ls) != 0) | (np.diff(part) != 0)) + 1
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(ls)], strict=True):
                 now = (int(ls[i]), int(part[i]))
@@ -400,7 +410,7 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
                     close()
                     held = []
                 key = now
-                held.append((f1[i:j].copy(), n[i:j].copy(), comp[i:j].copy(), parts[i:j].copy(), sig[i:j]))
+                held.append((f1[i:j].copy(), n[i:j].copy(), comp[i:j].copy(), parts[i:j].copy(), sig[i:j], among[i:j]))
             if sum(map(len, out_a)) > 200_000 or len(out_a) > 20_000:
                 yield from flush()
         if key is not None:

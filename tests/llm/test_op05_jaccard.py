@@ -123,7 +123,8 @@ def test_bound_never_exceeds_the_truth():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**48, 9000).astype(np.uint64)
     some = [np.unique(rng.choice(pool, n, replace=False)) for n in (5, 300, 900, 1200, 4000, 5000)]
-    counts = [np.minimum(np.bincount((s % np.uint64(op.buckets(len(s)))).astype(int), minlength=op.buckets(len(s))), 255).astype(np.int16) for s in some]
+    sizes = [op.buckets(len(s), op.Rule()) for s in some]
+    counts = [np.minimum(np.bincount((s % np.uint64(b)).astype(int), minlength=b), 255).astype(np.int16) for s, b in zip(some, sizes, strict=True)]
     rows = np.arange(len(some))
     low = op.apart_at_least(counts, rows, np.zeros((len(some), len(some)), int))
     for i in rows:
