@@ -235,3 +235,10 @@ HAVING count(DISTINCT time_step) <> 10 OR count(*) <> 10 OR min(time_step) <> 0
     "forecast_drift": _forecast(ENDS, "last + (time_step + 1) * (last - first) / (n - 1)", "ends"),
     "forecast_ar1_diff": _forecast(AR1, "last + d * list_sum(list_transform(range(1, time_step + 2), lambda k: pow(phi, k)))", "fit"),
 }
+
+#: Queries over windows end to end; NAME_rolling is the same statement over the starts of stride 1.
+OVER_WINDOWS = (
+    "window_samples_long", "log_ret", "vol_delta", "rolling_vol", "basic_features", "vwap", "zscore", "zscore_inverse", "feature_pipeline",
+    "feature_pipeline_inverse", "vwap_pipeline", "standardisation_check", "batch_assign", "batch_stack", "shard_round_robin",
+)
+SQL |= {f"{name}_rolling": SQL[name].replace(STARTS_70, STARTS_1) for name in OVER_WINDOWS}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlane.operators import features, forecast, metrics, returns, strategies, submission, windows
+from barlane.plans import oracle
 from barlane.sources import fixtures, io
 
 #: Windows that a submission must hold in select_windows_union; the last is not there.
@@ -110,8 +111,8 @@ def stride_none(spark, sf_dir):
     return w.select("series_id", "start", F.size("rows").alias("n_rows"))
 
 
-def window_samples_long(spark, sf_dir):
-    w = windows.long_windows(fixtures.bars(spark, sf_dir), rolling=False, step_size=None)
+def window_samples_long(spark, sf_dir, rolling=False, step_size=None):
+    w = windows.long_windows(fixtures.bars(spark, sf_dir), rolling, step_size)
     return w.select("series_id", "start", F.col("pos").cast("int").alias("pos"), r("close", 2), r("volume", 2))
 
 
@@ -126,8 +127,8 @@ def sample_cap(spark, sf_dir):
     return w.select("series_id", "start", F.round(F.element_at("y", -1), 2).alias("y_last"))
 
 
-def _long(spark, sf_dir):
-    w = windows.long_windows(fixtures.bars(spark, sf_dir), rolling=False, step_size=None)
+def _long(spark, sf_dir, rolling=False, step_size=None):
+    w = windows.long_windows(fixtures.bars(spark, sf_dir), rolling, step_size)
     return w.where(F.col("pos") < 60)
 
 
@@ -135,8 +136,8 @@ KEYED = ("series_id", "start")
 
 
 def _features(*names: str, transform, rounded=lambda c: r(c, 6)):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = transform(_long(spark, sf_dir))
+    def query(spark: SparkSession, sf_dir: str, rolling: bool = False, step_size: int | None = None) -> DataFrame:
+        out = transform(_long(spark, sf_dir, rolling, step_size))
         return out.select(*KEYED, F.col("pos").cast("int").alias("pos"), *(rounded(c) for c in names))
 
     return query
@@ -148,28 +149,28 @@ chain = features.Pipeline([basic, scaled])
 vwap_chain = features.Pipeline([features.VwapFeatures(noise_std=0.0), features.Standardise(["vwap"])])
 
 
-def standardisation_check(spark, sf_dir):
-    s = features.standardisation(chain.apply(_long(spark, sf_dir)), ["log_ret", "vol_delta"])
+def standardisation_check(spark, sf_dir, rolling=False, step_size=None):
+    s = features.standardisation(chain.apply(_long(spark, sf_dir, rolling, step_size)), ["log_ret", "vol_delta"])
     near = lambda c, v: F.abs(F.col(c) - v) <= 1e-3
     return s.select(*KEYED, near("log_ret_m", 0).alias("log_ret_mean_ok"), near("log_ret_s", 1).alias("log_ret_scale_ok"), near("vol_delta_m", 0).alias("vol_delta_mean_ok"), near("vol_delta_s", 1).alias("vol_delta_scale_ok"))
 
 
-def _indexed(spark, sf_dir):
-    return windows.sample_index(windows.sample_windows(fixtures.bars(spark, sf_dir), rolling=False, step_size=None).select("series_id", "start", "y"))
+def _indexed(spark, sf_dir, rolling=False, step_size=None):
+    return windows.sample_index(windows.sample_windows(fixtures.bars(spark, sf_dir), rolling, step_size).select("series_id", "start", "y"))
 
 
-def batch_assign(spark, sf_dir):
-    return windows.batches(_indexed(spark, sf_dir), 32).select("series_id", "start", "sample_idx", "batch_id", "in_batch")
+def batch_assign(spark, sf_dir, rolling=False, step_size=None):
+    return windows.batches(_indexed(spark, sf_dir, rolling, step_size), 32).select("series_id", "start", "sample_idx", "batch_id", "in_batch")
 
 
-def batch_stack(spark, sf_dir):
-    one = windows.batches(_indexed(spark, sf_dir), 32).withColumn("y_last", F.element_at("y", -1))
+def batch_stack(spark, sf_dir, rolling=False, step_size=None):
+    one = windows.batches(_indexed(spark, sf_dir, rolling, step_size), 32).withColumn("y_last", F.element_at("y", -1))
     s = windows.stack(one, "y_last")
     return s.select("batch_id", F.size("y_last").alias("n"), F.round(F.element_at("y_last", 1), 2).alias("first"), F.round(F.element_at("y_last", -1), 2).alias("last"))
 
 
-def shard_round_robin(spark, sf_dir):
-    return windows.shard(_indexed(spark, sf_dir), 1, 3).select("series_id", "start", "sample_idx")
+def shard_round_robin(spark, sf_dir, rolling=False, step_size=None):
+    return windows.shard(_indexed(spark, sf_dir, rolling, step_size), 1, 3).select("series_id", "start", "sample_idx")
 
 
 def distinct_windows(spark, sf_dir):
@@ -266,6 +267,13 @@ def streaming_windows(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
+def _rolling(query):
+    def over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, rolling=True, step_size=1)
+
+    return over_all
+
+
 QUERIES = {
     "mse": mse,
     "mae": mae,
@@ -324,3 +332,7 @@ QUERIES = {
     "forecast_udf": forecast_udf,
     "streaming_windows": streaming_windows,
 }
+
+#: Queries over whole windows end to end. Each has a second one, NAME_rolling, over the rolling windows of stride 1 from
+#: which training samples are made: all windows of all series, so every bar of a series that has a window.
+QUERIES |= {f"{name}_rolling": _rolling(QUERIES[name]) for name in oracle.OVER_WINDOWS}
