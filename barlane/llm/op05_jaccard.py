@@ -57,6 +57,8 @@ PART = 2048
 DENSE = 4
 #: Candidates that a set of a dense list picks in each round; None: all.
 ROUNDS = (1, 2, None)
+#: One round over all candidates, while no components are known: it verifies the links inside components too.
+EVERY_LINK = (None,)
 NUMERIC_ROWS = 2000
 _U = np.uint64
 
@@ -495,8 +497,9 @@ class Joined:
     light: int
 
 
-def join(docs: DataFrame, rule: Rule) -> Joined:
-    """The join of `docs` (doc_id, text; other columns are left out) with itself."""
+def join(docs: DataFrame, rule: Rule, rounds: tuple[int | None, ...] = ROUNDS) -> Joined:
+    """The join of `docs` (doc_id, text; other columns are left out) with itself. With EVERY_LINK as rounds, `links` has
+    every link between unlike sets once; else those that were needed to find the components."""
     table = common.written(hashed_sets(docs, rule), "shingle-sets")
     sets = table.where("kind = 0")
     clash = sets.groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y")
@@ -511,7 +514,7 @@ def join(docs: DataFrame, rule: Rule) -> Joined:
     members = common.written(memberships(common.written(lists(list_entries(sets, frequent, light, rule), rule), "lists", NUMERIC_ROWS)), "members")
     nodes = common.written(one_each(sets.select("f1", "n", "sig"), node_filter(members.select("f1"))), "nodes")
     labels, links = None, None
-    for most in ROUNDS:
+    for most in rounds:
         found = common.written(candidates(members, nodes, labels, most, rule), "pairs", NUMERIC_ROWS)
         good = common.written(verified(found.where("NOT dense").select("a", "b"), sets, rule), "links")
         links = good if links is None else links.unionAll(good)
@@ -545,6 +548,23 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     return got.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """near_duplicates() with a further column n_links: how many other rows of `docs` a row links with, copies included.
+
+    Every candidate is verified, so the work grows with the number of links, which in a group of near copies is the
+    square of its size. Rows without shingles have none.
+    """
+    with common.workspace(docs.sparkSession, "jaccard") as keep:
+        joined = join(docs, rule, EVERY_LINK)
+        copies = common.written(joined.documents.where("n > 0").groupBy("f1").agg(F.count(F.lit(1)).alias("copies")), "copies")
+        ends = joined.links.unionAll(joined.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = ends.join(copies, F.col("b") == F.col("f1")).groupBy("a").agg(F.sum("copies").alias("others"))
+        totals = copies.join(others, F.col("f1") == F.col("a"), "left").select("f1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        got = keep(classes(joined).join(totals, "f1", "left").select("did", "n", "component", "n_links"), "link-counts")
+    found = F.col("n") > 0
+    return got.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(found, F.col("component")).otherwise(F.col("did")).alias("component_id"), F.when(found, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of `docs`, with all their columns, that stand for their component: one row of each component, which
     has its smallest doc_id.
@@ -572,6 +592,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.load(spark, sf_dir, "documents"), Rule(3, 90, 100))
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_jaccard with the number of links of each document."""
+    return link_counts(common.load(spark, sf_dir, "documents"), Rule(3, 90, 100))
+
+
 SQL = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

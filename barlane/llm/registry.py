@@ -16,6 +16,8 @@ QUERIES = {
     "op8_chat": op08_chat.op8_chat,
     "op9_decontaminate": op09_decontaminate.op9_decontaminate,
     "op10_toxicity": op10_toxicity.op10_toxicity,
+    # More of the same operator's results.
+    "op5_jaccard_links": op05_jaccard.op5_jaccard_links,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": op04_line_dedup.SQL,

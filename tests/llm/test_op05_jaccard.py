@@ -137,3 +137,30 @@ def test_bound_never_exceeds_the_truth():
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in common.load(spark, sf_dir, "documents").collect()]
     assert found(op.op5_jaccard(spark, sf_dir)) == brute(rows, op.Rule())
+
+
+def brute_links(rows, rule):
+    s = sets(rows, rule.size)
+    linked = lambda a, b: a and b and rule.den * len(a & b) >= rule.num * len(a | b)
+    return sorted((str(d), sum(bool(linked(s[i], s[j])) for j in range(len(rows)) if j != i)) for i, (d, _) in enumerate(rows))
+
+
+def links_found(df):
+    return sorted((str(r["doc_id"]), r["n_links"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("rule", [op.Rule(3, 90, 100), op.Rule(1, 60, 100)])
+def test_links_inside_dense_components_count(make_docs, monkeypatch, rule):
+    monkeypatch.setattr(op, "PART", 16)
+    base = [f"w{i}" for i in range(150)]
+    near = [(2000 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    rows = corpus(7, 120) + near + near[:3] + [(5000, None), (None, near[0][1])]
+    got = op.link_counts(make_docs(rows).repartition(3), rule)
+    assert links_found(got) == brute_links(rows, rule)
+    assert max(n for _, n in brute_links(rows, rule)) >= 40
+    assert found(got) == brute(rows, rule)
+
+
+def test_links_of_edge_documents(docs, doc_rows, empty):
+    assert links_found(op.link_counts(docs, op.Rule())) == brute_links([(i, t) for i, t, _ in doc_rows], op.Rule())
+    assert op.link_counts(empty, op.Rule()).count() == 0
