@@ -77,3 +77,22 @@ def test_differences_are_found(model, monkeypatch):
 def test_query(spark, sf_dir, library):
     rows = common.load(spark, sf_dir, "documents").collect()
     check(op.op3_sentencepiece(spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in rows], library)
+
+
+@pytest.mark.parametrize("odd", ["\nzebra", "  zebra", "zebra\n"])
+def test_differences_in_any_part_of_any_text_are_found(odd):
+    for k in range(8):
+        m = op.Model(PATH)
+        m.encode(["a"])
+        part = next(p for p in m.split(f"text {k}{odd}") if "zebra" in p or p == "\n")
+        m.cache[part] = b"\x05\x00"
+        with pytest.raises(AssertionError, match="encodes"):
+            m.encode([f"text {k}{odd}"])
+
+
+def test_differences_in_decoding_of_any_text_are_found(monkeypatch):
+    m = op.Model(PATH)
+    monkeypatch.setattr(m, "decode", lambda ids: "other")
+    for k in range(8):
+        with pytest.raises(AssertionError, match="decodes"):
+            list(op.digests(m, [f"text {k}"]))
