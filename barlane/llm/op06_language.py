@@ -5,8 +5,9 @@ bound into one vector as shift(shift(v1)) * shift(v2) * v3. A text's vector is t
 its n-grams, a language's prototype the bundle of all its training texts, each with the same weight. A document gets
 the language whose prototype has the largest cosine with its vector.
 
-Letters are taken in lower case; runs of other characters are one boundary letter. Letters other than a-z share
-OTHERS vectors by their code point.
+Letters are taken in lower case; runs of other characters are one boundary letter. Every letter of every script has a
+vector of its own, drawn from the place in one stream of random numbers that its code gives. Vectors of n-grams of a-z
+are kept; those of others are bound when they are met.
 """
 
 from __future__ import annotations
@@ -22,30 +23,53 @@ from barlane.llm import common
 
 DIMENSIONS = 512
 SEED = 20260101
-OTHERS = 21
-LETTERS = 1 + 26 + OTHERS
+#: Codes of the boundary and a-z, and of all letters: others have their code point after these.
+LATIN = 1 + 26
+LETTERS = LATIN + 0x110000
+#: N-grams of LATIN codes only, which come first.
+KEPT = LATIN**3
 UNKNOWN = "und"
 GROUP_CHARS = 1 << 20
 
 
 class Space:
-    """The letter vectors and the vectors of all three-letter n-grams."""
+    """The letter vectors, made when they are met, and the vectors of all three-letter n-grams of a-z and the boundary."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, dimensions))
-        once, twice = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-        self.grams = (twice[:, None, None, :] * once[None, :, None, :] * letters[None, None, :, :]).reshape(-1, dimensions)
-        codes = np.zeros(0x10000, np.uint8)
-        for c in range(len(codes)):
-            if chr(c).isalpha():
-                codes[c] = c - 96 if 97 <= c <= 122 else 27 + c * 7 % OTHERS
-        self.codes = codes
+        if dimensions % 2:
+            raise ValueError("the number of dimensions must be even")
+        self.dimensions, self.seed = dimensions, seed
+        self.place = np.full(LETTERS, -1, np.int32)
+        self.known, self.n_known = np.empty((64, dimensions), np.int8), 0
+        codes = np.arange(LATIN)
+        self.grams = self.bound(*(x.ravel() for x in np.meshgrid(codes, codes, codes, indexing="ij")))
+        self.codes = np.array([self.code(c) for c in range(0x10000)], np.int64)
+
+    @staticmethod
+    def code(point: int) -> int:
+        """A code point's code: 0 if it is no letter."""
+        return 0 if not chr(point).isalpha() else point - 96 if 97 <= point <= 122 else LATIN + point
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """The letters' vectors. That of code c is row c of all rows drawn one after another: two numbers come from each
+        64-bit step of the generator, which can go to any step at once."""
+        for c in np.unique(codes[self.place[codes] < 0]).tolist():
+            if self.n_known == len(self.known):
+                self.known = np.concatenate([self.known, np.empty_like(self.known)])
+            stream = np.random.PCG64(self.seed).advance(c * self.dimensions // 2)
+            self.known[self.n_known] = np.random.Generator(stream).choice(np.array([-1, 1], np.int8), self.dimensions)
+            self.place[c], self.n_known = self.n_known, self.n_known + 1
+        return self.known[self.place[codes]]
+
+    def bound(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams by their letters' codes."""
+        return np.roll(self.vectors(a), 2, 1) * np.roll(self.vectors(b), 1, 1) * self.vectors(c)
 
     def letters(self, text: str) -> np.ndarray:
         """Codes of a text: 0 for a boundary, runs of which are one; a boundary stands at both ends."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) and points.max() >= 0x10000:
-            high = np.array([27 + p * 7 % OTHERS if p >= 0x10000 and chr(p).isalpha() else 0 for p in points.tolist()], np.uint8)
+            high = np.array([self.code(p) if p >= 0x10000 else 0 for p in points.tolist()], np.int64)
             codes = np.where(points < 0x10000, self.codes[np.minimum(points, 0xFFFF)], high)
         else:
             codes = self.codes[points]
@@ -53,23 +77,35 @@ class Space:
         return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram numbers, their counts); empty if the text has no letter."""
+        """(n-gram numbers, their counts), ascending; empty if the text has no letter. Numbers below KEPT are rows of grams."""
         codes = self.letters(text)
         if len(codes) < 3:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        grams = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-        if len(grams) > 4096:
-            counts = np.bincount(grams, minlength=LETTERS**3)
-            which = np.flatnonzero(counts)
+        a, b, c = codes[:-2], codes[1:-1], codes[2:]
+        kept = (a < LATIN) & (b < LATIN) & (c < LATIN)
+        counts = np.bincount((a[kept] * LATIN + b[kept]) * LATIN + c[kept], minlength=KEPT)
+        which = np.flatnonzero(counts)
+        if kept.all():
             return which, counts[which]
-        return np.unique(grams, return_counts=True)
+        other, n = np.unique((a[~kept] * LETTERS + b[~kept]) * LETTERS + c[~kept], return_counts=True)
+        return np.concatenate([which, KEPT + other]), np.concatenate([counts[which], n])
+
+    def weighted(self, which: np.ndarray, weights: np.ndarray, kind: type = np.float32) -> np.ndarray:
+        """The sum of the vectors of n-grams by number, each times its weight."""
+        first = int(np.searchsorted(which, KEPT))
+        out = np.zeros(self.dimensions, kind)
+        for at in range(0, len(which), 4096):
+            for low, high in ((at, min(at + 4096, first)), (max(at, first), min(at + 4096, len(which)))):
+                if low < high:
+                    some = which[low:high]
+                    vectors = self.grams[some] if high <= first else self.bound((some - KEPT) // LETTERS**2, (some - KEPT) // LETTERS % LETTERS, (some - KEPT) % LETTERS)
+                    out += weights[low:high].astype(kind) @ vectors.astype(kind)
+        return out
 
     def bundle(self, text: str) -> np.ndarray | None:
         """A text's vector, or None if it has no letter."""
         which, counts = self.counts(text)
-        if not len(which):
-            return None
-        return counts.astype(np.float32) @ self.grams[which].astype(np.float32)
+        return self.weighted(which, counts) if len(which) else None
 
 
 _space: list[Space] = []
@@ -91,14 +127,16 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out_col(F.col("doc_id"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, sums = space(), {}
+        s, sums, rest = space(), {}, {}
         for langs, texts in common.grouped(batches, GROUP_CHARS):
             for lang, text in zip(langs, texts, strict=True):
                 which, counts = s.counts(text)
                 if len(which):
-                    sums.setdefault(lang, np.zeros(LETTERS**3))[which] += counts / np.linalg.norm(counts)
+                    first, weights = int(np.searchsorted(which, KEPT)), counts / np.linalg.norm(counts)
+                    sums.setdefault(lang, np.zeros(KEPT))[which[:first]] += weights[:first]
+                    rest[lang] = rest.get(lang, 0) + s.weighted(which[first:], weights[first:], np.float64)
         if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "bundle": [_bundle(s, x) for x in sums.values()]})
+            yield pa.RecordBatch.from_pydict({"lang": list(sums), "bundle": [(_bundle(s, x) + rest[lang]).tobytes() for lang, x in sums.items()]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -116,12 +154,9 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {lang: total[lang] for lang in sorted(total)}
 
 
-def _bundle(s: Space, weights: np.ndarray) -> bytes:
+def _bundle(s: Space, weights: np.ndarray) -> np.ndarray:
     which = np.flatnonzero(weights)
-    out = np.zeros(s.grams.shape[1])
-    for at in range(0, len(which), 4096):
-        out += weights[which[at : at + 4096]] @ s.grams[which[at : at + 4096]].astype(np.float64)
-    return out.tobytes()
+    return s.weighted(which, weights[which], np.float64)
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:

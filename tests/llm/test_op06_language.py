@@ -50,3 +50,25 @@ def test_bundle_is_the_sum_of_bound_vectors():
 @pytest.mark.parametrize("text", ["\U00010400\U00010428 x", "日本語", "a" * 10_000])
 def test_letters_of_all_planes(text):
     assert op.space().bundle(text) is not None
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    s = op.Space(512, 3)
+    points = [c for c in [*range(97, 123), *range(0xDF, 0x180), *range(0x3B1, 0x460), *range(0x4E00, 0x4F00), *range(0x10428, 0x10440)] if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    codes = np.array([s.letters(chr(c))[1] for c in points])
+    assert len(points) > 500 and len(set(codes.tolist())) == len(points)
+    v = s.vectors(codes).astype(int)
+    assert np.abs(v @ v.T - 512 * np.eye(len(v))).max() < 200
+    assert (s.bundle("äöü") != s.bundle("öüä")).any() and (s.bundle("ä") != s.bundle("ê")).any()
+
+
+def test_scripts_that_differ_by_code_points_only(make_docs, spark):
+    # the same words in three alphabets whose code points differ by multiples of 21
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(0x4E00 + k) for k in rng.integers(0, 12, 5)) for _ in range(30)]
+    moved = lambda t, by: "".join(chr(ord(c) + by) if c != " " else c for c in t)
+    rows = [(3 * i + j, moved(" ".join(rng.choice(words, 20)), 21 * j), f"l{j}") for i in range(60) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in op.predict(docs, op.learn(docs)).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert len(held) > 10 and all(got[i]["lang_pred"] == f"l{i % 3}" for i in held)
