@@ -6,7 +6,7 @@
    documents moves as one row a task.
 3. Distinct hashes are dealt to shards of about SHARD_KEYS. A shard gets a minimal perfect hash over its keys
    (levels of bit arrays; a key's place is the rank of its bit), which indexes three flat arrays: a 32-bit
-   fingerprint, the count of documents (up to 255) and the largest doc_id.
+   fingerprint, the count of documents (up to 255, or to least_docs if that is more) and the largest doc_id.
 4. Documents' hashes are dealt to the same shards and probe the arrays; no lines are joined. A shard with more than
    PROBE_ROWS probes, because one line is everywhere, is split into that many salted parts, each with a copy of the
    shard's arrays.
@@ -30,6 +30,8 @@ LEAST_CHARS = 20
 LEAST_DOCS = 3
 SHARD_KEYS = 1 << 15
 PROBE_ROWS = 1 << 16
+#: Documents of a line that are counted at least, in one byte.
+MOST_COUNT = 255
 #: Bits a key of each level of the hash.
 GAMMA = 2.0
 LEVELS = 32
@@ -100,12 +102,13 @@ class Shard:
         self.hash, self.prints, self.counts, self.last = hash_, prints, counts, last
 
     @classmethod
-    def build(cls, h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, last: np.ndarray) -> Shard:
+    def build(cls, h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, last: np.ndarray, most: int = MOST_COUNT) -> Shard:
+        """Counts are exact up to `most`, which larger ones are stored as; it decides how wide they are."""
         keys = cls.key(h1, h2)
         hash_ = PerfectHash.build(keys)
         at = hash_(keys)
-        prints, counts, ids = np.zeros(hash_.n, np.uint32), np.zeros(hash_.n, np.uint8), np.zeros(hash_.n, np.int64)
-        prints[at], counts[at], ids[at] = h2.astype(np.int64).view(np.uint64).astype(np.uint32), np.minimum(n_docs, 255), last
+        prints, counts, ids = np.zeros(hash_.n, np.uint32), np.zeros(hash_.n, np.min_scalar_type(most)), np.zeros(hash_.n, np.int64)
+        prints[at], counts[at], ids[at] = h2.astype(np.int64).view(np.uint64).astype(np.uint32), np.minimum(n_docs, most), last
         return cls(hash_, prints, counts, ids)
 
     @staticmethod
@@ -120,23 +123,23 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         h = self.hash
-        head = struct.pack(f"<III{len(h.sizes)}I", len(h.sizes), h.n, len(h.rest), *h.sizes)
+        head = struct.pack(f"<IIII{len(h.sizes)}I", len(h.sizes), h.n, len(h.rest), self.counts.itemsize, *h.sizes)
         return head + h.bits.tobytes() + h.rest.tobytes() + self.prints.tobytes() + self.counts.tobytes() + self.last.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
-        levels, n, rest = struct.unpack_from("<III", data)
-        sizes = list(struct.unpack_from(f"<{levels}I", data, 12))
-        at = 12 + 4 * levels
+        levels, n, rest, width = struct.unpack_from("<IIII", data)
+        sizes = list(struct.unpack_from(f"<{levels}I", data, 16))
+        at = 16 + 4 * levels
 
-        def take(kind: type, count: int) -> np.ndarray:
+        def take(kind: type | str, count: int) -> np.ndarray:
             nonlocal at
             out = np.frombuffer(data, kind, count, at)
             at += out.nbytes
             return out
 
         hash_ = PerfectHash(sizes, take(np.uint64, sum(sizes) // 64), take(np.uint64, rest))
-        return cls(hash_, take(np.uint32, n), take(np.uint8, n), take(np.int64, n))
+        return cls(hash_, take(np.uint32, n), take(f"u{width}", n), take(np.int64, n))
 
 
 def line_keys(text: str, least: int) -> list[tuple[bytes, int]]:
@@ -173,8 +176,9 @@ def hashed_lines(docs: DataFrame, least: int) -> DataFrame:
     return common.map_arrow(rows, run, "h1 long, h2 long, did long, th long, lines array<int>")
 
 
-def build_index(lines: DataFrame, n_shards: int) -> DataFrame:
-    """shard, probes, data: the shards' arrays, from hashed_lines()."""
+def build_index(lines: DataFrame, n_shards: int, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """shard, probes, data: the shards' arrays, from hashed_lines(), with counts that can be held against least_docs."""
+    most = max(MOST_COUNT, least_docs)
     counted = lines.groupBy("h1", "h2").agg(F.count_distinct("did").alias("n"), F.max("did").alias("last"), F.count(F.lit(1)).alias("probes"))
     counted = counted.withColumn("shard", F.pmod("h1", F.lit(n_shards))).repartition("shard").sortWithinPartitions("shard")
 
@@ -183,7 +187,7 @@ def build_index(lines: DataFrame, n_shards: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             h1, h2, n, last, probes = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "probes": pa.array([int(probes.sum())], pa.int64()), "data": pa.array([Shard.build(h1, h2, n, last).to_bytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "probes": pa.array([int(probes.sum())], pa.int64()), "data": pa.array([Shard.build(h1, h2, n, last, most).to_bytes()], pa.binary())})
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -249,7 +253,7 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     with common.workspace(docs.sparkSession, "line-dedup") as keep:
         lines = common.written(hashed_lines(docs, least_chars), "hashes")
         n_shards = max(1, -(-lines.count() // SHARD_KEYS))
-        index = common.written(build_index(lines, n_shards), "index")
+        index = common.written(build_index(lines, n_shards, least_docs), "index")
         drops = probe(lines, index, n_shards, least_docs).distinct()
         drops = keep(drops.groupBy("did", "th").agg(F.flatten(F.collect_list("lines")).alias("__drop")), "line-drops")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"))

@@ -78,3 +78,19 @@ def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in common.load(spark, sf_dir, "documents").collect()]
     got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in op.op4_line_dedup(spark, sf_dir).collect())
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("least", [255, 256, 300, 301])
+def test_least_docs_above_a_byte(make_docs, least):
+    rows = [(i, f"the line that all of them share\nown line number {i:05d} of this one") for i in range(300)]
+    got = op.dedup(make_docs(rows).repartition(4), least_docs=least).select("line_dedup.n_dropped").collect()
+    assert sum(r["n_dropped"] for r in got) == (299 if least <= 300 else 0)
+
+
+@pytest.mark.parametrize("most", [255, 256, 70_000, 2**33])
+def test_counts_up_to_most_are_exact(most):
+    h1, h2 = np.random.default_rng(8).integers(-(2**62), 2**62, (2, 500))
+    counts = np.random.default_rng(9).integers(1, 2 * most, 500)
+    shard = op.Shard.from_bytes(op.Shard.build(h1, h2, counts, h1, most).to_bytes())
+    n, last = shard.probe(h1, h2)
+    assert (n == np.minimum(counts, most)).all() and (last == h1).all()
