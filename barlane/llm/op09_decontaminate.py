@@ -28,6 +28,7 @@ SIZE = 5
 THRESHOLD = 0.8
 BLOCK_CHARS = 16 << 20
 GROUP_CHARS = 2 << 20
+ID_CHARS = 8
 PAIRS = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 
 
@@ -37,19 +38,19 @@ def most_missing(n: int, threshold: float) -> int:
 
 
 class Sketches:
-    """The sketches of a block of items."""
+    """The sketches of a block of items, each with a tuple of its ids."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, threshold: float) -> None:
+    def __init__(self, items: list[tuple[tuple[int | None, ...], str]], size: int, threshold: float) -> None:
         hasher = shingles.Hasher()
         self.size, self.threshold = size, threshold
-        self.items: list[tuple[int, int, list[tuple[bytes, ...]]]] = []
+        self.items: list[tuple[tuple[int | None, ...], int, list[tuple[bytes, ...]]]] = []
         sets: list[np.ndarray] = []
-        for item_id, text in items:
+        for ids, text in items:
             ws = shingles.words(text)
             if not ws:
                 continue
             k = min(size, len(ws))
-            self.items.append((item_id, k, sorted(set(zip(*(ws[i : len(ws) - k + 1 + i] for i in range(k)), strict=True)))))
+            self.items.append((ids, k, sorted(set(zip(*(ws[i : len(ws) - k + 1 + i] for i in range(k)), strict=True)))))
             sets.append(np.unique(shingles.runs(hasher.words([ws])[0], k)))
         part = [len(s).bit_length() for s in sets]
         largest: dict[int, int] = {}
@@ -83,38 +84,41 @@ class Sketches:
                         hits[i] += 1
         return [i for i, n in hits.items() if n >= self.need[i]]
 
-    def verify(self, ws: list[bytes], which: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(item_id, shingles, shingles found in the document) of the items that reach the threshold."""
+    def verify(self, ws: list[bytes], which: list[int]) -> Iterator[tuple[tuple[int | None, ...], int, int]]:
+        """(ids, shingles, shingles found in the document) of the items that reach the threshold."""
         sets: dict[int, set] = {}
         for i in which:
-            item_id, k, own = self.items[i]
+            ids, k, own = self.items[i]
             if k not in sets:
                 sets[k] = set(zip(*(ws[j : len(ws) - k + 1 + j] for j in range(k)), strict=True))
             n = sum(s in sets[k] for s in own)
             if len(own) - n <= most_missing(len(own), self.threshold):
-                yield item_id, len(own), n
+                yield ids, len(own), n
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Distinct item texts, each with its smallest item_id, in blocks by the hash of the text."""
-    items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def blocks(benchmark: DataFrame, block_chars: int, every_id: bool = False) -> Iterator[list[tuple[tuple[int | None, ...], str]]]:
+    """Distinct item texts, each with its smallest item_id or all of them, in blocks by the hash of the text. An id beside
+    the first counts as ID_CHARS characters."""
+    item_id = F.col("item_id").cast("long")
+    ids = F.collect_set(F.struct(item_id.alias("i"))) if every_id else F.array(F.struct(F.min(item_id).alias("i")))
+    items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(ids.alias("ids"))
+    total = items.agg(F.sum(F.length("text") + ID_CHARS * (F.size("ids") - 1))).first()[0] or 0
     n = -(-total // block_chars)
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b) if n > 1 else items
-        yield [(r["item_id"], r["text"]) for r in block.collect()]
+        yield [(tuple(x["i"] for x in r["ids"]), r["text"]) for r in block.collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False) -> DataFrame:
     """Leaks of `benchmark` (item_id, text) in `docs` (doc_id, text; other columns of both are left out), as PAIRS: the share of an
     item's distinct shingles that a document holds is `threshold` or more.
 
     Shingles are `size` words; an item with fewer words is one shingle of all its words, searched as that run. Items
-    with equal texts count once, under the smallest item_id. Null or empty texts hold nothing and are found nowhere.
+    with equal texts count once, under the smallest item_id, or with `every_id` under each of their ids. Null or empty texts hold nothing and are found nowhere.
     A null doc_id is returned as such; repeated rows each give their pairs. Empty tables give no pairs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    found = [_search(rows, Sketches(items, size, threshold)) for items in blocks(benchmark, block_chars)]
+    found = [_search(rows, Sketches(items, size, threshold)) for items in blocks(benchmark, block_chars, every_id)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], PAIRS)
 
 
@@ -127,12 +131,12 @@ def _search(rows: DataFrame, sketches: Sketches) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, hasher = shared.value, shingles.Hasher()
-        for ids, texts in common.grouped(batches, GROUP_CHARS):
+        for doc_ids, texts in common.grouped(batches, GROUP_CHARS):
             listed = [shingles.words(t) for t in texts]
             out = []
-            for doc_id, ws, h in zip(ids, listed, hasher.words(listed), strict=True):
+            for doc_id, ws, h in zip(doc_ids, listed, hasher.words(listed), strict=True):
                 if which := s.candidates(h):
-                    out += [(doc_id, i, n, f, f / n) for i, n, f in s.verify(ws, which)]
+                    out += [(doc_id, i, n, f, f / n) for ids, n, f in s.verify(ws, which) for i in ids]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -150,6 +154,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
 
 
+def op9_decontaminate_every_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_decontaminate with the pairs of all item_ids, where items share a text."""
+    return search(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"), every_id=True)
+
+
 SQL = r"""
 WITH items AS (
     SELECT min(item_id) AS item_id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text

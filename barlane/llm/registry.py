@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity.op10_toxicity,
     # More of the same operator's results.
     "op5_jaccard_links": op05_jaccard.op5_jaccard_links,
+    "op9_decontaminate_every_id": op09_decontaminate.op9_decontaminate_every_id,
 }
 SQL: dict[str, str] = {
     "op4_line_dedup": op04_line_dedup.SQL,

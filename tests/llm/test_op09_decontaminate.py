@@ -93,3 +93,14 @@ def test_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in common.load(spark, sf_dir, "documents").collect()]
     items = [(r["item_id"], r["text"]) for r in common.load(spark, sf_dir, "benchmark").collect()]
     assert found(op.op9_decontaminate(spark, sf_dir)) == brute(docs, items)
+
+
+@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_every_id_of_a_repeated_text(spark, make_docs, block):
+    docs, items = cases()
+    items += [(80, items[5][1]), (81, items[7][1]), (81, items[7][1]), (82, items[11][1]), (82, items[12][1])]
+    bench = spark.createDataFrame([(i, t, "c") for i, t in items], ITEMS)
+    of = {t: {i for i, x in items if x == t} for _, t in items if t is not None}
+    want = sorted((d, i, n, f) for t, ids in of.items() for d, _, n, f in brute(docs, [(0, t)]) for i in ids)
+    assert {70, 80} <= {i for _, i, *_ in want}
+    assert found(op.search(make_docs(docs).repartition(3), bench, block_chars=block, every_id=True)) == want
