@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -59,21 +61,39 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system. Workers live on from task to task, and their allocators keep
+    freed memory, so that an executor would hold the largest task that each worker ever had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches."""
+    """mapInArrow with small batches, after which a worker gives its memory back."""
     small_batches(df.sparkSession)
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors share.
 
-    spark.checkpoint.dir names it. Where that is unset, as in tests on one machine, a temporary folder is made
-    and set; a cluster has to set it.
+    spark.checkpoint.dir names it. Where that is unset on one machine, as in tests, a temporary folder is made and set;
+    on a cluster that is an error, since machines don't see each other's folders.
     """
     uri = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not uri:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="barlane-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         uri = f"file://{path}"
@@ -145,6 +165,11 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, min(size // bytes_each + 1, 1_000_000)) if size < 2**62 else least
 
 
+def parts_of(spark: SparkSession, size: int, bytes_each: int) -> int:
+    """How many partitions `size` bytes of rows should be dealt to: no more than they fill, but one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, min(size // bytes_each + 1, 1_000_000))
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI: local, HDFS or an object store, by the scheme."""
     from pyarrow import fs

@@ -6,7 +6,7 @@ piece then become byte pieces. `agenda` does this with a heap for one string of
 does the same merges for many short strings at once in numpy, one step of every string's agenda at a time.
 
 No piece of such a vocabulary holds a space mark after another character (checked when the model is read), so merges
-never cross from a word into the next space: a text is cut there, and each distinct part is encoded once a worker
+never cross from a word into the next space: a text is cut there, and each distinct part is encoded once a task
 while its cache has room. Characters that are in no longer piece, such as line feeds, cut in the same way, and so does
 any neighbouring pair of characters that no piece holds.
 
@@ -32,7 +32,9 @@ from barlane.llm import common
 SPACE_MARK = "▁"
 #: Parts up to this many characters go through agenda_many.
 SHORT = 24
-CACHE_PARTS = 800_000
+#: Characters of the parts that a worker keeps the ids of during a task, with PART_CHARS more for each part: about 60 MB.
+CACHE_CHARS = 12 << 20
+PART_CHARS = 24
 #: Characters of text that are encoded together.
 GROUP_CHARS = 2 << 20
 _PARTS = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
@@ -81,9 +83,14 @@ class Model:
             self.high_ids[i] = b >= 128
         self.special = {i for i, p in enumerate(proto.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN)}
         self.decimal = [str(i) for i in range(len(pieces))]
-        self.cache: dict[str, bytes] = {"": b""}
+        self.forget()
         self.code = "H" if len(pieces) <= 2**16 else "I"
 
+    def forget(self) -> None:
+        """Drop the cache: a worker goes on to other tasks, which need not be of this operator."""
+        self.cache: dict[str, bytes] = {"": b""}
+        self.room = CACHE_CHARS
+
     def _table(self, merges: dict[tuple[int, int], int]) -> None:
         """Open addressing over (left, right), for lookups of many pairs at once."""
         self.slots = 1 << max(4, (4 * len(merges)).bit_length())
@@ -243,11 +250,16 @@ class Model:
         for part, (stem, last) in cut.items():
             if last:
                 found[part] = (found[stem] if stem in found else cache[stem]) + (found[last] if last in found else cache[last])
-        room = CACHE_PARTS - len(cache)
         cache.update(found)
         out = [b"".join(map(cache.__getitem__, parts)) for parts in split]
-        for p in found if room < len(found) else [p for p in found if len(p) > 2 * SHORT]:
-            del cache[p]
+        for p in [p for p in found if len(p) > 2 * SHORT]:
+            del cache[p], found[p]
+        weight = sum(map(len, found)) + PART_CHARS * len(found)
+        if weight > self.room:
+            for p in found:
+                del cache[p]
+        else:
+            self.room -= weight
         self._check(texts, out)
         return out
 
@@ -305,7 +317,7 @@ _models: dict[str, Model] = {}
 
 
 def model(path: str) -> Model:
-    """The model of this worker; it keeps its cache from task to task."""
+    """The model of this worker; it stays from task to task, its cache does not."""
     if path not in _models:
         _models.clear()
         _models[path] = Model(path)
@@ -335,6 +347,12 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
+        try:
+            yield from encoded(m, batches)
+        finally:
+            m.forget()
+
+    def encoded(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if m.code == "H" else 4
         for ids, texts in common.grouped(batches, GROUP_CHARS):
             got = list(digests(m, texts))
