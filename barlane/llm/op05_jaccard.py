@@ -20,8 +20,11 @@ there each set picks its nearest candidate first, and once components are known
 last round takes all that are left across components, so every link that could join two components has been looked
 at. A list of more than PART sets is scanned by several tasks, each for some of its sets against all.
 
-Exactness: shingles are 48-bit numbers (42 of a hash, 6 of the length) within verified pairs, and sets are told apart by 64 bits of the fingerprint,
-whose collisions are detected by the other 64.
+Exactness: shingles are 64-bit numbers (58 of a hash, 6 of the length), and pairs are verified on all of them. Sets are named by
+64 bits of a 128-bit fingerprint; where two sets share these, both get new names from all 128.
+
+Partitions: list entries, the largest shuffle, are dealt to as many partitions as their bytes fill, not to more, since a document's
+entries that go to one partition compress together. Their number follows from the sizes of all sets.
 """
 
 from __future__ import annotations
@@ -51,6 +54,12 @@ MEASURED = 64
 MOST_SUBSETS = 15
 #: What a candidate met while scanning costs, in list entries written: its counts move and are compared (190 bytes to 24).
 SCAN_COST = 8
+#: Bytes of a list entry, and of entries in a partition.
+ENTRY_BYTES = 24
+PARTITION_BYTES = 64 << 20
+#: Bytes that one row of a list with its counts takes at least, and of such rows in a partition, which are compared with each other.
+ROW_BYTES = 256
+COMPARED_BYTES = 16 << 20
 #: Sets of a list that one task takes as picking ones.
 PART = 2048
 #: Candidates for each set of a list above which the list is dense.
@@ -83,17 +92,6 @@ class Rule:
         return n * self.den // self.num == n and -(-self.num * n // self.den) == n
 
 
-def pack(h: np.ndarray) -> bytes:
-    """48-bit numbers as 6 bytes each."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def buckets(n: int, rule: Rule) -> int:
     """How many counts a set of n shingles has. Unlike sets differ by about the root of n * buckets, linked ones by their
     share of n at most: the more a rule lets linked sets differ, the more counts it takes to tell them apart."""
@@ -131,10 +129,9 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 s = shingles.rare_first(ws, h, rule.size)
                 n.append(len(s))
                 f.append(xxhash.xxh3_128_digest(s.tobytes()))
-                s >>= _U(16)
                 b = buckets(len(s), rule)
                 sig.append(np.minimum(np.bincount((s % _U(b)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes())
-                packed.append(pack(s))
+                packed.append(s.tobytes())
                 seen.append(s)
                 total += len(s)
             f = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
@@ -188,7 +185,7 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule,
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(f1)
-                s = unpack(packed)
+                s = np.frombuffer(packed, np.uint64)
                 if len(ascending):
                     place = np.minimum(np.searchsorted(ascending, s), len(ascending) - 1)
                     often = ascending[place] == s
@@ -200,7 +197,7 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule,
                     i, j = np.triu_indices(len(p), 1)
                     mine.append(pairs_key(p[i], p[j]))
                 if n * rule.den > light * rule.num or measure:
-                    mine.append(s[: rule.prefix(n)])
+                    mine.append(s[: rule.prefix(n)] & _U((1 << 63) - 1))
                 if measure:
                     mine = [k[(k >> _U(7)) % _U(MEASURED) == 0] for k in mine]
                 keys += mine
@@ -215,15 +212,20 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule,
 
 
 def pairs_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit key, with its highest bit set, for two 48-bit hashes in the order of the shingles."""
+    """A 64-bit key, with its highest bit set, for two shingles in their order."""
     x = (a * _U(0x9E3779B97F4A7C15)) ^ (b + _U(0x632BE59BD9B4E019))
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     return (x ^ (x >> _U(32))) | _U(1 << 63)
 
 
-def lists(entries: DataFrame, rule: Rule) -> DataFrame:
-    """list, part, f1: the sets of each list in which two could link, equal lists once, in PARTs."""
-    rows = entries.repartition("key").sortWithinPartitions("key")
+def entries_of(sizes: list[tuple[int, int]], light: int, rule: Rule) -> int:
+    """How many entries list_entries() makes, from (size, sets) pairs."""
+    return sum(k * (subsets(n, rule) * (n <= light) + rule.prefix(n) * (n * rule.den > light * rule.num)) for n, k in sizes)
+
+
+def lists(entries: DataFrame, rule: Rule, n_entries: int) -> DataFrame:
+    """list, members: the sets of each list in which two could link, equal lists once."""
+    rows = entries.repartition(common.parts_of(entries.sparkSession, n_entries * ENTRY_BYTES, PARTITION_BYTES), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sizes = None, [], []
@@ -365,7 +367,8 @@ def candidates(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, m
     else:
         rows = rows.withColumn("lists", F.array().cast("array<long>"))
     rows = rows.join(nodes, "f1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    rows = rows.select("list", "part", "parts", "f1", "n", "comp", "sig", "lists").repartition("list", "part").sortWithinPartitions("list", "part", "f1")
+    rows = rows.select("list", "part", "parts", "f1", "n", "comp", "sig", "lists")
+    rows = rows.repartition(common.parts_of(rows.sparkSession, members.count() * ROW_BYTES, COMPARED_BYTES), "list", "part").sortWithinPartitions("list", "part", "f1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -434,7 +437,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = unpack(x), unpack(y)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = int(np.isin(x, y, assume_unique=True).sum()) if len(x) <= len(y) else int(np.isin(y, x, assume_unique=True).sum())
                 good.append(rule.den * same >= rule.num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -452,13 +455,13 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits, bool)
+        table = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            table[(batch.column(0).to_numpy().view(np.uint64) % _U(bits)).astype(np.int64)] = True
-        at = np.flatnonzero(np.packbits(table).view(np.uint64)) if table.any() else np.empty(0, np.int64)
-        words = np.packbits(table).view(np.uint64)[at]
+            place = batch.column(0).to_numpy().view(np.uint64) % _U(bits)
+            np.bitwise_or.at(table, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+        at = np.flatnonzero(table)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words.view(np.int64))], ["at", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["at", "word"])
 
     merged = common.map_arrow(nodes.repartition(32, "f1"), run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
@@ -471,11 +474,12 @@ def one_each(sets: DataFrame, table: np.ndarray) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value.view(np.uint8)).view(bool)
+        words = shared.value
         seen: set[int] = set()
         for batch in batches:
             f1 = batch.column("f1").to_numpy()
-            ok = mask[(f1.view(np.uint64) % _U(len(mask))).astype(np.int64)]
+            place = f1.view(np.uint64) % _U(64 * len(words))
+            ok = (words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
             for i in np.flatnonzero(ok).tolist():
                 if (v := int(f1[i])) in seen:
                     ok[i] = False
@@ -497,21 +501,30 @@ class Joined:
     light: int
 
 
+def told_apart(sets: DataFrame) -> DataFrame:
+    """`sets` with an f1 for each (f1, f2): where several f2 share an f1, which few sets in a very large table do, these
+    get hashes of both."""
+    for _ in range(8):
+        clash = sets.groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y").select("f1", F.lit(True).alias("__clash"))
+        if clash.isEmpty():
+            return sets
+        renamed = sets.join(clash, "f1", "left").withColumn("f1", F.when(F.col("__clash"), F.xxhash64("f1", "f2")).otherwise(F.col("f1")))
+        sets = common.written(renamed.select(*sets.columns), "told-apart")
+    raise RuntimeError("sets can't be told apart")
+
+
 def join(docs: DataFrame, rule: Rule, rounds: tuple[int | None, ...] = ROUNDS) -> Joined:
     """The join of `docs` (doc_id, text; other columns are left out) with itself. With EVERY_LINK as rounds, `links` has
     every link between unlike sets once; else those that were needed to find the components."""
     table = common.written(hashed_sets(docs, rule), "shingle-sets")
-    sets = table.where("kind = 0")
-    clash = sets.groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y")
-    if not clash.isEmpty():
-        raise RuntimeError("two sets share 64 bits of their fingerprints")
+    sets = told_apart(table.where("kind = 0"))
     top = table.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(FREQUENT).select("f1", "n").toArrow()
     frequent = top["f1"].to_numpy().view(np.uint64)[::-1].copy()
     sizes = [(r["n"], r["c"]) for r in sets.groupBy("n").agg(F.count_distinct("f1").alias("c")).collect() if not rule.lonely(r["n"])]
     lengths = list_entries(sets, frequent, 0, rule, measure=True).groupBy("key").agg(F.count_distinct("f1").alias("c"))
     scan = {r["light"]: SCAN_COST * r["pairs"] / r["entries"] for r in lengths.groupBy((F.col("key") < 0).alias("light")).agg(F.sum("c").alias("entries"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()}
     light = boundary(sizes, scan.get(True, 0.0), scan.get(False, 0.0), rule)
-    members = common.written(memberships(common.written(lists(list_entries(sets, frequent, light, rule), rule), "lists", NUMERIC_ROWS)), "members")
+    members = common.written(memberships(common.written(lists(list_entries(sets, frequent, light, rule), rule, entries_of(sizes, light, rule)), "lists", NUMERIC_ROWS)), "members")
     nodes = common.written(one_each(sets.select("f1", "n", "sig"), node_filter(members.select("f1"))), "nodes")
     labels, links = None, None
     for most in rounds:

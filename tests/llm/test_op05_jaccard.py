@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from barlane.llm import common, op05_jaccard as op, shingles
 
 SPACE = common.SPACE
@@ -131,7 +133,21 @@ def test_bound_never_exceeds_the_truth():
         for j in rows:
             if low[i, j] < 2**40:
                 assert low[i, j] <= len(np.setxor1d(some[i], some[j]))
-    assert (op.unpack(op.pack(some[2])) == some[2]).all()
+
+
+def test_sets_that_share_half_a_fingerprint_get_names_of_their_own(spark):
+    sets = spark.createDataFrame([(1, 5, 50), (2, 5, 50), (3, 5, 51), (4, 6, 50), (5, 5, 52)], "did long, f1 long, f2 long")
+    name = {r["did"]: r["f1"] for r in op.told_apart(sets).collect()}
+    assert name[1] == name[2] and name[4] == 6
+    assert len({name[d] for d in (1, 3, 4, 5)}) == 4
+
+
+def test_entries_are_counted_before_they_are_made(make_docs):
+    rule = op.Rule()
+    sets = op.told_apart(op.hashed_sets(make_docs(corpus(3, 80)).coalesce(1), rule).where("kind = 0"))
+    sizes = [(r["n"], r["c"]) for r in sets.where("n > 0").groupBy("n").agg(F.count_distinct("f1").alias("c")).collect() if not rule.lonely(r["n"])]
+    for light in (0, 30, 10**9):
+        assert op.list_entries(sets, np.empty(0, np.uint64), light, rule).count() == op.entries_of(sizes, light, rule)
 
 
 def test_query(spark, sf_dir):
