@@ -1,24 +1,26 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are parted by the size of their shingle sets, [2^j, 2^(j+1)). An item's sketch holds its smallest shingle
-hashes, twice as many as an item of its part's largest size may miss, plus two. If an item is contained in a document to
-the threshold, at most m of its shingles are missing, so of k sketch values at least k - m are in the document: the
-search looks up every shingle of a document among all sketch values and takes items with that many hits. It misses
-nothing. Each candidate is verified on the shingles themselves, not on their hashes.
-
-Items go to the tasks in blocks of about BLOCK_CHARS characters, each block with one pass over the documents, so what
-is broadcast has a fixed bound and a larger benchmark takes more passes.
+Test items are parted by the size of their shingle sets, [2^j, 2^(j+1)). All items of a part have MinHash sketches of the
+same length: the 2^j smallest hashes of their shingles, SKETCH at most. These are a random sample of an item's shingles, so
+the share of them that a document holds estimates how much of the item it holds. The search looks up the shingles of a
+document among all sketch values and takes items with enough hits: as many as an item at the threshold must have, or,
+where a sketch is shorter than what may be missing can rule out, as many as one at the threshold has but for a chance of
+MISS. So recall is 1 for items of less than 2 * SKETCH shingles, and 1 - MISS for each longer one. Each candidate is
+verified on the shingles themselves, not on their hashes.
+
+Items go to the tasks in blocks of about BLOCK_CHARS characters, one after another: a block's sketches are broadcast, its
+pass over the documents is written, and its broadcast is dropped before the next. So what the driver and the workers hold
+has a fixed bound, and a larger benchmark takes more passes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ from barlane.llm import common, shingles
 
 SIZE = 5
 THRESHOLD = 0.8
+#: Longest sketch, and the chance by which one may miss an item at the threshold.
+SKETCH = 64
+MISS = 1e-9
 BLOCK_CHARS = 16 << 20
 GROUP_CHARS = 2 << 20
 ID_CHARS = 8
-PAIRS = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
+LEAKS = "did long, th long, item_id long, n_shingles long, n_found long, containment double"
 
 
 def most_missing(n: int, threshold: float) -> int:
@@ -37,63 +42,86 @@ def most_missing(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9)
 
 
+def least_hits(n: int, length: int, missing: int) -> int:
+    """How many of the `length` sketch values of an item of n shingles a document holds at least if `missing` of them are
+    not in it: for certain if that is more than none, else but for a chance of MISS (hypergeometric)."""
+    sure = length - missing
+    if sure > 0:
+        return sure
+    log_comb = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    chance, hits = 0.0, 0
+    while hits < length:
+        chance += math.exp(log_comb(n - missing, hits) + log_comb(missing, length - hits) - log_comb(n, length)) if hits <= n - missing else 0.0
+        if chance > MISS:
+            break
+        hits += 1
+    return max(1, hits)
+
+
 class Sketches:
-    """The sketches of a block of items, each with a tuple of its ids."""
+    """The sketches of a block of items, each with a tuple of its ids. Items themselves are kept as texts only."""
 
     def __init__(self, items: list[tuple[tuple[int | None, ...], str]], size: int, threshold: float) -> None:
         hasher = shingles.Hasher()
         self.size, self.threshold = size, threshold
-        self.items: list[tuple[tuple[int | None, ...], int, list[tuple[bytes, ...]]]] = []
-        sets: list[np.ndarray] = []
+        self.ids: list[tuple[int | None, ...]] = []
+        self.texts: list[bytes] = []
+        need, entries = [], {}
         for ids, text in items:
             ws = shingles.words(text)
             if not ws:
                 continue
             k = min(size, len(ws))
-            self.items.append((ids, k, sorted(set(zip(*(ws[i : len(ws) - k + 1 + i] for i in range(k)), strict=True)))))
-            sets.append(np.unique(shingles.runs(hasher.words([ws])[0], k)))
-        part = [len(s).bit_length() for s in sets]
-        largest: dict[int, int] = {}
-        for p, s in zip(part, sets, strict=True):
-            largest[p] = max(largest.get(p, 0), len(s))
-        self.need: list[int] = []
-        at: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, (p, s) in enumerate(zip(part, sets, strict=True)):
-            sketch = s[: 2 * most_missing(largest[p], threshold) + 2]
-            self.need.append(len(sketch) - most_missing(len(s), threshold))
-            for v in sketch.tolist():
-                at[self.items[i][1]][v].append(i)
-        #: By words of a shingle: ascending sketch values, and the items of each.
-        self.values = {k: np.array(sorted(v), np.uint64) for k, v in at.items()}
-        self.of = {k: dict(v) for k, v in at.items()}
-        self.marks = {}
-        for k, v in self.values.items():
-            self.marks[k] = np.zeros(1 << 16, bool)
-            self.marks[k][(v >> np.uint64(48)).astype(np.int64)] = True
+            s = np.unique(shingles.runs(hasher.words([ws])[0], k))
+            length = min(SKETCH, 1 << (len(s).bit_length() - 1))
+            entries.setdefault(k, []).append((s[:length], len(self.ids)))
+            need.append(least_hits(len(s), length, most_missing(len(s), threshold)))
+            self.ids.append(ids)
+            self.texts.append(b" ".join(ws))
+        self.need = np.array(need, np.int64)
+        #: By words of a shingle: ascending distinct sketch values, where each one's items begin, all items, and a table of the values' first bits.
+        self.tables = {k: self._table(of) for k, of in entries.items()}
+
+    @staticmethod
+    def _table(of: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        every = np.concatenate([s for s, _ in of])
+        items = np.repeat(np.array([i for _, i in of], np.int64), [len(s) for s, _ in of])
+        order = np.argsort(every, kind="stable")
+        values, begin = np.unique(every[order], return_index=True)
+        bits = min(22, max(16, (16 * len(values)).bit_length()))
+        shift = np.uint64(64 - bits)
+        marks = np.zeros(1 << bits, bool)
+        marks[(values >> shift).astype(np.int64)] = True
+        return values, np.append(begin, len(every)), items[order], marks, shift
 
     def candidates(self, h: np.ndarray) -> list[int]:
         """Items with enough sketch values among the shingles of a document, by the hashes of its words."""
-        hits: dict[int, int] = defaultdict(int)
-        for k, values in self.values.items():
+        hits = []
+        for k, (values, begin, items, marks, shift) in self.tables.items():
             found = shingles.runs(h, k)
-            found = found[self.marks[k][(found >> np.uint64(48)).astype(np.int64)]]
+            found = found[marks[(found >> shift).astype(np.int64)]]
             if len(found):
                 place = np.minimum(np.searchsorted(values, found), len(values) - 1)
-                for v in set(found[values[place] == found].tolist()):
-                    for i in self.of[k][v]:
-                        hits[i] += 1
-        return [i for i, n in hits.items() if n >= self.need[i]]
+                place = np.unique(place[values[place] == found])
+                hits += [items[begin[p] : begin[p + 1]] for p in place.tolist()]
+        if not hits:
+            return []
+        which, n = np.unique(np.concatenate(hits), return_counts=True)
+        return which[n >= self.need[which]].tolist()
 
     def verify(self, ws: list[bytes], which: list[int]) -> Iterator[tuple[tuple[int | None, ...], int, int]]:
         """(ids, shingles, shingles found in the document) of the items that reach the threshold."""
+        grams = lambda words, k: set(zip(*(words[j : len(words) - k + 1 + j] for j in range(k)), strict=True))
         sets: dict[int, set] = {}
         for i in which:
-            ids, k, own = self.items[i]
+            words = self.texts[i].split()
+            k = min(self.size, len(words))
             if k not in sets:
-                sets[k] = set(zip(*(ws[j : len(ws) - k + 1 + j] for j in range(k)), strict=True))
-            n = sum(s in sets[k] for s in own)
+                sets[k] = grams(ws, k)
+            own = grams(words, k)
+            n = len(own & sets[k])
             if len(own) - n <= most_missing(len(own), self.threshold):
-                yield ids, len(own), n
+                yield self.ids[i], len(own), n
 
 
 def blocks(benchmark: DataFrame, block_chars: int, every_id: bool = False) -> Iterator[list[tuple[tuple[int | None, ...], str]]]:
@@ -110,43 +138,50 @@ def blocks(benchmark: DataFrame, block_chars: int, every_id: bool = False) -> It
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False) -> DataFrame:
-    """Leaks of `benchmark` (item_id, text) in `docs` (doc_id, text; other columns of both are left out), as PAIRS: the share of an
+    """Leaks of `benchmark` (item_id, text) in `docs` (doc_id, text; other columns of both are left out), as doc_id, item_id, n_shingles, n_found and containment: the share of an
     item's distinct shingles that a document holds is `threshold` or more.
 
     Shingles are `size` words; an item with fewer words is one shingle of all its words, searched as that run. Items
     with equal texts count once, under the smallest item_id, or with `every_id` under each of their ids. Null or empty texts hold nothing and are found nowhere.
     A null doc_id is returned as such; repeated rows each give their pairs. Empty tables give no pairs.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    found = [_search(rows, Sketches(items, size, threshold)) for items in blocks(benchmark, block_chars, every_id)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], PAIRS)
+    return leaks(docs, benchmark, size, threshold, block_chars, every_id).drop("th").withColumn("did", common.unfold(F.col("did"))).withColumnRenamed("did", "doc_id")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False) -> DataFrame:
+    """search() with documents named by did, their folded doc_id, and th, the hash of their text."""
+    rows = docs.select(common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"), "text").where(F.col("text").isNotNull())
+    found: DataFrame | None = None
+    for items in blocks(benchmark, block_chars, every_id):
+        shared = docs.sparkSession.sparkContext.broadcast(Sketches(items, size, threshold))
+        got = common.written(_search(rows, shared), "leaks")
+        shared.destroy()
+        found = got if found is None else found.unionAll(got)
+    return docs.sparkSession.createDataFrame([], LEAKS) if found is None else found
 
 
-def _search(rows: DataFrame, sketches: Sketches) -> DataFrame:
-    spark = rows.sparkSession
-    common.ship(spark)
-    shared = spark.sparkContext.broadcast(sketches)
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.float64()]
+def _search(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    names = [c.split()[0] for c in LEAKS.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, hasher = shared.value, shingles.Hasher()
-        for doc_ids, texts in common.grouped(batches, GROUP_CHARS):
+        for keys, texts in common.grouped(batches, GROUP_CHARS):
             listed = [shingles.words(t) for t in texts]
             out = []
-            for doc_id, ws, h in zip(doc_ids, listed, hasher.words(listed), strict=True):
+            for key, ws, h in zip(keys, listed, hasher.words(listed), strict=True):
                 if which := s.candidates(h):
-                    out += [(doc_id, i, n, f, f / n) for ids, n, f in s.verify(ws, which) for i in ids]
+                    out += [(key["did"], key["th"], i, n, f, f / n) for ids, n, f in s.verify(ws, which) for i in ids]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return common.map_arrow(rows, run, PAIRS)
+    return common.map_arrow(rows.select(F.struct("did", "th").alias("key"), "text"), run, LEAKS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that leak no item. Rows of a null doc_id go together."""
-    leaks = common.written(search(docs, benchmark).select(common.fold(F.col("doc_id")).alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, common.fold(docs["doc_id"]) == F.col("__leak"), "left_anti")
+    """The rows of `docs`, with all their columns, whose own text leaks no item, whatever other rows share their doc_id."""
+    gone = leaks(docs, benchmark).select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, (common.fold(docs["doc_id"]) == F.col("__did")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,16 +68,48 @@ def test_edge_documents(spark, docs, doc_rows, empty):
     assert op.search(empty, bench).count() == 0
     assert op.search(docs, bench.limit(0)).count() == 0
     clean = op.clean(docs, bench)
-    leaks = {d for d, *_ in found(got)}
     assert clean.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _, _ in doc_rows if str(i) not in leaks)
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, t, _ in doc_rows if not brute([(i, t)], items))
+
+
+def test_clean_rows_stay_beside_leaking_ones_of_the_same_id(spark, make_docs):
+    item, other = "one two three four five six seven eight", "these are quite different words of a clean document"
+    rows = [(None, item), (None, other), (5, item), (5, other), (5, None), (6, f"{other} {item}")]
+    got = op.clean(make_docs(rows), spark.createDataFrame([(1, item, "c")], ITEMS))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == [("5", ""), ("5", other), ("None", other)]
+
+
+def test_recall_of_items_longer_than_their_sketches():
+    rng = random.Random(6)
+    items = [((i,), " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([150, 200, 400, 900] * 12)]
+    s = op.Sketches(items, 5, 0.8)
+    hasher, caught, true = shingles.Hasher(), 0, 0
+    for i, ((_,), text) in enumerate(items):
+        ws = shingles.words(text)
+        for _ in range(3):
+            v = list(ws)
+            for at in rng.sample(range(len(v)), int(0.04 * len(v))):
+                v[at] = b"x%d" % rng.randrange(10**6)
+            if i in [ids[0] for ids, _, _ in s.verify(v, [i])]:
+                true += 1
+                caught += i in s.candidates(hasher.words([v])[0])
+    assert true > 50 and caught == true
+
+
+@pytest.mark.parametrize(("n", "length", "missing"), [(3, 2, 0), (63, 32, 12), (127, 64, 25), (400, 64, 80), (5000, 64, 1000)])
+def test_least_hits(n, length, missing):
+    rng = random.Random(n)
+    need = op.least_hits(n, length, missing)
+    assert 0 < need <= length
+    assert min(sum(x >= missing for x in rng.sample(range(n), length)) for _ in range(300)) >= need
 
 
 def test_sketches_miss_nothing():
     rng = random.Random(1)
     for n in (1, 3, 5, 6, 9, 17, 40, 90):
         text = " ".join(f"w{i}" for i in range(n + 4))
-        s = op.Sketches([(1, text)], 5, 0.8)
+        s = op.Sketches([((1,), text)], 5, 0.8)
         w = text.split()
         for _ in range(60):
             v = list(w)
