@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 
 from barlane.llm import op08_chat as op
 
@@ -37,25 +38,57 @@ ROWS = [
 
 
 def test_edge_conversations(spark):
-    assert found(op.read_back(op.format_log(op.as_events(table(spark, ROWS))))) == brute(ROWS)
+    assert found(op.read_back(op.format_log(op.as_log(table(spark, ROWS))))) == brute(ROWS)
+
+
+def logged(rows):
+    """The log of rows as one task makes it."""
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    cols = [[r[0] for r in ordered], [r[1] for r in ordered], [r[2] or "" for r in ordered], [r[3] or "" for r in ordered]]
+    return list(op._log(iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv_id", "turn", "role", "text"])])))
+
+
+def test_every_message_is_folded(monkeypatch):
+    rows = ROWS + [(7, t, "assistant", f"turn {t} " * (t * 40)) for t in range(40)]
+    seen, most, add = {}, [0], op.Fold.add
+
+    def counted(self, message, event, role, text):
+        add(self, message, event, role, text)
+        seen.setdefault(event, []).append(message)
+        most[0] = max(most[0], len(self.texts))
+
+    monkeypatch.setattr(op.Fold, "add", counted)
+    formatted = list(op._format(iter(logged(rows))))
+    assert sum(r["n_turns"] for b in formatted for r in b.to_pylist()) == len(rows) == len(seen["start"]) == len(seen["end"])
+    assert len(seen["edit"]) > 10 and len(seen["regenerate"]) > 10 and len(seen["delta"]) > len(rows)
+    assert most[0] == 1  # closed messages do not wait for the end of their conversation
+    got = [r for b in op._digest(iter(formatted)) for r in b.to_pylist()]
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got) == brute(rows)
+
+
+def test_closed_messages_stay():
+    fold = op.Fold()
+    for e in [(1, "start", "user", "a"), (2, "start", "assistant", ""), (2, "end", "", ""), (2, "edit", "", "late"), (1, "delta", "", "b")]:
+        fold.add(*e)
+    assert list(fold.ready()) == []
+    fold.add(1, "end", "", "")
+    assert list(fold.ready()) == [("user", "ab"), ("assistant", "")]
+    fold.add(2, "start", "user", "again")
+    assert list(fold.ready(all_=True)) == [("user", "again")] and not fold.closed
 
 
 def test_long_conversation_takes_segments(spark, monkeypatch):
     monkeypatch.setattr(op, "SEGMENT", 500)
     rows = [(9, t, "assistant" if t % 2 else "user", f"turn {t} <|") for t in range(300)] + ROWS
-    import pyarrow as pa
-
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
-    batch = pa.RecordBatch.from_pylist([{"conv_id": c, "seq": t, "message": None, "event": "start", "role": r, "text": x} for c, t, r, x in ordered], pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("message", pa.int64()), ("event", pa.string()), ("role", pa.string()), ("text", pa.string())]))
-    formatted = list(op._format(iter([batch.slice(i, 7) for i in range(0, len(rows), 7)])))
+    formatted = list(op._format(iter([b.slice(i, 7) for b in logged(rows) for i in range(0, b.num_rows, 7)])))
     assert sum(r["conv_id"] == 9 for b in formatted for r in b.to_pylist()) > 10
     got = [r for b in op._digest(iter(formatted)) for r in b.to_pylist()]
     assert sorted((str(r["conv_id"]), r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got) == brute(rows)
 
 
 def test_empty(spark):
-    assert op.format_log(op.as_events(table(spark, []))).count() == 0
-    assert op.read_back(op.format_log(op.as_events(table(spark, [])))).count() == 0
+    assert op.format_log(op.as_log(table(spark, []))).count() == 0
+    assert op.read_back(op.format_log(op.as_log(table(spark, [])))).count() == 0
 
 
 def test_deltas_edits_and_regenerations(spark):
