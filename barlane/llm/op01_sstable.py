@@ -311,7 +311,7 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
 
     Null texts count as empty: such a document holds the end id alone. A null doc_id sorts first. Rows that repeat
     a doc_id are all kept, in the order of their text's hash. An empty table writes no shard. Returns the manifest:
-    shard, path, n_docs, n_ids.
+    shard, path, n_docs, n_ids, and the first and last doc_id.
     """
     n = n_shards or common.parts_for(docs, SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -323,22 +323,23 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
         enc = encoder(tokenizer_path)
         end = array(enc.code, [end_id]).tobytes()
         fs, root = common.filesystem(out_uri)
-        path, writer, stream = f"{root}/shard-{shard:07d}.sst", None, None
+        path, writer, stream, first = f"{root}/shard-{shard:07d}.sst", None, None, None
         part = f"{root}/.shard-{shard:07d}-{uuid.uuid4().hex}"
         for doc_ids, texts in common.grouped(batches, GROUP_CHARS):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 stream = fs.open_output_stream(part)
-                writer = Writer(stream, enc.width)
+                writer, first = Writer(stream, enc.width), doc_ids[0]
             for doc_id, ids in zip(doc_ids, enc.texts(texts), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             info = writer.close()
             stream.close()
             fs.move(part, path)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [info["n_docs"]], "n_ids": [info["n_ids"]]})
+            ends = {"first": pa.array([first], pa.int64()), "last": pa.array([doc_ids[-1]], pa.int64())}
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [info["n_docs"]], "n_ids": [info["n_ids"]]} | ends)
 
-    return common.written(common.map_arrow(rows, write, "shard long, path string, n_docs long, n_ids long"), "sst-manifest")
+    return common.written(common.map_arrow(rows, write, "shard long, path string, n_docs long, n_ids long, first long, last long"), "sst-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, out_uri: str) -> DataFrame:
@@ -382,10 +383,20 @@ def _batch(rows: Iterable[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], list(names))
 
 
-def lookup(out_uri: str, paths: list[str], doc_id: int) -> np.ndarray | None:
-    """One document's ids from shards in ascending order, by bisection over the shards' Bloom filters and indexes."""
+def directory(manifest: DataFrame) -> list[tuple[str, bytes, bytes]]:
+    """(path, first key, last key) of each shard, in order; five numbers and a path a shard, for lookup()."""
+    rows = manifest.select("path", "first", "last").orderBy("shard").collect()
+    return [(r["path"], key_bytes(r["first"]), key_bytes(r["last"])) for r in rows]
+
+
+def lookup(out_uri: str, shards: list[tuple[str, bytes, bytes]], doc_id: int | None) -> np.ndarray | None:
+    """One document's ids, by bisection over the keys of directory()'s shards, then over that shard's index. A doc_id in
+    several rows gives the first. No other shard is opened."""
+    key = key_bytes(doc_id)
     fs, _ = common.filesystem(out_uri)
-    for path in paths:
+    for path, first, _ in shards[bisect.bisect_left(shards, key, key=lambda s: s[2]) :]:
+        if first > key:
+            break
         with fs.open_input_file(path) as file:
             found = Reader(file, file.size()).get(doc_id)
             if found is not None:
