@@ -8,7 +8,7 @@
    (levels of bit arrays; a key's place is the rank of its bit), which indexes three flat arrays: a 32-bit
    fingerprint, the count of documents (up to 255, or to least_docs if that is more) and the largest doc_id.
 4. Documents' hashes are dealt to the same shards and probe the arrays; no lines are joined. A shard with more than
-   PROBE_ROWS probes, because one line is everywhere, is split into that many salted parts, each with a copy of the
+   PROBE_ROWS probes, because one line is everywhere, is split into that many parts, salted by document and text, each with a copy of the
    shard's arrays.
 5. The line numbers to drop go back to their documents, by doc_id and hash of text.
 """
@@ -32,6 +32,9 @@ SHARD_KEYS = 1 << 15
 PROBE_ROWS = 1 << 16
 #: Documents of a line that are counted at least, in one byte.
 MOST_COUNT = 255
+#: Bytes of a line's row, and of such rows in a partition.
+ROW_BYTES = 64
+PARTITION_BYTES = 8 << 20
 #: Bits a key of each level of the hash.
 GAMMA = 2.0
 LEVELS = 32
@@ -180,7 +183,8 @@ def build_index(lines: DataFrame, n_shards: int, least_docs: int = LEAST_DOCS) -
     """shard, probes, data: the shards' arrays, from hashed_lines(), with counts that can be held against least_docs."""
     most = max(MOST_COUNT, least_docs)
     counted = lines.groupBy("h1", "h2").agg(F.count_distinct("did").alias("n"), F.max("did").alias("last"), F.count(F.lit(1)).alias("probes"))
-    counted = counted.withColumn("shard", F.pmod("h1", F.lit(n_shards))).repartition("shard").sortWithinPartitions("shard")
+    n_parts = common.parts_of(lines.sparkSession, n_shards * SHARD_KEYS * ROW_BYTES, PARTITION_BYTES)
+    counted = counted.withColumn("shard", F.pmod("h1", F.lit(n_shards))).repartition(n_parts, "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts = None, []
@@ -211,9 +215,10 @@ def probe(lines: DataFrame, index: DataFrame, n_shards: int, least_docs: int) ->
     salts = F.ceil(F.col("probes") / PROBE_ROWS).cast("int")
     hot = index.where(F.col("probes") > PROBE_ROWS).select("shard", salts.alias("salts"))
     asked = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).join(hot, "shard", "left")
-    asked = asked.select("shard", F.coalesce(F.pmod("th", F.col("salts").cast("long")), F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "did", "th", "lines", F.lit(None).cast("binary").alias("data"))
+    asked = asked.select("shard", F.coalesce(F.pmod(F.xxhash64("did", "th"), F.col("salts").cast("long")), F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "did", "th", "lines", F.lit(None).cast("binary").alias("data"))
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "did", "th")), F.lit(None).cast("array<int>").alias("lines"), "data")
-    both = asked.unionByName(arrays).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    n_parts = common.parts_of(lines.sparkSession, n_shards * SHARD_KEYS * ROW_BYTES, PARTITION_BYTES)
+    both = asked.unionByName(arrays).repartition(n_parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
