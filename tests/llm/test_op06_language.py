@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +73,28 @@ def test_scripts_that_differ_by_code_points_only(make_docs, spark):
     got = {r["doc_id"]: r for r in op.predict(docs, op.learn(docs)).collect()}
     held = [i for i, r in got.items() if r["held_out"]]
     assert len(held) > 10 and all(got[i]["lang_pred"] == f"l{i % 3}" for i in held)
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    rows = common.load(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    s = op.Space()
+
+    def vector(text):
+        codes = s.letters(text)
+        v = s.vectors(codes).astype(float)
+        return (np.roll(v[:-2], 2, 1) * np.roll(v[1:-1], 1, 1) * v[2:]).sum(0), Counter(zip(codes, codes[1:], codes[2:], strict=False))
+
+    total = {}
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    made = {r["doc_id"]: vector(r["text"] or "") for r in rows}
+    for r in rows:
+        v, n = made[r["doc_id"]]
+        if r["lang"] and n and not held(r):
+            total[r["lang"]] = total.get(r["lang"], 0) + v / np.sqrt(sum(x * x for x in n.values()))
+    got = {r["doc_id"]: r for r in op.op6_language(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        v, n = made[r["doc_id"]]
+        cos = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in total.items()} if n else {"und": 0.0}
+        best = max(sorted(cos), key=cos.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - max(0, cos[best])) < 1e-4

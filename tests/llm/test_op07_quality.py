@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,3 +53,20 @@ def test_pairs_order_scores():
     s = m.score(x)
     assert ((s >= op.CUT) == y).mean() > 0.9
     assert abs(1 / (1 + np.exp(-np.log(op.CUT / (1 - op.CUT)))) - op.CUT) < 1e-12
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    docs, labels = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels")
+    m = op.learn(docs, labels)
+    got = {r["doc_id"]: r for r in op.op7_quality(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = 0.0
+        for j, v in enumerate(op.features(r["text"] or "")):
+            for k in range(m.knots.shape[1] - 1):
+                low, high = m.knots[j, k], m.knots[j, k + 1]
+                raw += m.weights[j * (m.knots.shape[1] - 1) + k] * min(1.0, max(0.0, (v - low) / max(high - low, 1e-9)))
+        want = 1 / (1 + np.exp(-(raw - m.threshold) / m.scale - np.log(0.3 / 0.7)))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
