@@ -2,8 +2,9 @@
 
 Features are words in lower case and their first letters (PREFIXES), since insults are inflected; of these the FEATURES
 that tell toxic from other training documents best are kept. A document's value of a feature is log(1 + count).
-Grades: 0 for documents marked not toxic; documents marked toxic get 1, 2 or 3 by the tercile of how many features occur
-in them. P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector for all ordered thresholds, fitted by gradient
+Grades: 0 for documents marked not toxic. Labels do not say how grave a toxic document is; those marked toxic get 1, 2 or 3 by
+the tercile of the share of their words that tell toxic text, where a document of one half of the sample is judged by the
+features of the other half, not by the model's. P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector for all ordered thresholds, fitted by gradient
 descent on the likelihood. The expected severity is the sum of P(grade > k).
 """
 
@@ -25,8 +26,9 @@ from barlane.llm import common, labelled
 TRAIN_PER_CLASS = 5000
 FEATURES = 512
 PREFIXES = (4, 5, 6)
-#: Toxic training documents that a feature must be in.
+#: Toxic training documents that a feature must be in, and how many times as often it must be in them as in others.
 LEAST_DOCS = 5
+LEAST_RATIO = 30
 GRADES = 4
 STEPS = 500
 L2 = 1e-4
@@ -83,8 +85,8 @@ class Scorer:
         return float(sum(self.model.weights[i] * np.log1p(n) for i, n in self.counts(text).items()))
 
 
-def choose(rows: DataFrame) -> tuple[str, ...]:
-    """The FEATURES features of (text, y) that stand out most in toxic rows, by the excess over what other rows let
+def choose(rows: DataFrame, most: int = FEATURES, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO) -> tuple[str, ...]:
+    """The `most` features of (text, y) that stand out most in toxic rows, by the excess over what other rows let
     expect in units of its deviation. Tasks count their rows before the counts are shuffled."""
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -102,7 +104,7 @@ def choose(rows: DataFrame) -> tuple[str, ...]:
 
     counted = common.map_arrow(rows.select("y", "text"), run, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     expected = (F.col("o") + 0.5) * F.lit(n[1] / n[0])
-    best = counted.where(F.col("t") >= LEAST_DOCS).where(F.col("t") > 30 * expected).orderBy(F.desc((F.col("t") - expected) / F.sqrt(expected + 1)), "feature").limit(FEATURES)
+    best = counted.where(F.col("t") >= least_docs).where(F.col("t") > least_ratio * expected).orderBy(F.desc((F.col("t") - expected) / F.sqrt(expected + 1)), "feature").limit(most)
     return tuple(r["feature"] for r in best.collect())
 
 
@@ -142,24 +144,33 @@ def fit(features: tuple[str, ...], x: np.ndarray, grade: np.ndarray) -> Ordinal:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Ordinal:
     """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic) by up to `per_class` documents a class."""
     rows = labelled.sample(docs, labels, "toxic", per_class, "toxicity-sample")
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     features = choose(rows)
+    judges = [choose(rows.where(F.col("half") != half)) for half in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Ordinal(features, np.zeros(len(features)), np.zeros(GRADES - 1)))
-        for ys, texts in common.grouped(batches, GROUP_CHARS):
+        blank = lambda names: Scorer(Ordinal(names, np.zeros(len(names)), np.zeros(GRADES - 1)))
+        scorer, other = blank(features), [blank(j) for j in judges]
+        for keys, texts in common.grouped(batches, GROUP_CHARS):
             got = [scorer.counts(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))})
+            shares = [sum(other[k["half"]].counts(t).values()) / max(1, len(t.split())) for k, t in zip(keys, texts, strict=True)]
+            yield pa.RecordBatch.from_pydict({"y": pa.array([k["y"] for k in keys], pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64())), "share": pa.array(shares, pa.float64())})
 
-    got = common.map_arrow(rows.select("y", "text"), run, "y int, at array<int>, n array<long>").toArrow().to_pylist()
+    got = common.map_arrow(rows.select(F.struct("y", "half").alias("key"), "text"), run, "y int, at array<int>, n array<long>, share double").toArrow().to_pylist()
     x = np.zeros((len(got), len(features)), np.float32)
     for k, r in enumerate(got):
         x[k, r["at"]] = np.log1p(r["n"])
-    y = np.array([r["y"] for r in got], np.int64)
-    hits = np.array([sum(r["n"]) for r in got])
-    grade = np.zeros(len(got), np.int64)
+    return fit(features, x, grades(np.array([r["y"] for r in got], np.int64), np.array([r["share"] for r in got])))
+
+
+def grades(y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """0 where y is 0, else 1 to 3 by the tercile of the share among rows where y is 1; if all of these are equal, 2."""
+    out = np.zeros(len(y), np.int64)
     if y.any():
-        grade[y == 1] = 1 + np.searchsorted(np.quantile(hits[y == 1], [1 / 3, 2 / 3]), hits[y == 1], side="right")
-    return fit(features, x, grade)
+        mine = share[y == 1]
+        cuts = np.quantile(mine, [1 / 3, 2 / 3])
+        out[y == 1] = 1 + (np.searchsorted(cuts, mine, side="left") + np.searchsorted(cuts, mine, side="right")) // 2
+    return out
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:

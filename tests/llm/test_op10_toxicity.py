@@ -1,7 +1,10 @@
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from barlane.llm import common, op10_toxicity as op
+from barlane.llm import common, labelled, op10_toxicity as op
 
 
 def test_held_out_documents(spark):
@@ -45,6 +48,34 @@ def test_gradient_raises_the_likelihood():
     assert (each.argmax(1) == grade).all()
 
 
+def test_grades_are_terciles_with_ties():
+    y = np.array([0, 1, 1, 1, 1, 1, 1, 0])
+    assert op.grades(y, np.array([9, 1, 2, 3, 4, 5, 6, 0.5])).tolist() == [0, 1, 1, 2, 2, 3, 3, 0]
+    assert op.grades(y, np.full(8, 0.25)).tolist() == [0, 2, 2, 2, 2, 2, 2, 0]
+    assert op.grades(np.zeros(3, int), np.zeros(3)).tolist() == [0, 0, 0] and op.grades(np.zeros(0, int), np.zeros(0)).tolist() == []
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    docs, labels = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels")
+    m = op.learn(docs, labels)
+    got = {r["doc_id"]: r for r in op.op10_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        n = Counter(f for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)])
+        z = sum(w * np.log1p(n[f]) for f, w in zip(m.features, m.weights, strict=True))
+        above = 1 / (1 + np.exp(m.thresholds - z))
+        assert abs(got[r["doc_id"]]["expected_severity"] - above.sum()) < 1e-6
+        assert abs(got[r["doc_id"]]["p_toxic"] - above[0]) < 1e-6 and got[r["doc_id"]]["grade"] == np.argmax([1 - above[0], *(above[:-1] - above[1:]), above[-1]])
+
+
+def test_labels_of_documents_that_are_not_there_take_no_place(spark, make_docs):
+    docs = make_docs([(i, f"text {i} {'vile' if i % 2 else 'nice'}") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-2000, 40)], "doc_id long, toxic int")
+    kept = labelled.sample(docs, labels, "toxic", 12, "t").collect()
+    assert sum(r["y"] for r in kept) == 12 and len(kept) == 24
+
+
 def test_word_features():
     assert op.word_features("worthless") == ["worthless", "wort*", "worth*", "worthl*"]
     assert op.word_features("ab") == ["ab"]
