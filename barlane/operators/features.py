@@ -102,7 +102,7 @@ class Pipeline(Transform):
         return reduce(lambda d, s: d.transform(s.apply), self.steps, df)
 
     def invert(self, df: DataFrame) -> DataFrame:
-        return reduce(lambda d, s: d.transform(s.invert) if hasattr(s, "invert") else d, reversed(self.steps), df)
+        return reduce(lambda d, s: d.transform(s.invert), reversed(self.steps), df)
 
 
 def standardisation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -99,7 +99,3 @@ def run_strategy(name: str, y_true: DataFrame, y_pred: DataFrame, x_test: DataFr
         raise ValueError(f"no strategy {name!r}; there are {', '.join(STRATEGIES)}")
     return found(y_true, y_pred, x_test, **options)
 
-
-def proportional_weights(pred: Column) -> Column:
-    """A prediction's part in the proportional strategy before it is divided by the sum."""
-    return clamp_low(pred)

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from barlane.sources.schemas import HORIZON
 
 
+def preview(df: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first `most` rows by the columns `order`; Spark keeps no more than these of each task."""
+    return df.orderBy(*order).limit(most)
+
+
 def distinct_windows(x_test: DataFrame, most: int | None = None) -> DataFrame:
     """window_id, each once; with `most` the smallest so many."""
     ids = x_test.select("window_id").distinct()

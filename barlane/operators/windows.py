@@ -6,7 +6,7 @@ with the rows that the block's last windows need from the next. So one very long
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,33 +42,41 @@ def positions(df: DataFrame) -> DataFrame:
 
 
 def window_arrays(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
-    """series_id, block, start, rows: every window as an array of (close, volume) in order; short series give none."""
+    """series_id, block, start, close, volume: every window as two arrays in order; short series give none.
+
+    A block's rows are sorted once and split into two arrays of numbers, of which each window is a slice.
+    """
     step = stride(rolling, step_size, window)
     placed = positions(df).where(F.col("n") >= window).select("series_id", "pos", "n", F.struct("pos", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume")).alias("row"))
     own = F.floor(F.col("pos") / BLOCK)
     blocks = F.when((F.col("pos") % BLOCK < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     held = placed.withColumn("block", F.explode(blocks)).groupBy("series_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    first = F.element_at("rows", 1)["pos"]
-    last = F.least(first + BLOCK, first + F.size("rows") - window + 1) - 1  # the block's last start
+    held = held.select("series_id", "block", F.element_at("rows", 1)["pos"].alias("first"), F.col("rows.close").alias("close"), F.col("rows.volume").alias("volume"))
+    first = F.col("first")
+    last = F.least(first + BLOCK, first + F.size("close") - window + 1) - 1  # the block's last start
     begin = F.ceil(first / step) * step
     starts = F.when(begin <= last, F.sequence(begin, last, F.lit(step).cast("long")))
     cut = held.withColumn("start", F.explode(starts))
-    rows = F.slice("rows", (F.col("start") - first + 1).cast("int"), window)
-    return cut.select("series_id", "block", "start", F.transform(rows, lambda r: F.struct(r["close"].alias("close"), r["volume"].alias("volume"))).alias("rows"))
+    at = (F.col("start") - first + 1).cast("int")
+    return cut.select("series_id", "block", "start", F.slice("close", at, window).alias("close"), F.slice("volume", at, window).alias("volume"))
 
 
 def sample_windows(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW, input_len: int = INPUT_LEN, horizon_len: int = HORIZON) -> DataFrame:
-    """series_id, start, x (input rows of close and volume), y (target closes)."""
+    """series_id, start, x (a struct of the arrays close and volume over the input rows), y (target closes)."""
     check_lengths(window, input_len, horizon_len)
-    w = window_arrays(df, rolling, step_size, window)
-    y = F.transform(F.slice("rows", input_len + 1, horizon_len), lambda r: r["close"])
-    return w.select("series_id", "start", F.slice("rows", 1, input_len).alias("x"), y.alias("y"))
+    return split_xy(window_arrays(df, rolling, step_size, window), input_len, horizon_len)
+
+
+def split_xy(arrays: DataFrame, input_len: int = INPUT_LEN, horizon_len: int = HORIZON) -> DataFrame:
+    """window_arrays() as sample_windows() gives them."""
+    x = F.struct(*(F.slice(c, 1, input_len).alias(c) for c in ("close", "volume")))
+    return arrays.select("series_id", "start", x.alias("x"), F.slice("close", input_len + 1, horizon_len).alias("y"))
 
 
 def long_windows(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
     """series_id, block, start, pos, close, volume: windows as rows; `block` keeps them where they were made."""
     w = window_arrays(df, rolling, step_size, window)
-    return w.select("series_id", "block", "start", F.posexplode("rows").alias("pos", "r")).select("series_id", "block", "start", "pos", "r.close", "r.volume")
+    return w.select("series_id", "block", "start", F.posexplode(F.arrays_zip("close", "volume")).alias("pos", "r")).select("series_id", "block", "start", "pos", "r.close", "r.volume")
 
 
 def window_count(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
@@ -99,9 +107,22 @@ def sample_index(windows: DataFrame) -> DataFrame:
     return numbered.withColumn("sample_idx", F.col("__first") + F.col("__in")).drop("__in", "__first")
 
 
-def sample_cap(windows: DataFrame, most: int) -> DataFrame:
-    """The first `most` windows by series and start."""
-    return windows.orderBy("series_id", "start").limit(most)
+def sample_cap(df: DataFrame, most: int, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
+    """sample_windows() of the first `most` windows by series and start.
+
+    Which these are follows from the series' sizes, so only bars of the series that have some are read into windows.
+    """
+    step = stride(rolling, step_size, window)
+    sizes = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= window)
+    firsts = _first_numbers(sizes.select("series_id", (F.floor((F.col("n") - window) / step) + 1).alias("__size")))
+    wanted = firsts.where(F.col("__first") < most).select("series_id", (F.lit(most) - F.col("__first")).alias("__left"))
+    some = window_arrays(df.join(wanted, "series_id", "left_semi"), rolling, step_size, window)
+    return split_xy(some.join(wanted, "series_id").where(F.col("start") < F.col("__left") * step))
+
+
+def first_batches(batched: DataFrame, most: int) -> DataFrame:
+    """The rows of the first `most` batches."""
+    return batched.where(F.col("batch_id") < most)
 
 
 def batches(indexed: DataFrame, batch_size: int) -> DataFrame:
@@ -120,15 +141,46 @@ def shard(indexed: DataFrame, worker: int | Column, workers: int) -> DataFrame:
 
 
 class WindowDataset:
-    """All windows, with their index, kept for repeated access; `dataset[i]` is one (x, y)."""
+    """All windows, with their index, kept for repeated access; `dataset[i]` is one (x, y), x as rows of (close, volume).
+
+    Windows are kept in ranges of the index, so that an access reads the batches whose range holds it.
+    """
 
     def __init__(self, df: DataFrame, transform=None, materialize: bool = True, max_samples: int | None = None, rolling: bool = True, step_size: int | None = 1) -> None:
         if not materialize:
             raise ValueError("random access needs materialize=True; use lazy_windows() for one pass")
-        w = sample_windows(df, rolling, step_size)
-        w = sample_cap(w, max_samples) if max_samples else w
-        w = sample_index(w)
-        self.df = (w.transform(transform) if transform else w).persist()
+        w = sample_index(sample_cap(df, max_samples, rolling, step_size) if max_samples else sample_windows(df, rolling, step_size))
+        self.df = (w.transform(transform) if transform else w).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").persist()
+
+    @classmethod
+    def from_path(cls, spark: SparkSession, path: str, **options) -> WindowDataset:
+        """The dataset of a training file."""
+        from barlane.sources.io import read_train
+
+        return cls(read_train(spark, path), **options)
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def __getitem__(self, i: int):
+        row = self.df.where(F.col("sample_idx") == i).first()
+        if row is None:
+            raise IndexError(i)
+        return list(zip(row["x"]["close"], row["x"]["volume"], strict=True)), row["y"]
+
+    def close(self) -> None:
+        """Let the kept windows go."""
+        self.df.unpersist()
+
+
+class FeatureDataset:
+    """Input windows with the features of a pipeline, kept for repeated access; `dataset[i]` is one window's rows in
+    order, without its keys. A path is read as a training file."""
+
+    def __init__(self, source: DataFrame | str, pipeline=None, materialize: bool = True, rolling: bool = True, step_size: int | None = 1, spark: SparkSession | None = None) -> None:
+        if not materialize:
+            raise ValueError("random access needs materialize=True; use lazy_features() for one pass")
+        self.df = _features(source, pipeline, rolling, step_size, spark).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").persist()
 
     def __len__(self) -> int:
         return self.df.count()
@@ -137,7 +189,29 @@ class WindowDataset:
         row = self.df.where(F.col("sample_idx") == i).first()
         if row is None:
             raise IndexError(i)
-        return row["x"], row["y"]
+        return row["rows"]
+
+    def close(self) -> None:
+        """Let the kept windows go."""
+        self.df.unpersist()
+
+
+def _features(source: DataFrame | str, pipeline, rolling: bool, step_size: int | None, spark: SparkSession | None = None) -> DataFrame:
+    """series_id, start, sample_idx, rows: the features of each window's input rows in order of pos."""
+    if isinstance(source, str):
+        from barlane.sources.io import read_train
+
+        source = read_train(spark or SparkSession.active(), source)
+    rows = long_windows(source, rolling, step_size).where(F.col("pos") < INPUT_LEN)
+    rows = pipeline.apply(rows) if pipeline is not None else rows
+    names = [c for c in rows.columns if c not in ("series_id", "block", "start", "pos")]
+    held = rows.groupBy("series_id", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("rows"))
+    return sample_index(held.select("series_id", "start", "rows"))
+
+
+def lazy_features(source: DataFrame | str, pipeline=None, rolling: bool = True, step_size: int | None = 1, spark: SparkSession | None = None):
+    """One pass over the windows of FeatureDataset, as an iterator of rows; nothing is kept."""
+    return _features(source, pipeline, rolling, step_size, spark).toLocalIterator(prefetchPartitions=True)
 
 
 def lazy_windows(df: DataFrame, transform=None):

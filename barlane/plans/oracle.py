@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 BARS = """
-bars AS (
+bars AS MATERIALIZED (
     SELECT l_suppkey AS series_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS time_step,
            l_extendedprice AS close, l_quantity AS volume
     FROM lineitem
@@ -157,6 +157,36 @@ def _forecast(body: str, value: str, source: str) -> str:
     return _with(body, f"SELECT window_id, CAST(time_step AS INTEGER) AS time_step, round({value}, 4) AS pred_close FROM (SELECT *, {STEP} AS time_step FROM {source})")
 
 
+STRING_TIMES = f"""{_returns("literal").replace("merged AS (", "spelled AS (")}, merged AS (
+    SELECT * REPLACE (try_cast(CASE WHEN window_id % 7 = 0 THEN 'not a time' WHEN window_id % 2 = 0 THEN strftime(event_datetime, '%Y-%m-%d %H:%M:%S') ELSE strftime(event_datetime, '%Y-%m-%dT%H:%M:%S') END AS TIMESTAMP) AS event_datetime)
+    FROM spelled WHERE window_id % 7 <> 0
+)"""
+#: Sizes of the cross-sections of edge_sections and edge_ics.
+EDGE_SIZES = (2, 3, 4, 5, 19, 20, 21, 21, 21, 20, 20)
+EDGE = f"""merged AS (
+    SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(g AS INTEGER)) AS event_datetime,
+           CASE WHEN g = 6 AND i = 2 OR g = 8 AND i = 3 THEN NULL WHEN g = 9 THEN 0.25::DOUBLE WHEN g = 10 THEN -0.1::DOUBLE * (i + 1) ELSE ((i * 7 + g * 3) % 11 - 5) / 10 END AS pred_ret,
+           CASE WHEN g = 7 AND i = 1 THEN NULL ELSE ((i * 5 + g) % 13 - 6) / 100 END AS true_ret
+    FROM (SELECT g, unnest(range(list_extract({list(EDGE_SIZES)}, CAST(g + 1 AS INTEGER)))) AS i FROM range({len(EDGE_SIZES)}) t(g))
+)"""
+#: Cross-sections with the rules for missing sides.
+GUARDED = """cuts AS (
+    SELECT event_datetime, count(*) AS n, count(pred_ret) AS np, count(true_ret) AS nr, quantile_cont(pred_ret, 0.1) AS lo, quantile_cont(pred_ret, 0.8) AS mid, quantile_cont(pred_ret, 0.9) AS hi
+    FROM merged GROUP BY event_datetime HAVING count(*) >= 3
+)
+SELECT event_datetime, any_value(n) AS n,
+       round(CASE WHEN any_value(n) >= 20 AND any_value(np) = any_value(n) THEN coalesce(avg(true_ret) FILTER (WHERE pred_ret >= hi) - avg(true_ret) FILTER (WHERE pred_ret <= lo), 0) ELSE 0 END, 7) AS "CSM",
+       round(CASE WHEN any_value(n) >= 5 AND any_value(np) = any_value(n) THEN coalesce(avg(true_ret) FILTER (WHERE pred_ret >= mid), 0) ELSE 0 END, 7) AS "LOTQ",
+       round(CASE WHEN any_value(np) = any_value(n) AND any_value(nr) = any_value(n) AND sum(greatest(pred_ret, 0)) > 0 THEN sum(greatest(pred_ret, 0) * true_ret) / sum(greatest(pred_ret, 0)) ELSE 0 END, 7) AS "PW"
+FROM merged JOIN cuts USING (event_datetime) GROUP BY event_datetime"""
+#: The same for rank correlations: sizes count all rows, ranks only pairs.
+PAIRED_ICS = """sized AS (SELECT *, count(*) OVER (PARTITION BY event_datetime) AS n FROM merged), ranked AS (
+    SELECT event_datetime, n,
+           rank() OVER (PARTITION BY event_datetime ORDER BY pred_ret) + (count(*) OVER (PARTITION BY event_datetime, pred_ret) - 1) / 2.0 AS a,
+           rank() OVER (PARTITION BY event_datetime ORDER BY true_ret) + (count(*) OVER (PARTITION BY event_datetime, true_ret) - 1) / 2.0 AS b
+    FROM sized WHERE n >= 3 AND pred_ret IS NOT NULL AND true_ret IS NOT NULL
+)
+SELECT event_datetime, n, round(ic, 8) AS ic FROM (SELECT event_datetime, any_value(n) AS n, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ranked GROUP BY event_datetime) WHERE ic IS NOT NULL"""
 ENDS = f"{TABLES}, ends AS (SELECT window_id, max_by(close, time_step) AS last, min_by(close, time_step) AS first, count(*) AS n FROM x_test GROUP BY window_id)"
 
 SQL = {
@@ -214,6 +244,12 @@ FROM scaled GROUP BY series_id, start""",
 FROM indexed i JOIN bars b ON b.series_id = i.series_id AND b.time_step = i.start + 69 GROUP BY ALL""",
     ),
     "shard_round_robin": _with(INDEXED, "SELECT series_id, start, sample_idx FROM indexed WHERE sample_idx % 3 = 1"),
+    "batch_cap": _with(INDEXED, "SELECT series_id, start, sample_idx // 32 AS batch_id, sample_idx % 32 AS in_batch FROM indexed WHERE sample_idx < 64"),
+    "preview": _with(TABLES, "SELECT window_id, CAST(time_step AS INTEGER) AS time_step, round(close, 2) AS close FROM x_test ORDER BY window_id, time_step LIMIT 12"),
+    "ic_string_times": _with(f"{STRING_TIMES}, {_ics('literal')}", "SELECT event_datetime, n, round(ic, 8) AS ic FROM ics"),
+    "strategies_string_times": _with(STRING_TIMES, f", {GUARDED}"),
+    "edge_sections": _with(EDGE, f", {GUARDED}"),
+    "edge_ics": _with(EDGE, f", {PAIRED_ICS}"),
     "distinct_windows": _with(TABLES, "SELECT DISTINCT window_id FROM x_test"),
     "first_windows": _with(BARS, "SELECT series_id AS window_id FROM bars GROUP BY series_id ORDER BY min(close * 100 + time_step), series_id LIMIT 25"),
     "select_windows_union": _with(CHOSEN, "SELECT window_id FROM chosen"),
@@ -233,6 +269,8 @@ HAVING count(DISTINCT time_step) <> 10 OR count(*) <> 10 OR min(time_step) <> 0
     "linspace_source": "SELECT CAST(i AS INTEGER) AS time_step, round(10.0::DOUBLE + i * (10.0::DOUBLE / 9), 8) AS close, round(100.0::DOUBLE + i * (100.0::DOUBLE / 9), 8) AS volume FROM range(10) t(i)",
     "forecast_persistence": _forecast(ENDS, "last", "ends"),
     "forecast_drift": _forecast(ENDS, "last + (time_step + 1) * (last - first) / (n - 1)", "ends"),
+    "forecast_udf": _with(TABLES, "SELECT window_id, CAST(time_step AS INTEGER) AS time_step, round(pred_close, 4) AS pred_close FROM (SELECT window_id, avg(close) AS pred_close, unnest(range(10)) AS time_step FROM x_test WHERE time_step >= 55 GROUP BY window_id)"),
+    "streaming_windows": _with(STARTS_1, "SELECT s.series_id, s.start, a.close AS last_input, b.close AS last_target FROM starts s JOIN bars a ON a.series_id = s.series_id AND a.time_step = s.start + 59 JOIN bars b ON b.series_id = s.series_id AND b.time_step = s.start + 69"),
     "forecast_ar1_diff": _forecast(AR1, "last + d * list_sum(list_transform(range(1, time_step + 2), lambda k: pow(phi, k)))", "fit"),
 }
 

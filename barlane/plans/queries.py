@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlane.functions.columns import nan_to_null
 from barlane.operators import features, forecast, metrics, returns, strategies, submission, windows
 from barlane.plans import oracle
 from barlane.sources import fixtures, io
@@ -108,7 +109,7 @@ def window_count_non_rolling(spark, sf_dir):
 
 def stride_none(spark, sf_dir):
     w = windows.window_arrays(fixtures.bars(spark, sf_dir), rolling=False, step_size=None)
-    return w.select("series_id", "start", F.size("rows").alias("n_rows"))
+    return w.select("series_id", "start", F.size("close").alias("n_rows"))
 
 
 def window_samples_long(spark, sf_dir, rolling=False, step_size=None):
@@ -118,12 +119,12 @@ def window_samples_long(spark, sf_dir, rolling=False, step_size=None):
 
 def window_split_xy(spark, sf_dir):
     w = windows.sample_windows(fixtures.bars(spark, sf_dir))
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v["volume"])
-    return w.select("series_id", "start", F.size("x").alias("n_x"), F.size("y").alias("n_y"), F.round(F.element_at("x", 1)["close"], 2).alias("x_first"), F.round(F.element_at("x", -1)["close"], 2).alias("x_last"), F.round(total, 2).alias("x_volume"), F.round(F.element_at("y", 1), 2).alias("y_first"), F.round(F.element_at("y", -1), 2).alias("y_last"))
+    total = F.aggregate("x.volume", F.lit(0.0), lambda a, v: a + v)
+    return w.select("series_id", "start", F.size("x.close").alias("n_x"), F.size("y").alias("n_y"), F.round(F.element_at("x.close", 1), 2).alias("x_first"), F.round(F.element_at("x.close", -1), 2).alias("x_last"), F.round(total, 2).alias("x_volume"), F.round(F.element_at("y", 1), 2).alias("y_first"), F.round(F.element_at("y", -1), 2).alias("y_last"))
 
 
 def sample_cap(spark, sf_dir):
-    w = windows.sample_cap(windows.sample_windows(fixtures.bars(spark, sf_dir)), 500)
+    w = windows.sample_cap(fixtures.bars(spark, sf_dir), 500)
     return w.select("series_id", "start", F.round(F.element_at("y", -1), 2).alias("y_last"))
 
 
@@ -173,6 +174,51 @@ def shard_round_robin(spark, sf_dir, rolling=False, step_size=None):
     return windows.shard(_indexed(spark, sf_dir, rolling, step_size), 1, 3).select("series_id", "start", "sample_idx")
 
 
+def batch_cap(spark, sf_dir):
+    return windows.first_batches(windows.batches(_indexed(spark, sf_dir), 32), 2).select("series_id", "start", "batch_id", "in_batch")
+
+
+def preview(spark, sf_dir):
+    return submission.preview(fixtures.tables(spark, sf_dir).x_test, 12, "window_id", "time_step").select("window_id", "time_step", r("close", 2))
+
+
+def _string_times(spark, sf_dir):
+    """Joined returns whose times are strings: some are no time, and the others are spelled in two ways."""
+    t = fixtures.tables(spark, sf_dir)
+    text = F.when(F.col("window_id") % 7 == 0, "not a time").when(F.col("window_id") % 2 == 0, F.date_format("event_datetime", "yyyy-MM-dd HH:mm:ss"))
+    y_true = t.y_true.withColumn("event_datetime", text.otherwise(F.date_format("event_datetime", "yyyy-MM-dd'T'HH:mm:ss")))
+    return returns.joined_returns(y_true, t.y_pred, t.x_test)
+
+
+def ic_string_times(spark, sf_dir):
+    ics = metrics.ic_by_timestamp(_string_times(spark, sf_dir))
+    return ics.select(F.col("event_datetime").cast("timestamp_ntz").alias("event_datetime"), "n", r("ic"))
+
+
+def strategies_string_times(spark, sf_dir):
+    table = strategies.portfolio_table(_string_times(spark, sf_dir))
+    return table.select(F.col("event_datetime").cast("timestamp_ntz").alias("event_datetime"), "n", *(r(c, 7) for c in strategies.NAMES))
+
+
+def _edge_sections(spark):
+    """Cross-sections around every guard: sizes 2 to 21, missing and NaN sides, equal and negative predictions, ties."""
+    rows = spark.range(len(oracle.EDGE_SIZES)).select(F.col("id").alias("g"), F.element_at(F.array(*map(F.lit, oracle.EDGE_SIZES)), (F.col("id") + 1).cast("int")).alias("size"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - F.lit(1).cast("long"))))
+    g, i = F.col("g"), F.col("i")
+    p = F.when((g == 6) & (i == 2), F.lit(None)).when((g == 8) & (i == 3), F.lit("NaN").cast("double")).when(g == 9, 0.25).when(g == 10, -0.1 * (i + 1)).otherwise(((i * 7 + g * 3) % 11 - 5) / 10)
+    t = F.when((g == 7) & (i == 1), F.lit(None)).otherwise(((i * 5 + g) % 13 - 6) / 100)
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(g AS INT), 0)")
+    return rows.select(at.alias("event_datetime"), nan_to_null(p.cast("double")).alias("pred_ret"), t.cast("double").alias("true_ret"))
+
+
+def edge_sections(spark, sf_dir):
+    return strategies.portfolio_table(_edge_sections(spark)).select("event_datetime", "n", *(r(c, 7) for c in strategies.NAMES))
+
+
+def edge_ics(spark, sf_dir):
+    return metrics.ic_by_timestamp(_edge_sections(spark)).select("event_datetime", "n", r("ic"))
+
+
 def distinct_windows(spark, sf_dir):
     return submission.distinct_windows(fixtures.tables(spark, sf_dir).x_test)
 
@@ -256,7 +302,11 @@ def streaming_windows(spark, sf_dir):
     from barlane.sources.schemas import TRAIN
     from barlane.streaming.live_windows import live_windows
 
-    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barlane-stream-')}").rstrip("/")
+    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='barlane-stream-')}"
     at = f"{top}/stream-{uuid.uuid4().hex}"
     bars = fixtures.bars(spark, sf_dir).select(*(F.col(f.name).cast(f.dataType) for f in TRAIN.fields))
     for part in (F.col("time_step") < 300, F.col("time_step") >= 300):
@@ -314,6 +364,12 @@ QUERIES = {
     "batch_assign": batch_assign,
     "batch_stack": batch_stack,
     "shard_round_robin": shard_round_robin,
+    "batch_cap": batch_cap,
+    "preview": preview,
+    "ic_string_times": ic_string_times,
+    "strategies_string_times": strategies_string_times,
+    "edge_sections": edge_sections,
+    "edge_ics": edge_ics,
     "distinct_windows": distinct_windows,
     "first_windows": first_windows,
     "select_windows_union": select_windows_union,

@@ -22,7 +22,7 @@ def test_windows_match_slices(spark, monkeypatch, rolling, step):
     monkeypatch.setattr(windows, "BLOCK", 75)
     monkeypatch.setattr(windows, "SPAN", 64)
     stride = step or (1 if rolling else 70)
-    got = {(r["series_id"], r["start"]): [v["close"] for v in r["x"]] + r["y"] for r in windows.sample_windows(series(spark, SIZES), rolling, step).collect()}
+    got = {(r["series_id"], r["start"]): r["x"]["close"] + r["y"] for r in windows.sample_windows(series(spark, SIZES), rolling, step).collect()}
     assert got == brute(SIZES, stride)
 
 
@@ -71,7 +71,36 @@ def test_dataset(spark):
     data = windows.WindowDataset(df, max_samples=4)
     assert len(data) == 4
     x, y = data[3]
-    assert [x[0]["close"], y[-1]] == [1003.0, 1072.0]
+    assert [x[0], x[59], y[-1]] == [(1003.0, 3.0), (1062.0, 62.0), 1072.0]
     with pytest.raises(IndexError):
         data[4]
+    data.close()
     assert sum(1 for _ in windows.lazy_windows(df)) == 6
+
+
+@pytest.mark.parametrize(("rolling", "step", "most"), [(True, 1, 0), (True, 1, 3), (True, 1, 74), (True, 7, 13), (False, None, 4), (True, 1, 10**6)])
+def test_cap_takes_the_first_windows(spark, monkeypatch, rolling, step, most):
+    monkeypatch.setattr(windows, "BLOCK", 75)
+    got = [(r["series_id"], r["start"]) for r in windows.sample_cap(series(spark, SIZES), most, rolling, step).collect()]
+    assert sorted(got) == sorted(brute(SIZES, step or 70))[:most]
+
+
+def test_feature_dataset_from_a_file(spark, tmp_path):
+    from barlane.operators.features import BasicFeatures, Pipeline, Standardise
+
+    series(spark, {1: 72, 2: 70}).write.parquet(path := str(tmp_path / "train.parquet"))
+    with pytest.raises(ValueError):
+        windows.FeatureDataset(path, materialize=False, spark=spark)
+    data = windows.FeatureDataset(path, Pipeline([BasicFeatures(), Standardise(["log_ret"])]), spark=spark)
+    assert len(data) == 4 and [r["pos"] for r in data[3]] == list(range(60))
+    assert data[1][0]["close"] == 1001.0 and abs(sum(r["log_ret"] for r in data[1])) < 1e-6 and data[3][0]["close"] == 2000.0
+    with pytest.raises(IndexError):
+        data[4]
+    data.close()
+    assert sum(1 for _ in windows.lazy_features(path, spark=spark)) == 4
+    assert len(windows.WindowDataset.from_path(spark, path, max_samples=2)) == 2
+
+
+def test_first_batches(spark):
+    indexed = windows.sample_index(windows.sample_windows(series(spark, {2: 80})).select("series_id", "start"))
+    assert sorted(r["sample_idx"] for r in windows.first_batches(windows.batches(indexed, 4), 2).collect()) == list(range(8))
