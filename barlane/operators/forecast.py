@@ -53,7 +53,21 @@ class Drift(Persistence):
 
 class AR1Diff(Persistence):
     """First-order autoregression of the changes, by conditional least squares: phi = sum d(t) d(t-1) / sum d(t-1)^2,
-    taken as 0 where the divisor is. Step h is the last close plus the last change times phi + ... + phi^h."""
+    taken as 0 where the divisor is. Step h is the last close plus the last change times phi + ... + phi^h.
+
+    The order of the closed form is (1, 1, 0), and it needs no iterations: `maxiter` is taken and kept in `cfg` only.
+    """
+
+    def __init__(self, order: tuple[int, int, int] = (1, 1, 0), maxiter: int = 50, horizon: int = HORIZON) -> None:
+        if tuple(order) != (1, 1, 0):
+            raise ValueError(f"order {order} has no closed form here; plug a model in with PerWindow")
+        super().__init__(horizon)
+        self.order, self.maxiter = tuple(order), maxiter
+
+    @property
+    def cfg(self) -> dict:
+        """What write_weights() stores."""
+        return {"order": list(self.order), "maxiter": self.maxiter, "horizon": self.horizon}
 
     def predict(self, x_test: DataFrame) -> DataFrame:
         w = W.partitionBy("window_id").orderBy("time_step")

@@ -33,9 +33,9 @@ def ic_by_timestamp(returns: DataFrame) -> DataFrame:
     """event_datetime, n, ic: the rank correlation of predicted and true returns in each cross-section of enough rows.
 
     The size counts all rows; pairs with a missing side are left out before ranking. Cross-sections in which a side
-    does not vary have no ic and are left out.
+    does not vary have no ic and are left out. Times may be strings; those that are no time are left out.
     """
-    rows = returns.where(F.col("event_datetime").isNotNull()).select("event_datetime", F.col("pred_ret").alias("p"), F.col("true_ret").alias("r"))
+    rows = strategies.with_event_time(returns).where(F.col("event_datetime").isNotNull()).select("event_datetime", F.col("pred_ret").alias("p"), F.col("true_ret").alias("r"))
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("event_datetime"))).where(F.col("n") >= LEAST_CROSS_SECTION)
     rows = rows.where(F.col("p").isNotNull() & F.col("r").isNotNull())
     ranked = rows.select("event_datetime", "n", average_rank("p", "event_datetime").alias("rp"), average_rank("r", "event_datetime").alias("rr"))

@@ -22,14 +22,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table with the columns of `schema`. A path ending in .pkl is a pandas pickle, which runs code when it is
+def read_table(spark: SparkSession, path: str, schema: T.StructType, optional: Sequence[str] = ()) -> DataFrame:
+    """A table with the columns of `schema`, of which the optional ones need not be there. A path ending in .pkl is a pandas pickle, which runs code when it is
     read: open only files you trust. It is read on the driver; convert large ones to Parquet."""
     if path.endswith((".pkl", ".pickle")):
         import pandas as pd
 
-        return conform(spark.createDataFrame(pd.read_pickle(path)), schema)
-    return conform(spark.read.parquet(path), schema)
+        return conform(spark.createDataFrame(pd.read_pickle(path)), schema, optional)
+    return conform(spark.read.parquet(path), schema, optional)
 
 
 def read_train(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +41,12 @@ def read_x_test(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame | None:
-    """The local truth, or None with a warning if the file is not there."""
+    """The local truth, or None with a warning if the file is not there. Times that can't be read are null; without times or
+    tokens the file has no such columns, and metrics by time are 0."""
     if not exists(spark, path):
         warnings.warn(f"{path} is not there; local evaluation is skipped", stacklevel=2)
         return None
-    return read_table(spark, path, Y_TRUE)
+    return read_table(spark, path, Y_TRUE, ("event_datetime", "token"))
 
 
 def read_sidecar(spark: SparkSession, path: str) -> dict | None:

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlane.functions.columns import nan_to_null
+from barlane.functions.columns import nan_to_null, to_event_time
 
-# Fixed values of the task: rows of a sampled window, its input and target parts, and the seed of samplers.
+# Fixed values of the task: rows of a sampled window, its input and target parts.
 WINDOW = 70
 INPUT_LEN = 60
 HORIZON = 10
-SAMPLER_SEED = 42
 
 _ID, _STEP, _REAL = T.LongType(), T.IntegerType(), T.DoubleType()
 
@@ -40,12 +39,19 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of `schema`, cast, with NaN turned into null."""
-    require_columns(df, schema.fieldNames())
+def conform(df: DataFrame, schema: T.StructType, optional: Iterable[str] = ()) -> DataFrame:
+    """The columns of `schema`, cast, with NaN turned into null, and strings that are no time where one is due.
+
+    Columns that are optional and not there are left out.
+    """
+    require_columns(df, set(schema.fieldNames()) - set(optional))
     cols = []
     for f in schema.fields:
+        if f.name not in df.columns:
+            continue
         c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType) and isinstance(df.schema[f.name].dataType, T.StringType):
+            c = to_event_time(c)
         if isinstance(df.schema[f.name].dataType, (T.FloatType, T.DoubleType)):
             c = nan_to_null(c)
         cols.append(c.cast(f.dataType).alias(f.name))

@@ -139,6 +139,13 @@ def test_nan_is_skipped_in_errors(spark):
 def test_times_as_strings(spark):
     groups = joined(spark, [[(1, 1), (2, 2), (3, 1)]] * 2).withColumn("event_datetime", F.when(F.minute("event_datetime") == 0, F.lit("bad")).otherwise(F.col("event_datetime").cast("string")))
     assert strategies.portfolio_table(groups).count() == 1
+    assert metrics.ic_by_timestamp(groups).count() == 1
+
+
+def test_string_times_that_are_none_or_spelled_otherwise(spark):
+    rows = [("not a time", float(i), float(i)) for i in range(5)] + [("2024-01-01 00:00:00", 1.0, 3.0), ("2024-01-01T00:00:00", 2.0, 2.0), ("2024-01-01 00:00:00.000", 3.0, 1.0)]
+    got = metrics.ic_by_timestamp(spark.createDataFrame(rows, "event_datetime string, pred_ret double, true_ret double")).collect()
+    assert [(r["n"], round(r["ic"], 9)) for r in got] == [(3, -1.0)]
 
 
 def test_run_strategy(spark):

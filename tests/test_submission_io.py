@@ -3,7 +3,7 @@ import json
 import pandas as pd
 import pytest
 
-from barlane.operators import forecast, submission
+from barlane.operators import forecast, metrics, submission
 from barlane.sources import io
 from barlane.sources.schemas import narrow
 
@@ -81,3 +81,25 @@ def test_forecasters(spark):
     assert run(forecast.AR1Diff(), 7)[1] == pytest.approx(9 + 4 * (phi + phi**2))
     for m in (forecast.Persistence(), forecast.Drift(), forecast.AR1Diff()):
         assert run(m, 8) == [3.0] * 10
+
+
+def test_truth_with_bad_or_missing_times(spark, tmp_path):
+    rows = [(1, t, float(t + 1), "2024-01-01 00:0%d:00" % t if t else "not a time", "tok") for t in range(10)]
+    df = spark.createDataFrame(rows, "window_id long, time_step int, close double, event_datetime string, token string")
+    df.write.parquet(path := str(tmp_path / "truth.parquet"))
+    times = {r["time_step"]: r["event_datetime"] for r in io.read_truth(spark, path).collect()}
+    assert times[0] is None and times[3].minute == 3
+    df.drop("event_datetime", "token").write.parquet(bare := str(tmp_path / "bare.parquet"))
+    y = io.read_truth(spark, bare)
+    assert y.columns == ["window_id", "time_step", "close"]
+    x = spark.createDataFrame([(1, t, 5.0, 1.0) for t in range(60)], "window_id long, time_step int, close double, volume double")
+    row = metrics.evaluate_all_metrics(y, forecast.Persistence().predict(x), x).first()
+    assert row["IC"] == row["IR"] == row["SharpeRatio"] == 0.0 and row["MSE"] > 0
+
+
+def test_configuration_of_the_autoregression(tmp_path):
+    model = forecast.AR1Diff(order=(1, 1, 0), maxiter=20)
+    io.write_weights(model.cfg, str(tmp_path / "w.json"))
+    assert json.loads((tmp_path / "w.json").read_text())["config"] == {"order": [1, 1, 0], "maxiter": 20, "horizon": 10}
+    with pytest.raises(ValueError):
+        forecast.AR1Diff(order=(2, 1, 0))
