@@ -3,8 +3,8 @@
 Features are words in lower case and their first letters (PREFIXES), since insults are inflected; of these the FEATURES
 that tell toxic from other training documents best are kept. A document's value of a feature is log(1 + count).
 Grades: 0 for documents marked not toxic. Labels do not say how grave a toxic document is; those marked toxic get 1, 2 or 3 by
-the tercile of the share of their words that tell toxic text, where a document of one half of the sample is judged by the
-features of the other half, not by the model's. P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector for all ordered thresholds, fitted by gradient
+the tercile of how many features that tell toxic text occur in them, where a document of one half of the sample is judged by
+the features of the other half, not by the model's. P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector for all ordered thresholds, fitted by gradient
 descent on the likelihood. The expected severity is the sum of P(grade > k).
 """
 
@@ -153,21 +153,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
         scorer, other = blank(features), [blank(j) for j in judges]
         for keys, texts in common.grouped(batches, GROUP_CHARS):
             got = [scorer.counts(t) for t in texts]
-            shares = [sum(other[k["half"]].counts(t).values()) / max(1, len(t.split())) for k, t in zip(keys, texts, strict=True)]
-            yield pa.RecordBatch.from_pydict({"y": pa.array([k["y"] for k in keys], pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64())), "share": pa.array(shares, pa.float64())})
+            hits = [sum(other[k["half"]].counts(t).values()) for k, t in zip(keys, texts, strict=True)]
+            yield pa.RecordBatch.from_pydict({"y": pa.array([k["y"] for k in keys], pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64())), "hits": pa.array(hits, pa.int64())})
 
-    got = common.map_arrow(rows.select(F.struct("y", "half").alias("key"), "text"), run, "y int, at array<int>, n array<long>, share double").toArrow().to_pylist()
+    got = common.map_arrow(rows.select(F.struct("y", "half").alias("key"), "text"), run, "y int, at array<int>, n array<long>, hits long").toArrow().to_pylist()
     x = np.zeros((len(got), len(features)), np.float32)
     for k, r in enumerate(got):
         x[k, r["at"]] = np.log1p(r["n"])
-    return fit(features, x, grades(np.array([r["y"] for r in got], np.int64), np.array([r["share"] for r in got])))
+    return fit(features, x, grades(np.array([r["y"] for r in got], np.int64), np.array([r["hits"] for r in got])))
 
 
-def grades(y: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """0 where y is 0, else 1 to 3 by the tercile of the share among rows where y is 1; if all of these are equal, 2."""
+def grades(y: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """0 where y is 0, else 1 to 3 by the tercile of the hits among rows where y is 1; if all of these are equal, 2."""
     out = np.zeros(len(y), np.int64)
     if y.any():
-        mine = share[y == 1]
+        mine = hits[y == 1]
         cuts = np.quantile(mine, [1 / 3, 2 / 3])
         out[y == 1] = 1 + (np.searchsorted(cuts, mine, side="left") + np.searchsorted(cuts, mine, side="right")) // 2
     return out
