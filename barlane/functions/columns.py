@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the formulas: added to denominators, and to prices inside logarithms.
@@ -33,13 +33,6 @@ def log_price(price: Column) -> Column:
     return F.ln(price + F.lit(LOG_EPS))
 
 
-def average_rank(value: str, *group: str) -> Column:
-    """Rank of a value in its group, from 1; equal values share the mean of their ranks."""
-    order = Window.partitionBy(*group).orderBy(value)
-    same = Window.partitionBy(*group, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
-
-
 def correlation(x: str, y: str) -> Column:
     """Aggregate: the Pearson correlation, null where either side does not vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barlane.functions.columns import EPS, average_rank, correlation, is_finite, nan_to_null, quantile
-from barlane.operators import strategies
+from barlane.functions.columns import EPS, correlation, is_finite, nan_to_null, quantile
+from barlane.operators import ranks, strategies
 from barlane.operators.returns import KEYS, joined_returns
 
 # Fixed value: rows that a cross-section must have to count.
@@ -35,12 +35,11 @@ def ic_by_timestamp(returns: DataFrame) -> DataFrame:
     The size counts all rows; pairs with a missing side are left out before ranking. Cross-sections in which a side
     does not vary have no ic and are left out. Times may be strings; those that are no time are left out.
     """
-    rows = strategies.with_event_time(returns).where(F.col("event_datetime").isNotNull()).select("event_datetime", F.col("pred_ret").alias("p"), F.col("true_ret").alias("r"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("event_datetime"))).where(F.col("n") >= LEAST_CROSS_SECTION)
-    rows = rows.where(F.col("p").isNotNull() & F.col("r").isNotNull())
-    ranked = rows.select("event_datetime", "n", average_rank("p", "event_datetime").alias("rp"), average_rank("r", "event_datetime").alias("rr"))
-    ics = ranked.groupBy("event_datetime").agg(F.first("n").alias("n"), correlation("rp", "rr").alias("ic"))
-    return ics.where(is_finite(F.col("ic")))
+    at, both = ["event_datetime"], F.col("p").isNotNull() & F.col("r").isNotNull()
+    rows = strategies.sides(returns).select("event_datetime", F.when(both, F.col("p")).alias("p"), F.when(both, F.col("r")).alias("r"))
+    ranked = rows.join(ranks.average_ranks(rows, at, "p", "rp"), [*at, "p"], "left").join(ranks.average_ranks(rows, at, "r", "rr"), [*at, "r"], "left")
+    ics = ranked.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), correlation("rp", "rr").alias("ic"))
+    return ics.where((F.col("n") >= LEAST_CROSS_SECTION) & is_finite(F.col("ic")))
 
 
 def ic_ir(ics: DataFrame) -> DataFrame:
@@ -49,9 +48,22 @@ def ic_ir(ics: DataFrame) -> DataFrame:
     return ics.agg(F.coalesce(mean, F.lit(0.0)).alias("ic"), F.when(n < 2, 0.0).otherwise(mean / (F.stddev_pop("ic") + EPS)).alias("ir"))
 
 
+def _sharpe() -> Column:
+    return F.coalesce(F.avg("ret") / (F.stddev_pop("ret") + EPS), F.lit(0.0)).alias("sharpe")
+
+
+def _drawdown() -> Column:
+    return F.max((F.col("peak") - F.col("equity")) / (F.col("peak") + EPS)).alias("mdd")
+
+
+def _tail() -> tuple[Column, Column]:
+    var = F.first("var")
+    return var.alias("var"), F.coalesce(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))), var).alias("es")
+
+
 def sharpe(series: DataFrame) -> DataFrame:
     """strategy, sharpe of return series (event_datetime, strategy, ret); not annualised."""
-    return series.groupBy("strategy").agg(F.coalesce(F.avg("ret") / (F.stddev_pop("ret") + EPS), F.lit(0.0)).alias("sharpe"))
+    return series.groupBy("strategy").agg(_sharpe())
 
 
 def equity_curve(series: DataFrame) -> DataFrame:
@@ -62,24 +74,25 @@ def equity_curve(series: DataFrame) -> DataFrame:
 
 def max_drawdown(series: DataFrame) -> DataFrame:
     """strategy, mdd."""
-    curve = equity_curve(series)
-    return curve.groupBy("strategy").agg(F.max((F.col("peak") - F.col("equity")) / (F.col("peak") + EPS)).alias("mdd"))
+    return equity_curve(series).groupBy("strategy").agg(_drawdown())
+
+
+def with_var(series: DataFrame, alpha: float) -> DataFrame:
+    """A series with var, a quantile of its strategy's returns, in every row."""
+    return series.withColumn("var", quantile("ret", alpha).over(W.partitionBy("strategy")))
 
 
 def var_es(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     """strategy, var (a quantile of returns, negative for a loss), es (mean of returns at or below it)."""
-    at = series.groupBy("strategy").agg(quantile("ret", alpha).alias("var"))
-    rows = series.join(at, "strategy")
-    return rows.groupBy("strategy", "var").agg(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("es")).select("strategy", "var", F.coalesce("es", "var").alias("es"))
+    return with_var(series, alpha).groupBy("strategy").agg(*_tail())
 
 
 def risk(series: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """strategy, sharpe, mdd, var, es for all three strategies; zeros where a series is empty."""
+    """strategy, sharpe, mdd, var, es for all three strategies, from one pass over the series; zeros where one is empty."""
     names = series.sparkSession.createDataFrame([(s,) for s in strategies.NAMES], "strategy string")
-    out = names
-    for part in (sharpe(series), max_drawdown(series), var_es(series, alpha)):
-        out = out.join(part, "strategy", "left")
-    return out.select("strategy", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "mdd", "var", "es")))
+    rows = with_var(equity_curve(series), alpha)
+    found = rows.groupBy("strategy").agg(_sharpe(), _drawdown(), *_tail())
+    return names.join(found, "strategy", "left").select("strategy", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "mdd", "var", "es")))
 
 
 METRICS = ("MSE", "MAE", "IC", "IR", "SharpeRatio", "MDD", "VaR", "ES")
@@ -88,17 +101,17 @@ METRICS = ("MSE", "MAE", "IC", "IR", "SharpeRatio", "MDD", "VaR", "ES")
 def evaluate_all_metrics(y_true: DataFrame, y_pred: DataFrame, x_test: DataFrame, alpha: float = 0.05, mode: str = "literal") -> DataFrame:
     """One row with all METRICS; the last four are means over the three strategies.
 
-    The joined returns are built once and kept while the rank and strategy branches read them.
+    The row is computed by this call: joined returns are built once and kept while the rank and strategy branches read
+    them, and are let go before the row is returned.
     """
     e = errors(y_true, y_pred)
-    if "event_datetime" in y_true.columns:
-        returns = joined_returns(y_true, y_pred, x_test, mode).select("event_datetime", "true_ret", "pred_ret").persist()
+    if "event_datetime" not in y_true.columns:
+        return e.select(*(c.alias(m) for c, m in zip((F.col("mse"), F.col("mae"), *(F.lit(0.0),) * 6), METRICS, strict=True)))
+    returns = joined_returns(y_true, y_pred, x_test, mode).select("event_datetime", "true_ret", "pred_ret").persist()
+    try:
         rank = ic_ir(ic_by_timestamp(returns))
-        per = risk(strategies.portfolio_series(returns), alpha)
-        mean = per.agg(F.avg("sharpe").alias("s"), F.avg("mdd").alias("m"), F.avg("var").alias("v"), F.avg("es").alias("e"))
-        row = e.join(F.broadcast(rank)).join(F.broadcast(mean))  # one row each
-        cols = ("mse", "mae", "ic", "ir", "s", "m", "v", "e")
-    else:
-        row = e
-        cols = ("mse", "mae", *(F.lit(0.0),) * 6)
-    return row.select(*((F.col(c) if isinstance(c, str) else c).alias(m) for c, m in zip(cols, METRICS, strict=True)))
+        mean = risk(strategies.portfolio_series(returns), alpha).agg(*(F.avg(c) for c in ("sharpe", "mdd", "var", "es")))
+        row = e.join(F.broadcast(rank)).join(F.broadcast(mean)).first()  # one row each
+    finally:
+        returns.unpersist()
+    return y_true.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{m} double" for m in METRICS))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlane.functions.columns import clamp_low, finite_or_zero, to_event_time
+from barlane.functions.columns import clamp_low, finite_or_zero, nan_to_null, to_event_time
+from barlane.operators import ranks
 from barlane.operators.returns import joined_returns
 
 # Rows that a cross-section must have, and the default tails.
@@ -30,21 +31,28 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df
 
 
+def sides(returns: DataFrame) -> DataFrame:
+    """event_datetime, p, r of joined returns at every time there is: predicted and true return, NaN as null.
+
+    Rows are dealt by all three. Every branch that reads them has the same exchange, which Spark then makes once, so the
+    joins under it run once too.
+    """
+    rows = with_event_time(returns).where(F.col("event_datetime").isNotNull())
+    return rows.select("event_datetime", nan_to_null(F.col("pred_ret")).alias("p"), nan_to_null(F.col("true_ret")).alias("r")).repartition("event_datetime", "p", "r")
+
+
 def portfolio_table(returns: DataFrame, top_decile: float = TOP_DECILE, top_q: float = TOP_Q) -> DataFrame:
     """event_datetime, n, CSM, LOTQ, PW for each timestamp with enough rows, from joined returns.
 
     Thresholds are exact quantiles of a cross-section's predictions; ties at a threshold are in its leg. A missing
     prediction makes a cross-section's threshold unknown and its CSM and LOTQ 0; a missing side makes PW 0.
     """
-    rows = with_event_time(returns).where(F.col("event_datetime").isNotNull()).select("event_datetime", F.col("pred_ret").alias("p"), F.col("true_ret").alias("r"))
-    cuts = rows.groupBy("event_datetime").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("p", F.array(F.lit(top_decile), F.lit(1 - top_q), F.lit(1 - top_decile))).alias("cut"),
-    ).where(F.col("n") >= LEAST_CROSS_SECTION)
+    rows = sides(returns)
+    cuts = ranks.quantiles(rows, ["event_datetime"], "p", (top_decile, 1 - top_q, 1 - top_decile), "cut")
     p, r = F.col("p"), F.col("r")
     weight = clamp_low(p)
-    legs = rows.join(cuts, "event_datetime").groupBy("event_datetime").agg(
-        F.first("n").alias("n"),
+    legs = rows.join(cuts, "event_datetime", "left").groupBy("event_datetime").agg(
+        F.count(F.lit(1)).alias("n"),
         F.count("p").alias("np"),
         F.count("r").alias("nr"),
         F.avg(F.when(p >= F.col("cut")[2], r)).alias("top"),
@@ -52,7 +60,7 @@ def portfolio_table(returns: DataFrame, top_decile: float = TOP_DECILE, top_q: f
         F.avg(F.when(p >= F.col("cut")[1], r)).alias("long"),
         F.sum(weight * r).alias("gain"),
         F.sum(weight).alias("weight"),
-    )
+    ).where(F.col("n") >= LEAST_CROSS_SECTION)
     n = F.col("n")
     known, whole = F.col("np") == n, (F.col("np") == n) & (F.col("nr") == n)
     csm = F.when(known & (n >= least_csm(top_decile)), F.col("top") - F.col("bottom"))
