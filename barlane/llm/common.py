@@ -171,12 +171,12 @@ def parts_of(spark: SparkSession, size: int, bytes_each: int) -> int:
 
 
 def filesystem(uri: str):
-    """(file system, path) of a URI: local, HDFS or an object store, by the scheme."""
+    """(file system, path) of a URI: local, HDFS or an object store, by the scheme. Hadoop's names of S3 mean S3."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def fold(doc_id: Column) -> Column:
