@@ -47,16 +47,37 @@ def average_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str)
 
 def quantiles(rows: DataFrame, group: Sequence[str], value: str, shares: Sequence[float], name: str) -> DataFrame:
     """group, `name`: the exact quantiles of a group's values that are not null, linear between neighbours, as an array;
-    nulls in a group without values."""
-    at = positions(rows, group, value)
-    picks = []
-    for q in shares:
+    nulls in a group without values.
+
+    Rows are first counted by class, where they are; only values of the classes that hold a quantile are then looked at.
+    """
+    whole, lower = W.partitionBy(*group), W.partitionBy(*group).orderBy("class").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select(*group, value, order_class(F.col(value)).alias("class"))
+    classes = rows.groupBy(*group, "class").agg(F.count(value).alias("size"))
+    classes = classes.withColumns({"start": F.coalesce(F.sum("size").over(lower), F.lit(0)), "total": F.sum("size").over(whole)})
+
+    def places(q: float) -> tuple[Column, Column, Column]:
         place = F.lit(float(q)) * (F.col("total") - 1)
-        for index in (F.floor(place), F.ceil(place)):
-            picks.append(F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("ties")), F.col(value))))
+        return place, F.floor(place), F.ceil(place)
+
+    def holds(index: Column, first: str, size: str) -> Column:
+        return (F.col(first) <= index) & (index < F.col(first) + F.col(size))
+
+    # A group without values keeps its class of nulls, so that no group is lost.
+    some = F.col("total") == 0
+    for q in shares:
+        _, low, high = places(q)
+        some = some | holds(low, "start", "size") | holds(high, "start", "size")
+    keys = (*group, "class")
+    asked = classes.where(some).select(*(F.col(c).alias(f"asked {c}") for c in keys), "start", "total")
+    near = rows.join(asked, [F.col(c).eqNullSafe(F.col(f"`asked {c}`")) for c in keys])
+    ties = near.groupBy(*group, "class", value).agg(F.count(value).alias("ties"), F.first("start").alias("start"), F.first("total").alias("total"))
+    inside = W.partitionBy(*group, "class").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    at = ties.withColumn("before", F.col("start") + F.coalesce(F.sum("ties").over(inside), F.lit(0)))
+    picks = [F.max(F.when(holds(index, "before", "ties"), F.col(value))) for q in shares for index in places(q)[1:]]
     found = at.groupBy(*group).agg(F.first("total").alias("total"), *(p.alias(f"pick{i}") for i, p in enumerate(picks)))
     out = []
     for i, q in enumerate(shares):
-        low, high, place = F.col(f"pick{2 * i}"), F.col(f"pick{2 * i + 1}"), F.lit(float(q)) * (F.col("total") - 1)
-        out.append(F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place))))
+        low, high, (place, floor, _) = F.col(f"pick{2 * i}"), F.col(f"pick{2 * i + 1}"), places(q)
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (place - floor)))
     return found.select(*group, F.array(*out).alias(name))
