@@ -3,7 +3,7 @@
 A text's zstandard ratio (compressed bytes / bytes, level 3) is taken over the whole text and over fixed chunks of
 CHUNK bytes. Repetitive text compresses too well, random text too badly. Short texts compress worse than long ones, so
 the limits depend on the length: BANDS holds for whole texts, CHUNK_BAND for chunks, of which at most a share may lie
-outside. Counts of words, symbols, repeated lines and repeated 8-word windows come along.
+outside. A last chunk too short for its limits is judged with the chunk before it. Counts of words, symbols, repeated lines and repeated 8-word windows come along.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from barlane.llm import common
 
 LEVEL = 3
 CHUNK = 4096
-#: Bytes of a last chunk that still counts.
+#: Bytes of a last chunk that is judged by itself.
 LEAST_CHUNK = 1024
 #: (bytes below which the limits hold, lowest ratio, highest ratio).
 BANDS = (
@@ -95,6 +95,12 @@ def base_failed(c: Counts) -> bool:
     return c.n_words < 20 or 100 * c.n_repeat_words > 30 * c.n_words
 
 
+def chunks(data: bytes) -> list[bytes]:
+    """All of `data` in chunks of CHUNK bytes; a last one shorter than LEAST_CHUNK is joined to the one before it."""
+    starts = range(0, max(len(data) - LEAST_CHUNK + 1, 1), CHUNK)
+    return [data[i : i + CHUNK] for i in starts[:-1]] + [data[starts[-1] :]]
+
+
 class Bands:
     """The method's verdict; holds a compressor, so one for each worker."""
 
@@ -110,9 +116,9 @@ class Bands:
             return None, None, False
         ratio = len(self.compress(data)) / len(data)
         low, high = next((low, high) for most, low, high in BANDS if len(data) < most)
-        parts = [p for i in range(0, len(data), CHUNK) if len(p := data[i : i + CHUNK]) >= LEAST_CHUNK]
         out = None
         if len(data) > CHUNK:
+            parts = chunks(data)
             out = sum(not CHUNK_BAND[0] <= len(self.compress(p)) / len(p) <= CHUNK_BAND[1] for p in parts) / len(parts)
         return ratio, out, low <= ratio <= high and (out is None or out <= CHUNK_SHARE)
 

@@ -31,7 +31,8 @@ def kept(text):
     if not low <= ratio(data) <= high:
         return False
     parts = [data[i : i + 4096] for i in range(0, len(data), 4096)]
-    parts = [p for p in parts if len(p) >= 1024]
+    if len(parts) > 1 and len(parts[-1]) < 1024:
+        parts[-2:] = [parts[-2] + parts[-1]]
     return len(data) <= 4096 or sum(not 0.2 <= ratio(p) <= 0.85 for p in parts) <= 0.25 * len(parts)
 
 
@@ -71,6 +72,14 @@ def test_bands():
     assert not bands(prose[:6000] + "x " * 30_000)[2]
 
 
+def test_chunks_leave_no_byte_out():
+    data = bytes(i % 251 for i in range(3 * 4096))
+    for n in (0, 1, 1023, 1024, 4095, 4096, 4097, 5119, 5120, 8192, 9000, 9216, 12288):
+        parts = op.chunks(data[:n])
+        assert b"".join(parts) == data[:n] and all(len(p) == 4096 for p in parts[:-1])
+        assert len(parts) == 1 or 1024 <= len(parts[-1]) < 4096 + 1024
+
+
 def test_query(spark, sf_dir):
     rows = common.load(spark, sf_dir, "documents").collect()
     check(op.op2_compression(spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in rows])
