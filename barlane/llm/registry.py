@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op05_jaccard, op06_language, op07_quality, op08_chat, op09_decontaminate, op10_toxicity
+from barlane.llm import op01_sstable, op02_compression, op03_sentencepiece, op04_line_dedup, op05_jaccard, op06_language, op07_quality, op08_chat, op09_decontaminate, op10_toxicity, op11_mixing, op12_runs, op13_collocations
 
 #: op N: (query name, module attribute).
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_chat": op08_chat.op8_chat,
     "op9_decontaminate": op09_decontaminate.op9_decontaminate,
     "op10_toxicity": op10_toxicity.op10_toxicity,
+    "op11_mixing": op11_mixing.op11_mixing,
+    "op12_runs": op12_runs.op12_runs,
+    "op13_collocations": op13_collocations.op13_collocations,
     # More of the same operator's results.
     "op5_jaccard_links": op05_jaccard.op5_jaccard_links,
     "op9_decontaminate_every_id": op09_decontaminate.op9_decontaminate_every_id,
@@ -25,6 +28,8 @@ SQL: dict[str, str] = {
     "op5_jaccard": op05_jaccard.SQL,
     "op8_chat": op08_chat.SQL,
     "op9_decontaminate": op09_decontaminate.SQL,
+    "op11_mixing": op11_mixing.SQL,
+    "op13_collocations": op13_collocations.SQL,
 }
 
 
