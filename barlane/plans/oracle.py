@@ -30,7 +30,7 @@ def _returns(mode: str) -> str:
     SELECT y.*, prev_price, close / (prev_price + 1e-12) - 1 AS true_ret FROM y_true y JOIN prev USING (window_id, time_step)
 ), pr AS (
     SELECT window_id, time_step, pred_close / (prev_price + 1e-12) - 1 AS pred_ret FROM y_pred JOIN prev USING (window_id, time_step)
-), merged AS (
+), merged AS MATERIALIZED (
     SELECT tr.*, pr.pred_ret FROM tr JOIN pr USING (window_id, time_step)
 )"""
 
@@ -157,7 +157,7 @@ def _forecast(body: str, value: str, source: str) -> str:
     return _with(body, f"SELECT window_id, CAST(time_step AS INTEGER) AS time_step, round({value}, 4) AS pred_close FROM (SELECT *, {STEP} AS time_step FROM {source})")
 
 
-STRING_TIMES = f"""{_returns("literal").replace("merged AS (", "spelled AS (")}, merged AS (
+STRING_TIMES = f"""{_returns("literal").replace("merged AS MATERIALIZED (", "spelled AS MATERIALIZED (")}, merged AS (
     SELECT * REPLACE (try_cast(CASE WHEN window_id % 7 = 0 THEN 'not a time' WHEN window_id % 2 = 0 THEN strftime(event_datetime, '%Y-%m-%d %H:%M:%S') ELSE strftime(event_datetime, '%Y-%m-%dT%H:%M:%S') END AS TIMESTAMP) AS event_datetime)
     FROM spelled WHERE window_id % 7 <> 0
 )"""

@@ -37,6 +37,22 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
         assert duck.sql(f"SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b}").fetchall() == []
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_ends_under_a_limit(sf_dir, name):
+    import threading
+
+    folder = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else sf_dir
+    c = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    stop = threading.Timer(60, c.interrupt)
+    stop.start()
+    try:
+        assert len(c.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 5").fetchall()) <= 5
+    finally:
+        stop.cancel()
+
+
 def test_streaming_windows_match_batch_windows(spark, sf_dir):
     from barlane.operators.windows import sample_windows
     from barlane.sources.fixtures import bars
