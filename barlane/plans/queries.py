@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlane.functions.cluster import shared_dir
 from barlane.functions.columns import nan_to_null
 from barlane.operators import features, forecast, metrics, returns, strategies, submission, windows
 from barlane.plans import oracle
@@ -295,26 +296,26 @@ def forecast_udf(spark, sf_dir):
 
 
 def streaming_windows(spark, sf_dir):
-    """Windows of a stream of all bars in two ordered parts, run to its end."""
-    import tempfile
+    """Windows of a stream of all bars, run to its end. Files come in three parts, in each of which some bars of the next are
+    early and some of the one before are late, by less than the ten minutes that bars are waited for; a last row closes the stream."""
     import uuid
+    from datetime import timedelta
 
-    from barlane.sources.schemas import TRAIN
     from barlane.streaming.live_windows import live_windows
 
-    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='barlane-stream-')}"
-    at = f"{top}/stream-{uuid.uuid4().hex}"
-    bars = fixtures.bars(spark, sf_dir).select(*(F.col(f.name).cast(f.dataType) for f in TRAIN.fields))
-    for part in (F.col("time_step") < 300, F.col("time_step") >= 300):
-        bars.where(part).repartition(8, "series_id").write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(TRAIN).option("latestFirst", False).parquet(f"{at}/in")
-    run = live_windows(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    bars = fixtures.bars(spark, sf_dir).select("series_id", F.col("time_step").cast("long").alias("time_step"), "close", F.expr("timestamp_seconds(1704067200 + 60 * time_step)").alias("event_time"))
+    comes = F.col("time_step") + F.pmod(F.xxhash64("series_id", "time_step"), F.lit(8))
+    part = F.when(comes < 300, 0).when(comes < 600, 1).otherwise(2)
+    for k in range(3):
+        bars.where(part == k).write.mode("append").parquet(f"{at}/in")
+    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in bars.schema.fields[:3]), F.expr("timestamp '2200-01-01'").alias("event_time"))
+    end.write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    out = live_windows(stream, told=timedelta(days=3650))
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").where(F.col("kind") == "window").select("series_id", "start", "last_input", "last_target")
 
 
 def _rolling(query):
@@ -385,6 +386,8 @@ QUERIES = {
     "forecast_persistence": _forecast(forecast.Persistence()),
     "forecast_drift": _forecast(forecast.Drift()),
     "forecast_ar1_diff": _forecast(forecast.AR1Diff()),
+    "forecast_arima_110": _forecast(forecast.Arima((1, 1, 0))),
+    "forecast_arima_211": _forecast(forecast.Arima((2, 1, 1))),
     "forecast_udf": forecast_udf,
     "streaming_windows": streaming_windows,
 }

@@ -22,7 +22,8 @@ def duck(sf_dir):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) == set(SQL)
+    # Models fitted by iteration are held against brute force in their own tests.
+    assert set(QUERIES) - set(SQL) == {"forecast_arima_110", "forecast_arima_211"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
