@@ -32,12 +32,12 @@ TOP = 2000
 SLOTS = 1 << 22
 #: Occurrences of a pivot that one task gets at most, about.
 PIVOT_ROWS = 1 << 18
-#: Fragments' bytes of a partition.
-PARTITION_BYTES = 8 << 20
-#: Rows that a task mines together at most.
+#: Words of the input for each partition of pivots.
+PART_WORDS = 1 << 17
+#: Fragments that a task mines together, about.
 MINE_ROWS = 1 << 16
 TOP_ROWS = 1 << 18
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 _U = np.uint64
 _SEP = 0xFF  # never in UTF-8
 _SPACE = 0x20
@@ -130,9 +130,10 @@ def same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def fragments(docs: DataFrame, table: Broadcast, longest: int, seed: int) -> DataFrame:
-    """pivot, salt, salted, left, words, n: the fragments of each pivot and how often each is there. `words` are hashes of 8 bytes each, `left` of
-    them before the pivot."""
+def fragments(docs: DataFrame, table: Broadcast, longest: int, seed: int, parts: int) -> DataFrame:
+    """part, n, shape, words: the fragments of all pivots, those of one partition in a text batch as one row of binaries. Per
+    fragment n is how often it is there (8 bytes), shape how many words it has before and after the pivot and whether the pivot is dealt to
+    several partitions (3 bytes), and words the hashes of all its words (8 bytes each)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     reach = longest - 1
 
@@ -157,77 +158,88 @@ def fragments(docs: DataFrame, table: Broadcast, longest: int, seed: int) -> Dat
             at = np.flatnonzero(left + right)
             if not len(at):
                 continue
-            left, right = left[at, None], right[at, None]
-            offset = np.arange(-reach, reach + 1)
-            inside = (offset >= -left) & (offset <= right)
-            matrix = np.where(inside, h[at[:, None] + reach + offset], _U(0))
+            left, right = left[at], right[at]
+            offset = np.arange(-reach, reach + 1, dtype=np.int8)
+            matrix = np.where((offset >= -left[:, None]) & (offset <= right[:, None]), h[at[:, None] + reach + offset], _U(0))
             order, begin = same_rows(matrix)
             n = np.diff(np.append(begin, len(order)))
             pick = order[begin]
-            matrix, inside, left, at = matrix[pick], inside[pick], left[pick, 0], at[pick]
-            salts = (f[at] // PIVOT_ROWS).astype(np.int64) + 1
-            salt = (mix(matrix.sum(1)) >> _U(1)).astype(np.int64) % salts
-            ends = np.append(0, inside.sum(1).cumsum() * 8).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix[inside]))])
-            yield pa.RecordBatch.from_arrays([pa.array(matrix[:, reach].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(salts > 1), pa.array(left.astype(np.int8)), words, pa.array(n)], ["pivot", "salt", "salted", "left", "words", "n"])
-
-    return common.map_arrow(rows, run, "pivot long, salt int, salted boolean, left byte, words binary, n long")
-
-
-def mined(found: DataFrame, least: int, longest: int) -> DataFrame:
-    """phrase (hashes of its words) and a, its frequency, of all phrases of 2 to `longest` words with `least` occurrences."""
+            pivot, salts = matrix[pick, reach], f[at[pick]] // PIVOT_ROWS + 1
+            salt = mix(matrix[pick].sum(1)) % salts.astype(_U)
+            part = (mix(pivot + salt * _U(0x9E3779B97F4A7C15)) % _U(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            part, pick, n, many = part[by], pick[by], n[by], salts[by] > 1
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            shape = np.stack([left[pick], right[pick], many.astype(np.int8)], 1)
+            matrix = matrix[pick]
+            ends = np.append(cut, len(part))
+            words = np.append(0, (shape[:, 0].astype(np.int64) + shape[:, 1] + 1).cumsum())
+            binary = lambda data, at: pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), binary(n, ends * 8), binary(shape, ends * 3), binary(matrix[matrix != 0], words[ends] * 8)], ["part", "n", "shape", "words"])
+
+    return common.map_arrow(rows, run, "part int, n binary, shape binary, words binary")
+
+
+def count(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, many: np.ndarray, least: int) -> pa.RecordBatch:
+    """phrase, a: how often each phrase that holds the pivot is in fragments, which are rows with the pivot in the middle. Less than `least` occurrences go
+    on only where the pivot's others are counted elsewhere."""
+    reach = matrix.shape[1] // 2
+    phrases, counts, whole = [], [], []
+    for a in range(reach + 1):
+        for b in range(max(0, 1 - a), reach + 1 - a):
+            at = np.flatnonzero((left >= a) & (right >= b))
+            part = np.zeros((len(at), reach + 1), _U)
+            part[:, : a + b + 1] = matrix[at, reach - a : reach + b + 1]
+            phrases.append(part)
+            counts.append(n[at])
+            whole.append(many[at])
+    rows, n, many = np.concatenate(phrases), np.concatenate(counts), np.concatenate(whole)
+    order, begin = same_rows(rows)
+    total, pick = np.add.reduceat(n[order], begin), order[begin]
+    keep = (total >= least) | many[pick]
+    rows, total = rows[pick[keep]], total[keep]
+    inside = rows != 0
+    ends = np.append(0, inside.sum(1).cumsum()).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[inside].view(np.int64))), pa.array(total)], ["phrase", "a"])
+
+
+def mined(found: DataFrame, least: int, longest: int, parts: int) -> DataFrame:
+    """phrase (hashes of its words) and a, its frequency, of all phrases of 2 to `longest` words with `least` occurrences. A task holds the fragments
+    of one part, and the phrases of whole pivots of about MINE_ROWS of them."""
     reach = longest - 1
-    dealt = found.repartition(common.parts_for(found, PARTITION_BYTES), "pivot", "salt").sortWithinPartitions("pivot", "salt")
-
-    def count(matrix: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, salted: np.ndarray) -> pa.RecordBatch:
-        phrases, counts, whole = [], [], []
-        for a in range(reach + 1):
-            for b in range(max(0, 1 - a), reach + 1 - a):
-                at = np.flatnonzero((left >= a) & (right >= b))
-                part = np.zeros((len(at), longest), _U)
-                part[:, : a + b + 1] = matrix[at, reach - a : reach + b + 1]
-                phrases.append(part)
-                counts.append(n[at])
-                whole.append(salted[at])
-        rows, n, salted = np.concatenate(phrases), np.concatenate(counts), np.concatenate(whole)
-        order, begin = same_rows(rows)
-        total = np.add.reduceat(n[order], begin)
-        pick = order[begin]
-        keep = (total >= least) | salted[pick]
-        rows, total = rows[pick[keep]], total[keep]
-        inside = rows != 0
-        values = pa.array(rows[inside].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, inside.sum(1).cumsum()).astype(np.int32)), values), pa.array(total)], ["phrase", "a"])
+    dealt = found.repartition(max(parts, found.sparkSession.sparkContext.defaultParallelism), "part").sortWithinPartitions("part")
+
+    def mine(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+        n, shape, words = join("n", np.int64), join("shape", np.int8).reshape(-1, 3), join("words", _U)
+        left, right = shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64)
+        size = left + right + 1
+        first = size.cumsum() - size
+        pivot = words[first + left]
+        order = np.argsort(pivot, kind="stable")
+        pivot = pivot[order]
+        new = np.append(True, pivot[1:] != pivot[:-1])
+        group = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) // MINE_ROWS
+        for rows_of in np.split(order, np.flatnonzero(group[1:] != group[:-1]) + 1):
+            width = size[rows_of]
+            row = np.repeat(np.arange(len(rows_of)), width)
+            step = np.arange(len(row)) - np.repeat(width.cumsum() - width, width)
+            matrix = np.zeros((len(rows_of), 2 * reach + 1), _U)
+            matrix[row, step + (reach - left[rows_of])[row]] = words[first[rows_of][row] + step]
+            yield count(matrix, left[rows_of], right[rows_of], n[rows_of], shape[rows_of, 2] > 0, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows, last = [], 0, None
+        rows: list[dict] = []
         for batch in batches:
-            pivot, salt, salted, left, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "salt", "salted", "left", "n"))
-            size = np.frombuffer(b"".join(words := batch.column("words").to_pylist()), _U)
-            lengths = np.fromiter(map(len, words), np.int64, len(words)) // 8
-            matrix = np.zeros((len(words), 2 * reach + 1), _U)
-            row = np.repeat(np.arange(len(words)), lengths)
-            column = np.arange(len(size)) - np.repeat(lengths.cumsum() - lengths, lengths) + np.repeat(reach - left.astype(np.int64), lengths)
-            matrix[row, column] = size
-            now = (matrix, left.astype(np.int64), lengths - 1 - left, n, salted)
-            # A pivot's fragments are counted together, those of several small ones too.
-            cut = np.flatnonzero(np.append((pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1]), False)) + 1
-            fresh = last is not None and len(pivot) and (pivot[0], salt[0]) != last
-            if parts and fresh and rows >= MINE_ROWS:
-                yield count(*map(np.concatenate, zip(*parts, strict=True)))
-                parts, rows = [], 0
-            if rows + len(pivot) >= MINE_ROWS and len(cut):
-                parts.append(tuple(x[: cut[-1]] for x in now))
-                yield count(*map(np.concatenate, zip(*parts, strict=True)))
-                parts, rows = [tuple(x[cut[-1] :] for x in now)], len(pivot) - int(cut[-1])
-            else:
-                parts.append(now)
-                rows += len(pivot)
-            last = (pivot[-1], salt[-1]) if len(pivot) else last
+            for r in batch.to_pylist():
+                if rows and rows[0]["part"] != r["part"]:
+                    yield from mine(rows)
+                    rows = []
+                rows.append(r)
         if rows:
-            yield count(*map(np.concatenate, zip(*parts, strict=True)))
+            yield from mine(rows)
 
-    got = common.map_arrow(dealt.select("pivot", "salt", "salted", "left", "words", "n"), run, "phrase array<long>, a long")
+    got = common.map_arrow(dealt, run, "phrase array<long>, a long")
     return got.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -272,11 +284,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         frequent = common.written(words.where(F.col("n") >= least), "frequent")
         shared = words.groupBy("h").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("n")).where((F.col("words") > 1) & (F.col("n") >= least))
         if clear := shared.isEmpty():
+            totals = common.written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+            parts = min((totals.agg(F.sum("n")).first()[0] or 0) // PART_WORDS + 1, 1 << 20)
             table = spark.sparkContext.broadcast(slots(frequent))
-            found = common.written(fragments(docs, table, longest, seed), "fragments", MINE_ROWS)
+            phrases = common.written(mined(fragments(docs, table, longest, seed, parts), least, longest, parts), "phrases")
             table.destroy()
-            phrases = common.written(mined(found, least, longest), "phrases", MINE_ROWS)
-            totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
             got = keep(ranked(common.written(scored(phrases, frequent, totals), "scored"), top), "collocations")
     if not clear:
         return collocations(docs, least, longest, top, seed + 1)

@@ -5,7 +5,6 @@ import duckdb
 import numpy as np
 import pytest
 
-from barlane.llm import common
 from barlane.llm import op13_collocations as op
 
 
@@ -55,18 +54,13 @@ def test_hot_pivots_are_dealt_and_added_up(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "lang string, text string")
     want = brute(rows, 6, 5, 500)
     assert found(docs, least=6, top=500) == want
-    monkeypatch.setattr(op, "PIVOT_ROWS", 7)
     monkeypatch.setattr(op, "MINE_ROWS", 64)
-    words = op.counted(docs, 0)
-    table = spark.sparkContext.broadcast(op.slots(words.where("n >= 6")))
-    frags = common.written(op.fragments(docs, table, 5, 0), "fragments", 64)
-    # The monkeypatch reaches the driver only: salts are set here.
-    from pyspark.sql import functions as F
-
-    salted = frags.withColumn("salt", (F.xxhash64("words") % 3).cast("int")).withColumn("salted", F.lit(True))
-    for f in (frags, salted):
-        got = {tuple(r["phrase"]): r["a"] for r in op.mined(f, 6, 5).collect()}
-        assert sorted(got.values()) == sorted(r["a"] for r in op.mined(frags, 6, 5).collect())
+    table = spark.sparkContext.broadcast(op.slots(op.counted(docs, 0).where("n >= 6")))
+    once = {tuple(r["phrase"]): r["a"] for r in op.mined(op.fragments(docs, table, 5, 0, 3), 6, 5, 3).collect()}
+    monkeypatch.setattr(op, "PIVOT_ROWS", 7)
+    dealt = op.fragments(docs, table, 5, 0, 40)
+    assert any(1 in r["shape"][2::3] for r in dealt.collect())
+    assert {tuple(r["phrase"]): r["a"] for r in op.mined(dealt, 6, 5, 40).collect()} == once and len(once) > 50
 
 
 def test_words_that_share_a_slot_change_nothing(docs, doc_rows, monkeypatch):
