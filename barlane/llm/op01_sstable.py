@@ -45,6 +45,8 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 7
 #: Bytes of the input's files that one shard takes.
 SHARD_BYTES = 32 << 20
+#: Marks that words of letters often end with; one text in CHECKED is encoded whole too.
+MARKS, CHECKED = ".,!?;:", 32
 #: Entries of a worker's word cache, and the longest word it keeps.
 CACHE_WORDS = 1_000_000
 CACHE_CHARS = 40
@@ -223,8 +225,9 @@ class Encoder:
     For such a tokenizer the ids of a text are those of its words one after another, so each distinct word is
     encoded once a worker while the cache has room. Words of letters go to the library many at once, joined by
     spaces; the ends of words in its answer are the tokens that carry the model's word-end suffix. If their count
-    is not the count of words, these words are encoded one by one. A tokenizer without these properties encodes
-    whole texts.
+    is not the count of words, these words are encoded one by one. A mark after a word of letters is encoded apart if the
+    tokenizer does so. A tokenizer without these properties encodes whole texts. One text in CHECKED, by its
+    length and place, is encoded whole too, and a difference fails the job.
     """
 
     def __init__(self, path: str) -> None:
@@ -237,6 +240,8 @@ class Encoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         probe = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.by_word = bool(suffix) and probe("ab cde\nf, g") == [i for w in ("ab", "cde", "f,", "g") for i in probe(w)]
+        #: Marks that are never joined with the word before them.
+        self.apart = "".join(m for m in MARKS if all(probe(w + m) == probe(w) + probe(m) for w in ("a", "the", "abc", "hello", "zqxj", "é")))
         if self.by_word:
             self.ends = np.zeros(size, bool)
             for token, i in self.tokenizer.get_vocab(True).items():
@@ -274,7 +279,7 @@ class Encoder:
         for w in new:
             if w.isalpha():
                 letters.append(w)
-            elif w[-1] in ".,!?;:" and w[:-1].isalpha():
+            elif w[-1] in self.apart and w[:-1].isalpha():
                 cut.append(w)
             else:
                 other.append(w)
@@ -292,6 +297,9 @@ class Encoder:
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
         for w in found if room < len(found) else [w for w in found if len(w) > CACHE_CHARS]:
             del cache[w]
+        for i, (text, got) in enumerate(zip(texts, out, strict=True)):
+            if (i + len(text)) % CHECKED == 0 and self._each([text])[0] != got:
+                raise AssertionError(f"a text's ids differ from those of its words: {text[:80]!r}")
         return out
 
 
@@ -339,7 +347,17 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
             ends = {"first": pa.array([first], pa.int64()), "last": pa.array([doc_ids[-1]], pa.int64())}
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [info["n_docs"]], "n_ids": [info["n_ids"]]} | ends)
 
-    return common.written(common.map_arrow(rows, write, "shard long, path string, n_docs long, n_ids long, first long, last long"), "sst-manifest")
+    manifest = common.written(common.map_arrow(rows, write, "shard long, path string, n_docs long, n_ids long, first long, last long"), "sst-manifest")
+    sweep(docs.sparkSession, out_uri)
+    return manifest
+
+
+def sweep(spark: SparkSession, out_uri: str) -> None:
+    """Delete what tasks that failed or were lost have left unfinished beside the shards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_uri)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, ".shard-*")) or ():
+        fs.delete(left.getPath(), False)
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, out_uri: str) -> DataFrame:
@@ -356,6 +374,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out_uri: str) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = common.filesystem(out_uri)
+        _encoders.clear()  # the shards are written: their cache goes
         for batch in batches:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(path) as file:

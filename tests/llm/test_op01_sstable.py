@@ -117,3 +117,38 @@ def test_query(spark, sf_dir, tokenizer):
         g = got[r["doc_id"]]
         assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_marks_that_a_tokenizer_glues_to_words(tmp_path):
+    """Words end with a suffix, and pieces are cut at white space only: a mark is part of its word there."""
+    from tokenizers import models, pre_tokenizers
+
+    letters = [*"abcdefghijklmnopqrstuvwxyz,.", *(f"{c}</w>" for c in "abcdefghijklmnopqrstuvwxyz,.")]
+    made = [("h", "e"), ("l", "l"), ("he", "ll"), ("o", ",</w>"), ("hell", "o,</w>"), ("hell", "o</w>"), ("a", "b"), ("ab", "c</w>"), ("c", ".</w>"), ("ab", "c.</w>")]
+    vocab = {t: i for i, t in enumerate([*letters, *("".join(m) for m in made)])}
+    t = Tokenizer(models.BPE(vocab, made, end_of_word_suffix="</w>"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(path := str(tmp_path / "glued.json"))
+    e = op.Encoder(path)
+    assert e.by_word
+    for text in ("hello, world. abc, again.", "hello abc. abc hello,", "x, y."):
+        assert np.frombuffer(e.texts([text])[0], f"<u{e.width}").tolist() == ids_of(t, text)
+
+
+def test_a_wrong_split_fails_the_job(monkeypatch):
+    e = op.Encoder(PATH)
+    monkeypatch.setattr(op, "CHECKED", 1)
+    e.cache["hello"] = e.cache[""]
+    with pytest.raises(AssertionError):
+        e.texts(["hello world"])
+
+
+def test_unfinished_files_are_swept(spark, make_docs):
+    from pyarrow import fs
+
+    out = common.scratch(spark, "t1")
+    files, root = common.filesystem(out)
+    files.create_dir(root)
+    files.open_output_stream(f"{root}/.shard-0000000-lost").close()
+    op.write_shards(make_docs([(1, "a b")]), out, PATH, 1, 1)
+    assert [f.base_name for f in files.get_file_info(fs.FileSelector(root)) if not f.base_name.endswith(".crc")] == ["shard-0000000.sst"]
