@@ -8,8 +8,8 @@
    (levels of bit arrays; a key's place is the rank of its bit), which indexes three flat arrays: a 32-bit
    fingerprint, the count of documents (up to 255, or to least_docs if that is more) and the largest doc_id.
 4. Documents' hashes are dealt to the same shards and probe the arrays; no lines are joined. A shard with more than
-   PROBE_ROWS probes, because one line is everywhere, is split into that many parts, salted by document and text, each with a copy of the
-   shard's arrays.
+   PROBE_ROWS probes, because one line is everywhere, is split into that many parts, salted by document, text and where its row is read, each
+   with a copy of the shard's arrays.
 5. The line numbers to drop go back to their documents, by doc_id and hash of text.
 """
 
@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlane.llm import common
@@ -215,7 +215,7 @@ def probe(lines: DataFrame, index: DataFrame, n_shards: int, least_docs: int) ->
     salts = F.ceil(F.col("probes") / PROBE_ROWS).cast("int")
     hot = index.where(F.col("probes") > PROBE_ROWS).select("shard", salts.alias("salts"))
     asked = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards))).join(hot, "shard", "left")
-    asked = asked.select("shard", F.coalesce(F.pmod(F.xxhash64("did", "th"), F.col("salts").cast("long")), F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "did", "th", "lines", F.lit(None).cast("binary").alias("data"))
+    asked = asked.select("shard", F.coalesce(F.pmod(F.xxhash64("did", "th", F.spark_partition_id()), F.col("salts").cast("long")), F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "did", "th", "lines", F.lit(None).cast("binary").alias("data"))
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "did", "th")), F.lit(None).cast("array<int>").alias("lines"), "data")
     n_parts = common.parts_of(lines.sparkSession, n_shards * SHARD_KEYS * ROW_BYTES, PARTITION_BYTES)
     both = asked.unionByName(arrays).repartition(n_parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
@@ -246,33 +246,50 @@ def probe(lines: DataFrame, index: DataFrame, n_shards: int, least_docs: int) ->
     return common.map_arrow(both, run, "did long, th long, lines array<int>")
 
 
-def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """`docs` with the columns n_lines, n_dropped and kept_text in one struct column `line_dedup`; all other columns stay as they are.
+def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, name: str = "line_dedup") -> DataFrame:
+    """`docs` with the columns n_lines, n_dropped and kept_text in one struct column `name`; all other columns stay as they are,
+    and one of that name gives way.
 
     A null or empty text is one empty line and stays. Keys shorter than `least_chars` never go. Rows that share a
     doc_id count as one document, and so do rows whose doc_id is null, which is never the largest beside others; in
     all rows of the largest doc_id the lines stay, and repeats of a line inside that document too. Repeated rows are
     all returned. An empty table gives none.
     """
-    name = "line_dedup"
     with common.workspace(docs.sparkSession, "line-dedup") as keep:
         lines = common.written(hashed_lines(docs, least_chars), "hashes")
         n_shards = max(1, -(-lines.count() // SHARD_KEYS))
         index = common.written(build_index(lines, n_shards, least_docs), "index")
         drops = probe(lines, index, n_shards, least_docs).distinct()
-        drops = keep(drops.groupBy("did", "th").agg(F.flatten(F.collect_list("lines")).alias("__drop")), "line-drops")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"))
+        drops = keep(drops.groupBy("did", "th").agg(F.flatten(F.collect_list("lines")).alias("gone")), "line-drops")
+    kept_columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()))
+    keyed = docs.select(kept_columns.alias("row"), F.coalesce("text", F.lit("")).alias("body"), common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"))
     joined = keyed.join(drops, ["did", "th"], "left")
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    split = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__drop", i)), "\n")
-    n_dropped = F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
+    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
+    body, gone = F.col("body"), F.col("gone")
     out = F.struct(
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"),
-        F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept_text"),
+        (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.coalesce(without_lines()(F.when(gone.isNotNull(), body), gone), body).alias("kept_text"),
     )
-    return joined.select("row.*", out.alias(name))
+    return joined.select("row", out.alias("found")).select("row.*", F.col("found").alias(name))
+
+
+def without_lines() -> Callable[[Column, Column], Column]:
+    """A text without the lines of the given numbers; null where there are none. Its work grows with the text alone."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for text, numbers in zip(texts, gone, strict=True):
+            if not numbers.is_valid:
+                out.append(None)
+                continue
+            drop = set(numbers.as_py())
+            out.append("\n".join(line for i, line in enumerate(text.as_py().split("\n")) if i not in drop))
+        return pa.array(out, pa.string())
+
+    return cut
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def found(df):
 
 def test_edge_documents(docs, doc_rows):
     got = op.dedup(docs)
-    assert got.columns == [*docs.columns, "line_dedup"]
+    assert got.columns == [*(c for c in docs.columns if c != "line_dedup"), "line_dedup"]
     assert found(got) == brute([(i, t) for i, t, _ in doc_rows])
 
 
@@ -94,3 +94,13 @@ def test_counts_up_to_most_are_exact(most):
     shard = op.Shard.from_bytes(op.Shard.build(h1, h2, counts, h1, most).to_bytes())
     n, last = shard.probe(h1, h2)
     assert (n == np.minimum(counts, most)).all() and (last == h1).all()
+
+
+def test_many_lines_of_long_texts_go(spark, make_docs):
+    lines = [f"This is line number {i} of a long text." for i in range(20_000)]
+    own = "A line that stands in this document alone."
+    docs = make_docs([(d, "\n".join([own + str(d), *lines])) for d in range(3)])
+    got = {r["doc_id"]: r["line_dedup"] for r in op.dedup(docs).collect()}
+    assert [got[d]["n_dropped"] for d in range(3)] == [20_000, 20_000, 0]
+    assert [got[d]["n_lines"] for d in range(3)] == [20_001] * 3
+    assert got[0]["kept_text"] == own + "0" and got[2]["kept_text"].endswith(lines[-1])
