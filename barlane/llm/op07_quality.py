@@ -118,14 +118,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranking:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Ranking:
-    """A ranking from `docs` (doc_id, text) and `labels` (doc_id, quality) by up to `per_class` documents a class."""
+    """A ranking from `docs` (doc_id, text) and `labels` (doc_id, quality) by up to `per_class` documents a class. It is
+    the same however the rows are dealt."""
     rows = labelled.sample(docs, labels, "quality", per_class, "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ys, texts in common.grouped(batches, GROUP_CHARS):
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "x": pa.array([features(t) for t in texts], pa.list_(pa.float64()))})
+        for keys, texts in common.grouped(batches, GROUP_CHARS):
+            ids = {c: pa.array([k[c] for k in keys], pa.int64()) for c in ("doc_id", "th", "y")}
+            yield pa.RecordBatch.from_pydict(ids | {"x": pa.array([features(t) for t in texts], pa.list_(pa.float64()))})
 
-    got = common.map_arrow(rows.select("y", "text"), run, "y int, x array<double>").toArrow()
+    got = common.map_arrow(rows.select(F.struct("doc_id", "th", "y").alias("key"), "text"), run, "doc_id long, th long, y long, x array<double>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("th", "ascending")])  # pairs are drawn by place
     return fit(np.array(got["x"].to_pylist(), float).reshape(-1, len(features(""))), np.array(got["y"].to_pylist()))
 
 

@@ -70,3 +70,28 @@ def test_query_matches_brute_force(spark, sf_dir):
         want = 1 / (1 + np.exp(-(raw - m.threshold) / m.scale - np.log(0.3 / 0.7)))
         assert abs(got[r["doc_id"]]["score"] - want) < 1e-9
         assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_model_does_not_follow_the_order_of_rows(spark, sf_dir):
+    docs, labels = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels")
+    a, b = op.learn(docs.repartition(1), labels), op.learn(docs.repartition(7).orderBy(F.desc("doc_id")), labels.repartition(3))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.knots, b.knots) and a.threshold == b.threshold
+
+
+def test_weights_are_those_of_a_plain_solver():
+    """The loss over all pairs, with its penalty, against Newton's method on the same features."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(160, len(op.features(""))))
+    y = (x[:, 0] - 0.7 * x[:, 1] + rng.normal(size=160) > 0).astype(int)
+    m = op.fit(x, y)
+    e = op.expand(x, m.knots)
+    d = (e[y == 1][:, None] - e[y == 0][None]).reshape(-1, e.shape[1])
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + op.L2 / 2 * (w @ w)
+    w = np.zeros(e.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        g = -(d * p[:, None]).mean(0) + op.L2 * w
+        h = (d * (p * (1 - p))[:, None]).T @ d / len(d) + op.L2 * np.eye(len(w))
+        w -= np.linalg.solve(h, g)
+    assert loss(w) <= loss(m.weights) <= loss(w) + 0.02
+    assert np.corrcoef(e @ w, e @ m.weights)[0, 1] > 0.99
