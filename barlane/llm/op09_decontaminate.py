@@ -1,12 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are parted by the size of their shingle sets, [2^j, 2^(j+1)). All items of a part have MinHash sketches of the
+Test items are parted by the size of their shingle sets, [2^j, 2^(j+1)), and each part is searched by itself, in a table of
+its own with its own numbers of hits. All items of a part have MinHash sketches of the
 same length: the 2^j smallest hashes of their shingles, SKETCH at most. These are a random sample of an item's shingles, so
 the share of them that a document holds estimates how much of the item it holds. The search looks up the shingles of a
-document among all sketch values and takes items with enough hits: as many as an item at the threshold must have, or,
+document among a part's sketch values and takes items with enough hits: as many as an item at the threshold must have, or,
 where a sketch is shorter than what may be missing can rule out, as many as one at the threshold has but for a chance of
-MISS. So recall is 1 for items of less than 2 * SKETCH shingles, and 1 - MISS for each longer one. Each candidate is
-verified on the shingles themselves, not on their hashes.
+`miss`. So recall is 1 for items whose sketch is longer than what may be missing (up to 320 shingles at 0.8), and 1 - miss for each longer
+one; a miss of 0 makes sketches as long as that takes, and recall 1 for all. Each candidate is verified on the shingles themselves,
+not on their hashes.
 
 Items go to the tasks in blocks of about BLOCK_CHARS characters, one after another: a block's sketches are broadcast, its
 pass over the documents is written, and its broadcast is dropped before the next. So what the driver and the workers hold
@@ -33,7 +35,6 @@ SKETCH = 64
 MISS = 1e-9
 BLOCK_CHARS = 16 << 20
 GROUP_CHARS = 2 << 20
-ID_CHARS = 8
 LEAKS = "did long, th long, item_id long, n_shingles long, n_found long, containment double"
 
 
@@ -42,9 +43,15 @@ def most_missing(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9)
 
 
-def least_hits(n: int, length: int, missing: int) -> int:
+def sketch_length(n: int, missing: int, miss: float) -> int:
+    """Values in the sketch of an item of n shingles: by its size class, or with no `miss` one more than may be missing if that is more."""
+    length = min(SKETCH, 1 << (n.bit_length() - 1))
+    return length if miss else max(length, missing + 1)
+
+
+def least_hits(n: int, length: int, missing: int, miss: float = MISS) -> int:
     """How many of the `length` sketch values of an item of n shingles a document holds at least if `missing` of them are
-    not in it: for certain if that is more than none, else but for a chance of MISS (hypergeometric)."""
+    not in it: for certain if that is more than none, else but for a chance of `miss` (hypergeometric)."""
     sure = length - missing
     if sure > 0:
         return sure
@@ -52,35 +59,37 @@ def least_hits(n: int, length: int, missing: int) -> int:
     chance, hits = 0.0, 0
     while hits < length:
         chance += math.exp(log_comb(n - missing, hits) + log_comb(missing, length - hits) - log_comb(n, length)) if hits <= n - missing else 0.0
-        if chance > MISS:
+        if chance > miss:
             break
         hits += 1
     return max(1, hits)
 
 
 class Sketches:
-    """The sketches of a block of items, each with a tuple of its ids. Items themselves are kept as texts only."""
+    """The sketches of a block of items. Items themselves are kept as texts only."""
 
-    def __init__(self, items: list[tuple[tuple[int | None, ...], str]], size: int, threshold: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], size: int, threshold: float, miss: float = MISS) -> None:
         hasher = shingles.Hasher()
         self.size, self.threshold = size, threshold
-        self.ids: list[tuple[int | None, ...]] = []
+        self.ids: list[int | None] = []
         self.texts: list[bytes] = []
         need, entries = [], {}
-        for ids, text in items:
+        for item_id, text in items:
             ws = shingles.words(text)
             if not ws:
                 continue
             k = min(size, len(ws))
             s = np.unique(shingles.runs(hasher.words([ws])[0], k))
-            length = min(SKETCH, 1 << (len(s).bit_length() - 1))
-            entries.setdefault(k, []).append((s[:length], len(self.ids)))
-            need.append(least_hits(len(s), length, most_missing(len(s), threshold)))
-            self.ids.append(ids)
+            missing = most_missing(len(s), threshold)
+            length = sketch_length(len(s), missing, miss)
+            entries.setdefault((k, len(s).bit_length()), []).append((s[:length], len(self.ids)))
+            need.append(least_hits(len(s), length, missing, miss))
+            self.ids.append(item_id)
             self.texts.append(b" ".join(ws))
         self.need = np.array(need, np.int64)
-        #: By words of a shingle: ascending distinct sketch values, where each one's items begin, all items, and a table of the values' first bits.
-        self.tables = {k: self._table(of) for k, of in entries.items()}
+        #: By words of a shingle and size class: ascending distinct sketch values, where each one's items begin, all items, and a
+        #: table of the values' first bits.
+        self.tables = {part: self._table(of) for part, of in sorted(entries.items())}
 
     @staticmethod
     def _table(of: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]:
@@ -96,21 +105,22 @@ class Sketches:
 
     def candidates(self, h: np.ndarray) -> list[int]:
         """Items with enough sketch values among the shingles of a document, by the hashes of its words."""
-        hits = []
-        for k, (values, begin, items, marks, shift) in self.tables.items():
-            found = shingles.runs(h, k)
-            found = found[marks[(found >> shift).astype(np.int64)]]
+        out: list[int] = []
+        runs: dict[int, np.ndarray] = {}
+        for (k, _), (values, begin, items, marks, shift) in self.tables.items():
+            if k not in runs:
+                runs[k] = shingles.runs(h, k)
+            found = runs[k][marks[(runs[k] >> shift).astype(np.int64)]]
             if len(found):
                 place = np.minimum(np.searchsorted(values, found), len(values) - 1)
                 place = np.unique(place[values[place] == found])
-                hits += [items[begin[p] : begin[p + 1]] for p in place.tolist()]
-        if not hits:
-            return []
-        which, n = np.unique(np.concatenate(hits), return_counts=True)
-        return which[n >= self.need[which]].tolist()
-
-    def verify(self, ws: list[bytes], which: list[int]) -> Iterator[tuple[tuple[int | None, ...], int, int]]:
-        """(ids, shingles, shingles found in the document) of the items that reach the threshold."""
+                if len(place):
+                    which, n = np.unique(np.concatenate([items[begin[p] : begin[p + 1]] for p in place.tolist()]), return_counts=True)
+                    out += which[n >= self.need[which]].tolist()
+        return out
+
+    def verify(self, ws: list[bytes], which: list[int]) -> Iterator[tuple[int | None, int, int]]:
+        """(item_id, shingles, shingles found in the document) of the items that reach the threshold."""
         grams = lambda words, k: set(zip(*(words[j : len(words) - k + 1 + j] for j in range(k)), strict=True))
         sets: dict[int, set] = {}
         for i in which:
@@ -124,36 +134,40 @@ class Sketches:
                 yield self.ids[i], len(own), n
 
 
-def blocks(benchmark: DataFrame, block_chars: int, every_id: bool = False) -> Iterator[list[tuple[tuple[int | None, ...], str]]]:
-    """Distinct item texts, each with its smallest item_id or all of them, in blocks by the hash of the text. An id beside
-    the first counts as ID_CHARS characters."""
-    item_id = F.col("item_id").cast("long")
-    ids = F.collect_set(F.struct(item_id.alias("i"))) if every_id else F.array(F.struct(F.min(item_id).alias("i")))
-    items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(ids.alias("ids"))
-    total = items.agg(F.sum(F.length("text") + ID_CHARS * (F.size("ids") - 1))).first()[0] or 0
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Distinct item texts, each with its smallest item_id, in blocks by the hash of the text."""
+    items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b) if n > 1 else items
-        yield [(tuple(x["i"] for x in r["ids"]), r["text"]) for r in block.collect()]
+        yield [(r["item_id"], r["text"]) for r in block.collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False, miss: float = MISS) -> DataFrame:
     """Leaks of `benchmark` (item_id, text) in `docs` (doc_id, text; other columns of both are left out), as doc_id, item_id, n_shingles, n_found and containment: the share of an
     item's distinct shingles that a document holds is `threshold` or more.
 
     Shingles are `size` words; an item with fewer words is one shingle of all its words, searched as that run. Items
-    with equal texts count once, under the smallest item_id, or with `every_id` under each of their ids. Null or empty texts hold nothing and are found nowhere.
+    with equal texts count once, under the smallest item_id, or with `every_id` under each of their ids, to which the leaks of the first are
+    joined back. Null or empty texts hold nothing and are found nowhere.
     A null doc_id is returned as such; repeated rows each give their pairs. Empty tables give no pairs.
     """
-    return leaks(docs, benchmark, size, threshold, block_chars, every_id).drop("th").withColumn("did", common.unfold(F.col("did"))).withColumnRenamed("did", "doc_id")
+    found = leaks(docs, benchmark, size, threshold, block_chars, miss).drop("th")
+    if every_id:
+        ids = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("th"), "text").distinct()
+        first = ids.groupBy("th", "text").agg(F.min("item_id").alias("first"))
+        members = ids.join(first, ["th", "text"]).select(F.col("first").alias("of"), F.col("item_id").alias("member"))
+        found = found.join(members, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("item_id", F.col("member")).drop("of", "member")
+    return found.withColumn("did", common.unfold(F.col("did"))).withColumnRenamed("did", "doc_id")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, every_id: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, miss: float = MISS) -> DataFrame:
     """search() with documents named by did, their folded doc_id, and th, the hash of their text."""
     rows = docs.select(common.fold(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("th"), "text").where(F.col("text").isNotNull())
     found: DataFrame | None = None
-    for items in blocks(benchmark, block_chars, every_id):
-        shared = docs.sparkSession.sparkContext.broadcast(Sketches(items, size, threshold))
+    for items in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Sketches(items, size, threshold, miss))
         got = common.written(_search(rows, shared), "leaks")
         shared.destroy()
         found = got if found is None else found.unionAll(got)
@@ -171,7 +185,7 @@ def _search(rows: DataFrame, shared: Broadcast) -> DataFrame:
             out = []
             for key, ws, h in zip(keys, listed, hasher.words(listed), strict=True):
                 if which := s.candidates(h):
-                    out += [(key["did"], key["th"], i, n, f, f / n) for ids, n, f in s.verify(ws, which) for i in ids]
+                    out += [(key["did"], key["th"], i, n, f, f / n) for i, n, f in s.verify(ws, which)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -180,8 +194,9 @@ def _search(rows: DataFrame, shared: Broadcast) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose own text leaks no item, whatever other rows share their doc_id."""
-    gone = leaks(docs, benchmark).select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, (common.fold(docs["doc_id"]) == F.col("__did")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
+    did, th = common.fresh(docs, "did", "th")
+    gone = leaks(docs, benchmark).select(F.col("did").alias(did), F.col("th").alias(th)).distinct()
+    return docs.join(gone, (common.fold(docs["doc_id"]) == F.col(did)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,3 +230,11 @@ WITH items AS (
 SELECT doc_id, item_id, n_shingles, n_found, CAST(n_found AS DOUBLE) / n_shingles AS containment
 FROM found JOIN sizes USING (item_id) WHERE 10 * n_found >= 8 * n_shingles
 """
+
+#: The same with every item_id, where items share a text.
+SQL_EVERY_ID = f"""
+WITH firsts AS ({SQL}), members AS (
+    SELECT item_id AS member, min(item_id) OVER (PARTITION BY text) AS item_id FROM benchmark WHERE text IS NOT NULL
+)
+SELECT doc_id, member AS item_id, n_shingles, n_found, containment FROM firsts JOIN members USING (item_id)
+"""

@@ -28,6 +28,7 @@ SQL: dict[str, str] = {
     "op5_jaccard": op05_jaccard.SQL,
     "op8_chat": op08_chat.SQL,
     "op9_decontaminate": op09_decontaminate.SQL,
+    "op9_decontaminate_every_id": op09_decontaminate.SQL_EVERY_ID,
     "op11_mixing": op11_mixing.SQL,
     "op13_collocations": op13_collocations.SQL,
 }

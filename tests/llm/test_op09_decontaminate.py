@@ -136,3 +136,32 @@ def test_every_id_of_a_repeated_text(spark, make_docs, block):
     want = sorted((d, i, n, f) for t, ids in of.items() for d, _, n, f in brute(docs, [(0, t)]) for i in ids)
     assert {70, 80} <= {i for _, i, *_ in want}
     assert found(op.search(make_docs(docs).repartition(3), bench, block_chars=block, every_id=True)) == want
+
+
+def test_long_items_without_a_chance_to_miss(spark, make_docs):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((50, 330, 700, 1500, 4000))]
+    docs = []
+    for d, (_, t) in enumerate(items):
+        w = t.split()
+        docs += [(d, " ".join(w[: len(w) * 85 // 100])), (d + 10, " ".join(w[: len(w) * 75 // 100]))]
+    bench = spark.createDataFrame([(i, t, "c") for i, t in items], ITEMS)
+    assert found(op.search(make_docs(docs), bench, miss=0.0)) == brute(docs, items)
+    for n in (1, 2, 64, 319, 330, 5000):
+        missing = op.most_missing(n, 0.8)
+        length = op.sketch_length(n, missing, 0.0)
+        assert length <= n and op.least_hits(n, length, missing, 0.0) == length - missing >= 1
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_queries_are_their_sql(spark, sf_dir, every):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    query, sql = (op.op9_decontaminate_every_id, op.SQL_EVERY_ID) if every else (op.op9_decontaminate, op.SQL)
+    want = con.execute(sql).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(map(tuple, query(spark, sf_dir).select(*names).collect())) == sorted(want)
