@@ -85,27 +85,36 @@ class Scorer:
         return float(sum(self.model.weights[i] * np.log1p(n) for i, n in self.counts(text).items()))
 
 
-def choose(rows: DataFrame, most: int = FEATURES, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO) -> tuple[str, ...]:
-    """The `most` features of (text, y) that stand out most in toxic rows, by the excess over what other rows let
-    expect in units of its deviation. Tasks count their rows before the counts are shuffled."""
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not n.get(1) or not n.get(0):
-        return ()
+def choose(rows: DataFrame, most: int, least_docs: int, least_ratio: float) -> list[tuple[str, ...]]:
+    """The `most` features of (text, y, half) that stand out most in toxic rows, by the excess over what other rows let
+    expect in units of its deviation: of all rows, and of those of half 0 and of half 1 alone. The rows are read once;
+    tasks count theirs before the counts are shuffled."""
+    n = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    sums = ("o0", "t0", "o1", "t1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other = Counter(), Counter()
-        for ys, texts in common.grouped(batches, GROUP_CHARS):
-            for y, text in zip(ys, texts, strict=True):
-                (toxic if y else other).update(document_features(text))
-        names = list(toxic | other)
+        found = [Counter() for _ in sums]
+        for keys, texts in common.grouped(batches, GROUP_CHARS):
+            for k, text in zip(keys, texts, strict=True):
+                found[2 * k["half"] + k["y"]].update(document_features(text))
+        names = list(set().union(*found))
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"feature": part, "toxic": pa.array([toxic[f] for f in part], pa.int64()), "other": pa.array([other[f] for f in part], pa.int64())})
-
-    counted = common.map_arrow(rows.select("y", "text"), run, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    expected = (F.col("o") + 0.5) * F.lit(n[1] / n[0])
-    best = counted.where(F.col("t") >= least_docs).where(F.col("t") > least_ratio * expected).orderBy(F.desc((F.col("t") - expected) / F.sqrt(expected + 1)), "feature").limit(most)
-    return tuple(r["feature"] for r in best.collect())
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(part, pa.string())} | {c: pa.array([of[f] for f in part], pa.int64()) for c, of in zip(sums, found, strict=True)})
+
+    counted = common.map_arrow(rows.select(F.struct("y", "half").alias("key"), "text"), run, "feature string, o0 long, t0 long, o1 long, t1 long")
+    counted = common.written(counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in sums)), "toxicity-counts")
+    out = []
+    for halves in ((0, 1), (0,), (1,)):
+        toxic, other = (sum(n.get((y, h), 0) for h in halves) for y in (1, 0))
+        t, o = (sum((F.col(f"{c}{h}") for h in halves[1:]), F.col(f"{c}{halves[0]}")) for c in "to")
+        if not toxic or not other:
+            out.append(())
+            continue
+        expected = (o + 0.5) * F.lit(toxic / other)
+        best = counted.where(t >= least_docs).where(t > least_ratio * expected).orderBy(F.desc((t - expected) / F.sqrt(expected + 1)), "feature").limit(most)
+        out.append(tuple(r["feature"] for r in best.collect()))
+    return out
 
 
 def fit(features: tuple[str, ...], x: np.ndarray, grade: np.ndarray) -> Ordinal:
@@ -141,12 +150,18 @@ def fit(features: tuple[str, ...], x: np.ndarray, grade: np.ndarray) -> Ordinal:
     return Ordinal(features, p[: len(features)], p[len(features)] + np.concatenate([[0.0], np.exp(p[len(features) + 1 :]).cumsum()]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Ordinal:
-    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic) by up to `per_class` documents a class."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, most: int = FEATURES, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO) -> Ordinal:
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic) by up to `per_class` documents a class, with up to `most`
+    features, each in `least_docs` toxic documents and in `least_ratio` times as many as other documents let expect. It is the
+    same however the rows are dealt.
+
+    `labels` has no grades: that of a toxic document is a proxy, how many features it holds that tell toxic documents of the
+    other half of the sample.
+    """
     rows = labelled.sample(docs, labels, "toxic", per_class, "toxicity-sample")
     rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    features = choose(rows)
-    judges = [choose(rows.where(F.col("half") != half)) for half in (0, 1)]
+    features, *halves = choose(rows, most, least_docs, least_ratio)
+    judges = halves[::-1]  # each half's judge is learned from the other one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = lambda names: Scorer(Ordinal(names, np.zeros(len(names)), np.zeros(GRADES - 1)))
@@ -154,9 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
         for keys, texts in common.grouped(batches, GROUP_CHARS):
             got = [scorer.counts(t) for t in texts]
             hits = [sum(other[k["half"]].counts(t).values()) for k, t in zip(keys, texts, strict=True)]
-            yield pa.RecordBatch.from_pydict({"y": pa.array([k["y"] for k in keys], pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64())), "hits": pa.array(hits, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k["doc_id"] for k in keys], pa.int64()), "th": pa.array([k["th"] for k in keys], pa.int64()), "y": pa.array([k["y"] for k in keys], pa.int32()), "at": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int64())), "hits": pa.array(hits, pa.int64())})
 
-    got = common.map_arrow(rows.select(F.struct("y", "half").alias("key"), "text"), run, "y int, at array<int>, n array<long>, hits long").toArrow().to_pylist()
+    got = common.map_arrow(rows.select(F.struct("y", "half", "doc_id", "th").alias("key"), "text"), run, "doc_id long, th long, y int, at array<int>, n array<long>, hits long").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("th", "ascending")]).to_pylist()
     x = np.zeros((len(got), len(features)), np.float32)
     for k, r in enumerate(got):
         x[k, r["at"]] = np.log1p(r["n"])
