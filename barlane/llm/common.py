@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import os
 import re
-import shutil
-import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlane.functions.cluster import shared_dir, ship
+
 #: White space of the query contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 #: A word of the query contracts.
@@ -43,24 +40,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a Spark application; their import path need not hold it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="barlane-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(archive := f"{folder}/barlane_shipped.zip", "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
 def give_back() -> None:
     """Return what a finished task has freed to the system. Workers live on from task to task, and their allocators keep
     freed memory, so that an executor would hold the largest task that each worker ever had."""
@@ -84,25 +63,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the folder that the driver and all executors share.
-
-    spark.checkpoint.dir names it. Where that is unset on one machine, as in tests, a temporary folder is made and set;
-    on a cluster that is an error, since machines don't see each other's folders.
-    """
-    uri = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not uri:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="barlane-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        uri = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", uri)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(uri)
-    return uri.rstrip("/")
-
-
 _space: ContextVar[str | None] = ContextVar("workspace", default=None)
 
 
@@ -170,6 +130,16 @@ def parts_of(spark: SparkSession, size: int, bytes_each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, min(size // bytes_each + 1, 1_000_000))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of `df` has, whatever its letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI: local, HDFS or an object store, by the scheme. Hadoop's names of S3 mean S3."""
     from pyarrow import fs

@@ -589,10 +589,12 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
         got = common.written(classes(join(docs, rule)).where("n > 0").withColumn("first", F.col("did").eqNullSafe(F.col("component"))), "classes")
         best = got.where("first").groupBy("label").agg(F.min("th").alias("best"))
         stays = F.col("first") & (F.col("th") == F.col("best"))
-        got = keep(got.join(best, "label").select(common.fold(F.col("did")).alias("__did"), F.col("th").alias("__th"), stays.alias("stays")), "stays")
-    lose = got.where("NOT stays").select("__did", "__th").distinct()
-    again = got.where("stays").groupBy("__did", "__th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__did", "__th")
-    match = lambda rows: (common.fold(rows["doc_id"]) == F.col("__did")) & (F.xxhash64(rows["text"]) == F.col("__th"))
+        got = keep(got.join(best, "label").select(common.fold(F.col("did")).alias("did"), "th", stays.alias("stays")), "stays")
+    did, th = common.fresh(docs, "did", "th")
+    named = [F.col("did").alias(did), F.col("th").alias(th)]
+    lose = got.where("NOT stays").select(*named).distinct()
+    again = got.where("stays").groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*named)
+    match = lambda rows: (common.fold(rows["doc_id"]) == F.col(did)) & (F.xxhash64(rows["text"]) == F.col(th))
     kept = docs.join(lose, match(docs), "left_anti")
     if again.isEmpty():
         return kept

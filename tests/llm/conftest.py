@@ -10,7 +10,7 @@ WORDS = ["the", "river", "runs", "Über", "alte", "Brücken", "et", "la", "forê
 DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
     # Names that operators use inside, with other types.
-    + [T.StructField(c, T.StringType()) for c in ("lang", "source", "n_tokens", "start", "score", "did", "th", "h", "n", "f1", "kind", "shard", "lines", "row", "label")]
+    + [T.StructField(c, T.StringType()) for c in ("lang", "source", "n_tokens", "start", "score", "did", "th", "h", "n", "f1", "kind", "shard", "lines", "row", "label", "__drop", "line_dedup", "__did", "__th")]
     + [T.StructField("n_chars", T.LongType())]
 )
 
@@ -39,7 +39,7 @@ def rows():
 
 
 def filled(found):
-    return [(i, t, lang, *["clash"] * 14, None if t is None else len(t)) for i, t, lang in found]
+    return [(i, t, lang, *["clash"] * 18, None if t is None else len(t)) for i, t, lang in found]
 
 
 @pytest.fixture(scope="session")

@@ -16,7 +16,7 @@ def test_names():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "SentencePiece encoding and decoding"]
     names = set(__spark_entry__.queries())
     assert set(registry.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(registry.SQL) <= set(registry.QUERIES)
 
 
