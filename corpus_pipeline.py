@@ -27,11 +27,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null. A document whose lines all go stays, with an empty text.
     """
-    got = op04_line_dedup.dedup(docs)
-    text = F.when(F.col("`text`").isNull(), F.col("`text`")).otherwise(F.col("line_dedup.kept_text"))
+    [name] = common.fresh(docs, "line_dedup")
+    got = op04_line_dedup.dedup(docs, name=name)
+    text = F.when(F.col("`text`").isNull(), F.col("`text`")).otherwise(F.col(f"{name}.kept_text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("line_dedup.n_dropped") > 0, F.length("line_dedup.kept_text")).otherwise(F.col("`n_chars`")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(f"{name}.n_dropped") > 0, F.length(f"{name}.kept_text")).otherwise(F.col("`n_chars`")).cast(docs.schema["n_chars"].dataType)
     return got.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
