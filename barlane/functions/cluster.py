@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import zipfile
@@ -45,3 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(uri)
     return uri.rstrip("/")
+
+
+def filesystem(uri: str):
+    """(file system, path) of a URI for Arrow: local, HDFS or an object store, by the scheme. Hadoop's names of S3 mean S3."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))

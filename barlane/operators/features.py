@@ -1,4 +1,5 @@
-"""Features of windows in long form (rows keyed by KEYS and ordered by pos), with scaling that can be undone.
+"""Features of windows, with scaling that can be undone: in long form (rows keyed by KEYS and ordered by pos), or of all windows of
+a block at once (blocks.py), where rows would be made of each bar for each window it is in.
 
 Features start anew in each window. Scaling keeps its moments in columns, so any window can be scaled back.
 """
@@ -8,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barlane.functions.columns import log_price
+from barlane.functions.columns import LOG_EPS, log_price
+from barlane.functions.noise import normal, normal_array
+from barlane.operators.blocks import Block, Dense, Sliding, moments, prefix
 
 KEYS = ("series_id", "block", "start")
 FEATURES = ("close", "volume", "log_ret", "vol_delta", "rolling_vol")
@@ -30,6 +34,13 @@ class Transform:
     def invert(self, df: DataFrame) -> DataFrame:
         return df
 
+    def on_block(self, block: Block) -> None:
+        """apply() for all windows of a block, whose columns and scalars it changes."""
+        raise NotImplementedError
+
+    def off_block(self, block: Block) -> None:
+        """invert() for a block."""
+
     def _rows(self):
         return W.partitionBy(*self.keys).orderBy("pos")
 
@@ -51,6 +62,30 @@ class BasicFeatures(Transform):
         out = out.withColumn("vol_delta", F.when(first, F.lit(0.0)).otherwise(F.col("volume") - F.lag("volume").over(w)))
         return out.withColumn("rolling_vol", F.stddev_pop("log_ret").over(w.rowsBetween(-self.vol_window, 0)))
 
+    def on_block(self, block: Block) -> None:
+        close, size = block.columns["close"], self.vol_window + 1
+        block.columns["log_ret"] = changes(close, block, lambda x: np.log(np.where(x + LOG_EPS > 0, x + LOG_EPS, np.nan)))
+        block.columns["vol_delta"] = changes(block.columns["volume"], block, lambda x: x)
+        rows = block.dense("log_ret")
+        vol = np.empty_like(rows)
+        if isinstance(close, Sliding) and block.length > size:  # frames that begin after a window's first row are the same for all windows
+            ret = block.columns["log_ret"].values
+            tails = np.append(np.full(size - 1, np.nan), moments(np.lib.stride_tricks.sliding_window_view(ret, size))[1])
+            vol = Sliding(tails).dense(block.starts, block.length)
+        for at in range(size if isinstance(close, Sliding) else block.length):
+            if at < block.length:
+                vol[:, at] = moments(rows[:, max(0, at - size + 1) : at + 1])[1]
+        block.columns["rolling_vol"] = Dense(vol)
+
+
+def changes(column: Sliding | Dense, block: Block, of) -> Sliding | Dense:
+    """Differences of a function of a column from row to row, 0 in a window's first."""
+    if isinstance(column, Sliding) and column.first is None:
+        x = of(column.values)
+        return Sliding(np.append(0.0, np.diff(x)), 0.0)
+    x = of(column.dense(block.starts, block.length))
+    return Dense(np.concatenate([np.zeros((len(x), 1)), np.diff(x, axis=1)], 1))
+
 
 class VwapFeatures(Transform):
     """close + 3 and volume + 1, each with seeded noise, and the running volume-weighted mean of close."""
@@ -59,10 +94,35 @@ class VwapFeatures(Transform):
         self.noise_std, self.seed, self.keys = noise_std, seed, keys
 
     def apply(self, df: DataFrame) -> DataFrame:
-        noise = lambda k: F.randn(self.seed + k) * F.lit(self.noise_std) if self.noise_std else F.lit(0.0)
+        keys = [F.col(k) for k in (*self.keys, "pos") if k != "block"]  # a window's block may change
+        noise = lambda k: normal(self.seed, k, keys) * F.lit(self.noise_std) if self.noise_std else F.lit(0.0)
         out = df.withColumn("close", F.col("close") + 3.0 + noise(0)).withColumn("volume", F.col("volume") + 1.0 + noise(1))
         return vwap(out, self.keys)
 
+    def on_block(self, block: Block) -> None:
+        for k, (name, more) in enumerate((("close", 3.0), ("volume", 1.0))):
+            column = block.columns[name]
+            if self.noise_std:
+                noise = normal_array(self.seed, k, block.keys()) * self.noise_std
+                block.columns[name] = Dense(column.dense(block.starts, block.length) + more + noise)
+            elif isinstance(column, Sliding) and column.first is None:
+                block.columns[name] = Sliding(column.values + more)
+            else:
+                block.columns[name] = Dense(column.dense(block.starts, block.length) + more)
+        close, volume = block.columns["close"], block.columns["volume"]
+        if isinstance(close, Sliding) and isinstance(volume, Sliding) and not np.isnan(close.values + volume.values).any():
+            middle, at = close.values.mean(), block.starts[:, None] + np.arange(1, block.length + 1)
+            over = lambda v: (p := prefix(v))[at] - p[block.starts][:, None]
+            have = over(volume.values != 0) > 0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = over((close.values - middle) * volume.values.astype(np.longdouble)) / over(volume.values) + middle
+            block.columns["vwap"] = Dense(np.where(have, mean, np.nan).astype(np.float64))
+        else:
+            c, v = block.dense("close"), block.dense("volume")
+            weight, some = np.nancumsum(v, axis=1), np.cumsum(~np.isnan(c * v), axis=1) > 0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                block.columns["vwap"] = Dense(np.where((weight != 0) & some, np.nancumsum(c * v, axis=1) / weight, np.nan))
+
 
 def vwap(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     run = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -91,6 +151,23 @@ class Standardise(Transform):
         out = df.withColumns({c: F.col(c) * F.col(f"{c}_scale") + F.col(f"{c}_mean") for c in self.columns})
         return out.drop(*(f"{c}_{m}" for c in self.columns for m in ("mean", "scale")))
 
+    def on_block(self, block: Block) -> None:
+        missing = set(self.columns) - set(block.columns)
+        if missing:
+            raise KeyError(f"no columns {sorted(missing)}")
+        found = {c: block.moments(c) for c in self.columns}
+        for c, (mean, scale) in found.items():
+            scale = np.where(scale == 0, 1.0, scale)
+            block.scalars |= {f"{c}_mean": mean, f"{c}_scale": scale}
+            block.columns[c] = Dense((block.dense(c) - mean[:, None]) / scale[:, None])
+
+    def off_block(self, block: Block) -> None:
+        for c in self.columns:
+            if f"{c}_mean" not in block.scalars:
+                raise RuntimeError("these windows were not standardised: their moments are missing")
+            mean, scale = block.scalars.pop(f"{c}_mean"), block.scalars.pop(f"{c}_scale")
+            block.columns[c] = Dense(block.dense(c) * scale[:, None] + mean[:, None])
+
 
 class Pipeline(Transform):
     """Steps one after another; the inverse goes back through them."""
@@ -104,6 +181,14 @@ class Pipeline(Transform):
     def invert(self, df: DataFrame) -> DataFrame:
         return reduce(lambda d, s: d.transform(s.invert), reversed(self.steps), df)
 
+    def on_block(self, block: Block) -> None:
+        for s in self.steps:
+            s.on_block(block)
+
+    def off_block(self, block: Block) -> None:
+        for s in reversed(self.steps):
+            s.off_block(block)
+
 
 def standardisation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Per window the mean and population deviation of each column, to check scaling with."""

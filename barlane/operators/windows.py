@@ -6,7 +6,7 @@ with the rows that the block's last windows need from the next. So one very long
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,39 +30,56 @@ def check_lengths(window: int, input_len: int, horizon_len: int) -> None:
         raise ValueError("input and horizon must add up to the window")
 
 
-def positions(df: DataFrame) -> DataFrame:
-    """`df` with `pos`, the row's place 0.. in its series by time_step (then close and volume), and `n`, the series' rows."""
+def positions(df: DataFrame, step: int = 1, window: int = WINDOW) -> DataFrame:
+    """`df` with `pos`, the row's place 0.. in its series by time_step (then close and volume), `n`, the series' rows, and
+    `before`, how many windows all series of lower ids have at stride `step`."""
     require_columns(df, REQUIRED)
     spans = df.withColumn("__span", F.floor(F.col("time_step") / SPAN))
     inside = spans.withColumn("__at", F.row_number().over(W.partitionBy("series_id", "__span").orderBy("time_step", "close", "volume")) - 1)
     sizes = spans.groupBy("series_id", "__span").agg(F.count(F.lit(1)).alias("__size"))
     before = W.partitionBy("series_id").orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("series_id", "__span", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(W.partitionBy("series_id")).alias("n"))
+    first = first_windows(sizes.groupBy("series_id").agg(F.sum("__size").alias("n")), step, window)
+    starts = starts.join(first, "series_id", "left")
     return inside.join(starts, ["series_id", "__span"]).withColumn("pos", F.col("__start") + F.col("__at")).drop("__span", "__at", "__start")
 
 
+def first_windows(sizes: DataFrame, step: int, window: int = WINDOW) -> DataFrame:
+    """series_id, before: how many windows the series of lower ids have, from (series_id, n), for series that have one."""
+    counts = sizes.where(F.col("n") >= window).select("series_id", (F.floor((F.col("n") - window) / step) + 1).alias("__size"))
+    return _first_numbers(counts).withColumnRenamed("__first", "before")
+
+
+def blocks(df: DataFrame, step: int = 1, window: int = WINDOW) -> DataFrame:
+    """series_id, block, first, before, close, volume: stretches of BLOCK positions of a series with the rows that their last windows
+    need from the next, as two arrays of numbers in order; `first` is the position of the first. Short series give none."""
+    placed = positions(df, step, window).where(F.col("n") >= window).select("series_id", "pos", "before", F.struct("pos", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume")).alias("row"))
+    own = F.floor(F.col("pos") / BLOCK)
+    both = F.when((F.col("pos") % BLOCK < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    held = placed.withColumn("block", F.explode(both)).groupBy("series_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.first("before").alias("before"))
+    return held.select("series_id", "block", F.element_at("rows", 1)["pos"].alias("first"), "before", F.col("rows.close").alias("close"), F.col("rows.volume").alias("volume"))
+
+
 def window_arrays(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
-    """series_id, block, start, close, volume: every window as two arrays in order; short series give none.
+    """series_id, block, start, sample_idx, close, volume: every window as two arrays in order; short series give none.
 
-    A block's rows are sorted once and split into two arrays of numbers, of which each window is a slice.
+    sample_idx is dense by series and start. It is a series' first number, which follows from the sizes of the others, and the
+    window's place in its series, which follows from its start: no window is sorted or moved to be numbered.
     """
     step = stride(rolling, step_size, window)
-    placed = positions(df).where(F.col("n") >= window).select("series_id", "pos", "n", F.struct("pos", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume")).alias("row"))
-    own = F.floor(F.col("pos") / BLOCK)
-    blocks = F.when((F.col("pos") % BLOCK < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    held = placed.withColumn("block", F.explode(blocks)).groupBy("series_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    held = held.select("series_id", "block", F.element_at("rows", 1)["pos"].alias("first"), F.col("rows.close").alias("close"), F.col("rows.volume").alias("volume"))
+    held = blocks(df, step, window)
     first = F.col("first")
     last = F.least(first + BLOCK, first + F.size("close") - window + 1) - 1  # the block's last start
     begin = F.ceil(first / step) * step
     starts = F.when(begin <= last, F.sequence(begin, last, F.lit(step).cast("long")))
     cut = held.withColumn("start", F.explode(starts))
     at = (F.col("start") - first + 1).cast("int")
-    return cut.select("series_id", "block", "start", F.slice("close", at, window).alias("close"), F.slice("volume", at, window).alias("volume"))
+    index = (F.col("before") + F.floor(F.col("start") / step)).alias("sample_idx")
+    return cut.select("series_id", "block", "start", index, F.slice("close", at, window).alias("close"), F.slice("volume", at, window).alias("volume"))
 
 
 def sample_windows(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW, input_len: int = INPUT_LEN, horizon_len: int = HORIZON) -> DataFrame:
-    """series_id, start, x (a struct of the arrays close and volume over the input rows), y (target closes)."""
+    """series_id, start, sample_idx, x (a struct of the arrays close and volume over the input rows), y (target closes)."""
     check_lengths(window, input_len, horizon_len)
     return split_xy(window_arrays(df, rolling, step_size, window), input_len, horizon_len)
 
@@ -70,7 +87,7 @@ def sample_windows(df: DataFrame, rolling: bool = True, step_size: int | None =
 def split_xy(arrays: DataFrame, input_len: int = INPUT_LEN, horizon_len: int = HORIZON) -> DataFrame:
     """window_arrays() as sample_windows() gives them."""
     x = F.struct(*(F.slice(c, 1, input_len).alias(c) for c in ("close", "volume")))
-    return arrays.select("series_id", "start", x.alias("x"), F.slice("close", input_len + 1, horizon_len).alias("y"))
+    return arrays.select("series_id", "start", "sample_idx", x.alias("x"), F.slice("close", input_len + 1, horizon_len).alias("y"))
 
 
 def long_windows(df: DataFrame, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
@@ -98,26 +115,15 @@ def _first_numbers(sizes: DataFrame) -> DataFrame:
     return inside.join(groups, "__group").select("series_id", (F.col("__start") + F.col("__in")).alias("__first"))
 
 
-def sample_index(windows: DataFrame) -> DataFrame:
-    """`windows` with a dense `sample_idx` by series and start. Numbers in a series and the series' first numbers are
-    made apart, so no task orders all windows."""
-    inside = F.row_number().over(W.partitionBy("series_id").orderBy("start")) - 1
-    sizes = windows.groupBy("series_id").agg(F.count(F.lit(1)).alias("__size"))
-    numbered = windows.withColumn("__in", inside).join(_first_numbers(sizes), "series_id")
-    return numbered.withColumn("sample_idx", F.col("__first") + F.col("__in")).drop("__in", "__first")
-
-
 def sample_cap(df: DataFrame, most: int, rolling: bool = True, step_size: int | None = 1, window: int = WINDOW) -> DataFrame:
     """sample_windows() of the first `most` windows by series and start.
 
     Which these are follows from the series' sizes, so only bars of the series that have some are read into windows.
     """
     step = stride(rolling, step_size, window)
-    sizes = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= window)
-    firsts = _first_numbers(sizes.select("series_id", (F.floor((F.col("n") - window) / step) + 1).alias("__size")))
-    wanted = firsts.where(F.col("__first") < most).select("series_id", (F.lit(most) - F.col("__first")).alias("__left"))
-    some = window_arrays(df.join(wanted, "series_id", "left_semi"), rolling, step_size, window)
-    return split_xy(some.join(wanted, "series_id").where(F.col("start") < F.col("__left") * step))
+    firsts = first_windows(df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), step, window)
+    wanted = firsts.where(F.col("before") < most)
+    return split_xy(window_arrays(df.join(wanted, "series_id", "left_semi"), rolling, step_size, window).where(F.col("sample_idx") < most))
 
 
 def first_batches(batched: DataFrame, most: int) -> DataFrame:
@@ -138,83 +144,3 @@ def stack(batched: DataFrame, column: str) -> DataFrame:
 def shard(indexed: DataFrame, worker: int | Column, workers: int) -> DataFrame:
     """The windows that go to one of several workers in turn."""
     return indexed.where(F.col("sample_idx") % workers == worker)
-
-
-class WindowDataset:
-    """All windows, with their index, kept for repeated access; `dataset[i]` is one (x, y), x as rows of (close, volume).
-
-    Windows are kept in ranges of the index, so that an access reads the batches whose range holds it.
-    """
-
-    def __init__(self, df: DataFrame, transform=None, materialize: bool = True, max_samples: int | None = None, rolling: bool = True, step_size: int | None = 1) -> None:
-        if not materialize:
-            raise ValueError("random access needs materialize=True; use lazy_windows() for one pass")
-        w = sample_index(sample_cap(df, max_samples, rolling, step_size) if max_samples else sample_windows(df, rolling, step_size))
-        self.df = (w.transform(transform) if transform else w).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").persist()
-
-    @classmethod
-    def from_path(cls, spark: SparkSession, path: str, **options) -> WindowDataset:
-        """The dataset of a training file."""
-        from barlane.sources.io import read_train
-
-        return cls(read_train(spark, path), **options)
-
-    def __len__(self) -> int:
-        return self.df.count()
-
-    def __getitem__(self, i: int):
-        row = self.df.where(F.col("sample_idx") == i).first()
-        if row is None:
-            raise IndexError(i)
-        return list(zip(row["x"]["close"], row["x"]["volume"], strict=True)), row["y"]
-
-    def close(self) -> None:
-        """Let the kept windows go."""
-        self.df.unpersist()
-
-
-class FeatureDataset:
-    """Input windows with the features of a pipeline, kept for repeated access; `dataset[i]` is one window's rows in
-    order, without its keys. A path is read as a training file."""
-
-    def __init__(self, source: DataFrame | str, pipeline=None, materialize: bool = True, rolling: bool = True, step_size: int | None = 1, spark: SparkSession | None = None) -> None:
-        if not materialize:
-            raise ValueError("random access needs materialize=True; use lazy_features() for one pass")
-        self.df = _features(source, pipeline, rolling, step_size, spark).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").persist()
-
-    def __len__(self) -> int:
-        return self.df.count()
-
-    def __getitem__(self, i: int):
-        row = self.df.where(F.col("sample_idx") == i).first()
-        if row is None:
-            raise IndexError(i)
-        return row["rows"]
-
-    def close(self) -> None:
-        """Let the kept windows go."""
-        self.df.unpersist()
-
-
-def _features(source: DataFrame | str, pipeline, rolling: bool, step_size: int | None, spark: SparkSession | None = None) -> DataFrame:
-    """series_id, start, sample_idx, rows: the features of each window's input rows in order of pos."""
-    if isinstance(source, str):
-        from barlane.sources.io import read_train
-
-        source = read_train(spark or SparkSession.active(), source)
-    rows = long_windows(source, rolling, step_size).where(F.col("pos") < INPUT_LEN)
-    rows = pipeline.apply(rows) if pipeline is not None else rows
-    names = [c for c in rows.columns if c not in ("series_id", "block", "start", "pos")]
-    held = rows.groupBy("series_id", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("rows"))
-    return sample_index(held.select("series_id", "start", "rows"))
-
-
-def lazy_features(source: DataFrame | str, pipeline=None, rolling: bool = True, step_size: int | None = 1, spark: SparkSession | None = None):
-    """One pass over the windows of FeatureDataset, as an iterator of rows; nothing is kept."""
-    return _features(source, pipeline, rolling, step_size, spark).toLocalIterator(prefetchPartitions=True)
-
-
-def lazy_windows(df: DataFrame, transform=None):
-    """One pass over all windows, as an iterator of rows; nothing is kept."""
-    w = sample_windows(df)
-    return (w.transform(transform) if transform else w).toLocalIterator(prefetchPartitions=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlane.functions.cluster import shared_dir
 from barlane.functions.columns import nan_to_null
-from barlane.operators import features, forecast, metrics, returns, strategies, submission, windows
+from barlane.operators import blocks, features, forecast, metrics, returns, strategies, submission, windows
 from barlane.plans import oracle
 from barlane.sources import fixtures, io
 
@@ -137,9 +137,15 @@ def _long(spark, sf_dir, rolling=False, step_size=None):
 KEYED = ("series_id", "start")
 
 
-def _features(*names: str, transform, rounded=lambda c: r(c, 6)):
+def _features(*names: str, pipeline, inverse: bool = False, rounded=lambda c: r(c, 6)):
+    """Features of whole windows end to end in long form, or of the rolling windows block by block; both as rows."""
+
     def query(spark: SparkSession, sf_dir: str, rolling: bool = False, step_size: int | None = None) -> DataFrame:
-        out = transform(_long(spark, sf_dir, rolling, step_size))
+        if rolling:
+            out = blocks.long(blocks.features(fixtures.bars(spark, sf_dir), pipeline, rolling, step_size, inverse=inverse), names)
+        else:
+            out = pipeline.apply(_long(spark, sf_dir, rolling, step_size))
+            out = pipeline.invert(out) if inverse else out
         return out.select(*KEYED, F.col("pos").cast("int").alias("pos"), *(rounded(c) for c in names))
 
     return query
@@ -152,13 +158,20 @@ vwap_chain = features.Pipeline([features.VwapFeatures(noise_std=0.0), features.S
 
 
 def standardisation_check(spark, sf_dir, rolling=False, step_size=None):
-    s = features.standardisation(chain.apply(_long(spark, sf_dir, rolling, step_size)), ["log_ret", "vol_delta"])
+    names = ["log_ret", "vol_delta"]
+    if rolling:
+        s = blocks.features(fixtures.bars(spark, sf_dir), chain, rolling, step_size)
+        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
+        s = s.select(*KEYED, *names, *(mean(F.col(c)).alias(f"{c}_m") for c in names))
+        s = s.select(*KEYED, *(f"{c}_m" for c in names), *(F.sqrt(mean(F.transform(c, lambda v, c=c: (v - F.col(f"{c}_m")) * (v - F.col(f"{c}_m"))))).alias(f"{c}_s") for c in names))
+    else:
+        s = features.standardisation(chain.apply(_long(spark, sf_dir, rolling, step_size)), names)
     near = lambda c, v: F.abs(F.col(c) - v) <= 1e-3
     return s.select(*KEYED, near("log_ret_m", 0).alias("log_ret_mean_ok"), near("log_ret_s", 1).alias("log_ret_scale_ok"), near("vol_delta_m", 0).alias("vol_delta_mean_ok"), near("vol_delta_s", 1).alias("vol_delta_scale_ok"))
 
 
 def _indexed(spark, sf_dir, rolling=False, step_size=None):
-    return windows.sample_index(windows.sample_windows(fixtures.bars(spark, sf_dir), rolling, step_size).select("series_id", "start", "y"))
+    return windows.sample_windows(fixtures.bars(spark, sf_dir), rolling, step_size).select("series_id", "start", "sample_idx", "y")
 
 
 def batch_assign(spark, sf_dir, rolling=False, step_size=None):
@@ -351,16 +364,16 @@ QUERIES = {
     "window_samples_long": window_samples_long,
     "window_split_xy": window_split_xy,
     "sample_cap": sample_cap,
-    "log_ret": _features("log_ret", transform=basic.apply),
-    "vol_delta": _features("vol_delta", transform=basic.apply),
-    "rolling_vol": _features("rolling_vol", transform=basic.apply),
-    "basic_features": _features(*features.FEATURES, transform=basic.apply),
-    "vwap": _features("close", "volume", "vwap", transform=features.VwapFeatures(noise_std=0.0).apply, rounded=nudged),
-    "zscore": _features("close", "volume", transform=features.Standardise(["close", "volume"]).apply),
-    "zscore_inverse": _features("close", "volume", transform=lambda d: features.Standardise(["close", "volume"]).invert(features.Standardise(["close", "volume"]).apply(d))),
-    "feature_pipeline": _features(*features.FEATURES, transform=chain.apply),
-    "feature_pipeline_inverse": _features(*features.FEATURES, transform=lambda d: chain.invert(chain.apply(d))),
-    "vwap_pipeline": _features("close", "volume", "vwap", transform=vwap_chain.apply),
+    "log_ret": _features("log_ret", pipeline=basic),
+    "vol_delta": _features("vol_delta", pipeline=basic),
+    "rolling_vol": _features("rolling_vol", pipeline=basic),
+    "basic_features": _features(*features.FEATURES, pipeline=basic),
+    "vwap": _features("close", "volume", "vwap", pipeline=features.VwapFeatures(noise_std=0.0), rounded=nudged),
+    "zscore": _features("close", "volume", pipeline=features.Standardise(["close", "volume"])),
+    "zscore_inverse": _features("close", "volume", pipeline=features.Standardise(["close", "volume"]), inverse=True),
+    "feature_pipeline": _features(*features.FEATURES, pipeline=chain),
+    "feature_pipeline_inverse": _features(*features.FEATURES, pipeline=chain, inverse=True),
+    "vwap_pipeline": _features("close", "volume", "vwap", pipeline=vwap_chain),
     "standardisation_check": standardisation_check,
     "batch_assign": batch_assign,
     "batch_stack": batch_stack,

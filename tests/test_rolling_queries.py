@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from plain import standardised, vwaps, window_features
+
 from barlane.plans import oracle, queries
 from barlane.sources import fixtures
 
@@ -33,15 +35,25 @@ def test_features_of_every_window(spark, arrays):
     got = {(r["series_id"], r["start"], r["pos"]): r for r in queries.QUERIES["feature_pipeline_rolling"](spark, "").collect()}
     assert len(got) == 60 * len(starts())
     for s, a in starts():
-        close, volume = (x[a : a + 60] for x in arrays[s])
-        logs = np.log(close + 1e-6)
-        ret, delta = np.diff(logs, prepend=logs[0]), np.diff(volume, prepend=volume[0])
-        vol = [ret[max(0, i - 5) : i + 1].std() for i in range(60)]
-        want = [close, volume, (ret - ret.mean()) / ret.std(), (delta - delta.mean()) / delta.std(), vol]
+        close, volume = (x[a : a + 60].tolist() for x in arrays[s])
+        ret, delta, vol = window_features(close, volume)
+        want = [close, volume, standardised(ret), standardised(delta), vol]
         have = [[got[s, a, i][c] for i in range(60)] for c in ("close", "volume", "log_ret", "vol_delta", "rolling_vol")]
         np.testing.assert_allclose(have, want, atol=2e-6)
 
 
+def test_vwap_and_scaled_prices_of_every_window(spark, arrays):
+    vwap = {(r["series_id"], r["start"], r["pos"]): r["vwap"] for r in queries.QUERIES["vwap_rolling"](spark, "").collect()}
+    scaled = {(r["series_id"], r["start"], r["pos"]): r["close"] for r in queries.QUERIES["zscore_rolling"](spark, "").collect()}
+    back = {(r["series_id"], r["start"], r["pos"]): r["close"] for r in queries.QUERIES["zscore_inverse_rolling"](spark, "").collect()}
+    for s, a in starts():
+        close, volume = (x[a : a + 60].tolist() for x in arrays[s])
+        at = [(s, a, i) for i in range(60)]
+        np.testing.assert_allclose([vwap[k] for k in at], vwaps([c + 3 for c in close], [v + 1 for v in volume]), atol=2e-4)
+        np.testing.assert_allclose([scaled[k] for k in at], standardised(close), atol=2e-6)
+        np.testing.assert_allclose([back[k] for k in at], close, atol=2e-6)
+
+
 def test_every_bar_is_in_a_sample(spark, arrays):
     rows = queries.QUERIES["window_samples_long_rolling"](spark, "").collect()
     assert len(rows) == 70 * len(starts())

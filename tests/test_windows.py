@@ -56,7 +56,7 @@ def test_required_columns(spark):
 
 
 def test_index_batches_shards(spark):
-    indexed = windows.sample_index(windows.sample_windows(series(spark, {2: 75, 9: 72})).select("series_id", "start"))
+    indexed = windows.sample_windows(series(spark, {2: 75, 5: 3, 9: 72})).select("series_id", "start", "sample_idx")
     rows = sorted((r["sample_idx"], r["series_id"], r["start"]) for r in indexed.collect())
     assert rows == [(i, *k) for i, k in enumerate([(2, s) for s in range(6)] + [(9, s) for s in range(3)])]
     assert sorted(r["batch_id"] for r in windows.batches(indexed, 4).collect()) == [0] * 4 + [1] * 4 + [2]
@@ -64,20 +64,6 @@ def test_index_batches_shards(spark):
     assert parts == [{0, 2, 4, 6, 8}, {1, 3, 5, 7}]
 
 
-def test_dataset(spark):
-    df = series(spark, {1: 75})
-    with pytest.raises(ValueError):
-        windows.WindowDataset(df, materialize=False)
-    data = windows.WindowDataset(df, max_samples=4)
-    assert len(data) == 4
-    x, y = data[3]
-    assert [x[0], x[59], y[-1]] == [(1003.0, 3.0), (1062.0, 62.0), 1072.0]
-    with pytest.raises(IndexError):
-        data[4]
-    data.close()
-    assert sum(1 for _ in windows.lazy_windows(df)) == 6
-
-
 @pytest.mark.parametrize(("rolling", "step", "most"), [(True, 1, 0), (True, 1, 3), (True, 1, 74), (True, 7, 13), (False, None, 4), (True, 1, 10**6)])
 def test_cap_takes_the_first_windows(spark, monkeypatch, rolling, step, most):
     monkeypatch.setattr(windows, "BLOCK", 75)
@@ -85,22 +71,26 @@ def test_cap_takes_the_first_windows(spark, monkeypatch, rolling, step, most):
     assert sorted(got) == sorted(brute(SIZES, step or 70))[:most]
 
 
-def test_feature_dataset_from_a_file(spark, tmp_path):
-    from barlane.operators.features import BasicFeatures, Pipeline, Standardise
+@pytest.mark.parametrize(("rolling", "step"), [(True, 1), (True, 7), (False, None)])
+def test_numbers_follow_from_sizes(spark, monkeypatch, rolling, step):
+    monkeypatch.setattr(windows, "BLOCK", 75)
+    monkeypatch.setattr(windows, "SPAN", 64)
+    got = [(r["sample_idx"], r["series_id"], r["start"]) for r in windows.window_arrays(series(spark, SIZES), rolling, step).collect()]
+    assert sorted(got) == [(i, *k) for i, k in enumerate(sorted(brute(SIZES, step or 70)))]
+
 
-    series(spark, {1: 72, 2: 70}).write.parquet(path := str(tmp_path / "train.parquet"))
-    with pytest.raises(ValueError):
-        windows.FeatureDataset(path, materialize=False, spark=spark)
-    data = windows.FeatureDataset(path, Pipeline([BasicFeatures(), Standardise(["log_ret"])]), spark=spark)
-    assert len(data) == 4 and [r["pos"] for r in data[3]] == list(range(60))
-    assert data[1][0]["close"] == 1001.0 and abs(sum(r["log_ret"] for r in data[1])) < 1e-6 and data[3][0]["close"] == 2000.0
-    with pytest.raises(IndexError):
-        data[4]
-    data.close()
-    assert sum(1 for _ in windows.lazy_features(path, spark=spark)) == 4
-    assert len(windows.WindowDataset.from_path(spark, path, max_samples=2)) == 2
+def test_a_long_series_is_numbered_in_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.expr("id div 1000000").alias("series_id"), F.col("id").alias("time_step"), F.col("id").cast("double").alias("close"), F.lit(1.0).alias("volume"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = windows.sample_windows(rows).select(F.spark_partition_id().alias("p"), "sample_idx").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in spread) == 59_931 and len(spread) > 2
 
 
 def test_first_batches(spark):
-    indexed = windows.sample_index(windows.sample_windows(series(spark, {2: 80})).select("series_id", "start"))
+    indexed = windows.sample_windows(series(spark, {2: 80}))
     assert sorted(r["sample_idx"] for r in windows.first_batches(windows.batches(indexed, 4), 2).collect()) == list(range(8))
