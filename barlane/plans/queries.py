@@ -157,13 +157,18 @@ chain = features.Pipeline([basic, scaled])
 vwap_chain = features.Pipeline([features.VwapFeatures(noise_std=0.0), features.Standardise(["vwap"])])
 
 
+def _array_moments(c: str):
+    """Mean and population deviation of an array of numbers."""
+    mean = F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
+    squares = F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c)
+    return mean, F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
+
+
 def standardisation_check(spark, sf_dir, rolling=False, step_size=None):
     names = ["log_ret", "vol_delta"]
     if rolling:
         s = blocks.features(fixtures.bars(spark, sf_dir), chain, rolling, step_size)
-        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
-        s = s.select(*KEYED, *names, *(mean(F.col(c)).alias(f"{c}_m") for c in names))
-        s = s.select(*KEYED, *(f"{c}_m" for c in names), *(F.sqrt(mean(F.transform(c, lambda v, c=c: (v - F.col(f"{c}_m")) * (v - F.col(f"{c}_m"))))).alias(f"{c}_s") for c in names))
+        s = s.select(*KEYED, *(of.alias(f"{c}_{m}") for c in names for m, of in zip("ms", _array_moments(c), strict=True)))
     else:
         s = features.standardisation(chain.apply(_long(spark, sf_dir, rolling, step_size)), names)
     near = lambda c, v: F.abs(F.col(c) - v) <= 1e-3
