@@ -38,14 +38,13 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def quantile(value: Column | str, q: float) -> Column:
-    """Aggregate: the exact quantile, linear between neighbours."""
-    return F.percentile(value, F.lit(q))
-
-
 def to_event_time(c: Column) -> Column:
-    """A timestamp from a string, null where it is none; timestamps stay."""
-    return F.try_to_timestamp(c.cast("string"))
+    """A timestamp from a string, null where it is none; timestamps stay. A time without a zone is in UTC, whatever the
+    session's zone is."""
+    text = c.cast("string")
+    zoned = text.rlike(r"\d:\d{1,2}(:\d{1,2}(\.\d*)?)?\s*[A-Za-z+-]")
+    plain = F.concat(text.try_cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
+    return F.when(zoned, F.try_to_timestamp(text)).otherwise(plain)
 
 
 def clamp_low(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barlane.functions.columns import EPS, correlation, is_finite, nan_to_null, quantile
+from barlane.functions.columns import EPS, correlation, is_finite, nan_to_null
 from barlane.operators import ranks, strategies
 from barlane.operators.returns import KEYS, joined_returns
 
@@ -67,9 +67,33 @@ def sharpe(series: DataFrame) -> DataFrame:
 
 
 def equity_curve(series: DataFrame) -> DataFrame:
-    """The running product of 1 + ret by time, and its running maximum, which starts at the first equity."""
-    run = W.partitionBy("strategy").orderBy("event_datetime").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return series.withColumn("equity", F.product(1 + F.col("ret")).over(run)).withColumn("peak", F.max("equity").over(run))
+    """The running product of 1 + ret by time, and its running maximum, which starts at the first equity.
+
+    A scan of two levels: products, and their largest and smallest so far, inside each day of a strategy, then over the days' totals.
+    So a task holds a strategy's day, or its days, but not all its timestamps. A missing return changes nothing.
+    """
+    day, inside = F.to_date("event_datetime"), ["strategy", "__day"]
+    run = W.partitionBy(*inside).orderBy("event_datetime").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = series.withColumn("__day", day).withColumn("__equity", F.product(1 + F.col("ret")).over(run))
+    rows = rows.withColumns({"__high": F.max("__equity").over(run), "__low": F.min("__equity").over(run)})
+    days = rows.groupBy(*inside).agg(F.product(1 + F.col("ret")).alias("total"), F.max("__equity").alias("high"), F.min("__equity").alias("low"))
+    earlier = W.partitionBy("strategy").orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.withColumn("base", F.product("total").over(earlier))
+    days = days.withColumn("before", F.max(_peak("base", "high", "low")).over(earlier))
+    days = days.select(F.col("strategy").alias("__of"), F.col("__day").alias("__on"), "base", "before")
+    found = rows.join(days, F.col("strategy").eqNullSafe(F.col("__of")) & F.col("__day").eqNullSafe(F.col("__on")))
+    equity, peak = _scaled("base", "__equity"), F.greatest("before", _peak("base", "__high", "__low"))
+    return found.select(*(F.col(f"`{c}`") for c in series.columns), equity.alias("equity"), peak.alias("peak"))
+
+
+def _scaled(base: str, value: str) -> Column:
+    """The product of both, or the one that is there."""
+    return F.coalesce(F.col(base) * F.col(value), F.col(base), F.col(value))
+
+
+def _peak(base: str, high: str, low: str) -> Column:
+    """The largest equity of a stretch that begins at `base`: below 0 that is where the stretch is lowest."""
+    return F.when(F.col(base) < 0, _scaled(base, low)).otherwise(_scaled(base, high))
 
 
 def max_drawdown(series: DataFrame) -> DataFrame:
@@ -78,8 +102,9 @@ def max_drawdown(series: DataFrame) -> DataFrame:
 
 
 def with_var(series: DataFrame, alpha: float) -> DataFrame:
-    """A series with var, a quantile of its strategy's returns, in every row."""
-    return series.withColumn("var", quantile("ret", alpha).over(W.partitionBy("strategy")))
+    """A series with var, a quantile of its strategy's returns, in every row. No task orders all of a strategy's returns."""
+    cuts = ranks.quantiles(series, ["strategy"], "ret", (alpha,), "__cut").select(F.col("strategy").alias("__of"), F.col("__cut")[0].alias("var"))
+    return series.join(cuts, F.col("strategy").eqNullSafe(F.col("__of"))).drop("__of")
 
 
 def var_es(series: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -98,20 +123,28 @@ def risk(series: DataFrame, alpha: float = 0.05) -> DataFrame:
 METRICS = ("MSE", "MAE", "IC", "IR", "SharpeRatio", "MDD", "VaR", "ES")
 
 
-def evaluate_all_metrics(y_true: DataFrame, y_pred: DataFrame, x_test: DataFrame, alpha: float = 0.05, mode: str = "literal") -> DataFrame:
+def evaluate_all_metrics(y_true: DataFrame, y_pred: DataFrame, x_test: DataFrame, alpha: float = 0.05, mode: str = "literal", lazy: bool = False) -> DataFrame:
     """One row with all METRICS; the last four are means over the three strategies.
 
     The row is computed by this call: joined returns are built once and kept while the rank and strategy branches read
-    them, and are let go before the row is returned.
+    them, and are let go before the row is returned. With `lazy` nothing is run or kept, and the result is a plan.
     """
     e = errors(y_true, y_pred)
     if "event_datetime" not in y_true.columns:
         return e.select(*(c.alias(m) for c, m in zip((F.col("mse"), F.col("mae"), *(F.lit(0.0),) * 6), METRICS, strict=True)))
-    returns = joined_returns(y_true, y_pred, x_test, mode).select("event_datetime", "true_ret", "pred_ret").persist()
+    returns = joined_returns(y_true, y_pred, x_test, mode).select("event_datetime", "true_ret", "pred_ret")
+    if lazy:
+        return _all_metrics(e, returns, alpha)
+    returns = returns.persist()
     try:
-        rank = ic_ir(ic_by_timestamp(returns))
-        mean = risk(strategies.portfolio_series(returns), alpha).agg(*(F.avg(c) for c in ("sharpe", "mdd", "var", "es")))
-        row = e.join(F.broadcast(rank)).join(F.broadcast(mean)).first()  # one row each
+        row = _all_metrics(e, returns, alpha).first()
     finally:
         returns.unpersist()
     return y_true.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{m} double" for m in METRICS))
+
+
+def _all_metrics(errors_: DataFrame, returns: DataFrame, alpha: float) -> DataFrame:
+    rank = ic_ir(ic_by_timestamp(returns))
+    mean = risk(strategies.portfolio_series(returns), alpha).agg(*(F.avg(c).alias(c) for c in ("sharpe", "mdd", "var", "es")))
+    row = errors_.join(F.broadcast(rank)).join(F.broadcast(mean))  # one row each
+    return row.select(*(F.col(c).alias(m) for c, m in zip(("mse", "mae", "ic", "ir", "sharpe", "mdd", "var", "es"), METRICS, strict=True)))

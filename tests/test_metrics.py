@@ -148,6 +148,66 @@ def test_string_times_that_are_none_or_spelled_otherwise(spark):
     assert [(r["n"], round(r["ic"], 9)) for r in got] == [(3, -1.0)]
 
 
+def test_times_without_a_zone_are_utc(spark):
+    from barlane.functions.columns import to_event_time
+
+    texts = ["2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-03-10T03:30:00Z", "2024-03-10 03:30:00.5", "2024-03-10 03:30:00+01:00", "2024-03-10 03:30:00 UTC", "2024-11-03 01:30:00", "2024-11-03 06:30:00", "2024-03-10", "nothing", "12", None, " 2024-03-10 03:30:00 "]
+    want = [1710037800.0, 1710041400.0, 1710041400.0, 1710041400.5, 1710037800.0, 1710041400.0, 1730597400.0, 1730615400.0, 1710028800.0, None, -61725715200.0, None, 1710041400.0]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("America/New_York", "UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            got = rows.select("i", (F.unix_micros(to_event_time(F.col("t"))) / 1e6).alias("s")).orderBy("i").collect()
+            assert [r["s"] for r in got][:10] == want[:10] and [r["s"] for r in got][11:] == want[11:]
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        sections = spark.createDataFrame([(t, float(i), float(i)) for t in ("2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-03-10 03:30:00Z") for i in range(3)], "event_datetime string, pred_ret double, true_ret double")
+        assert sorted(r["n"] for r in metrics.ic_by_timestamp(sections).collect()) == [3, 6]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("worst", [-0.2, -1.6])
+def test_equity_over_many_days_is_one_running_product(spark, worst):
+    rng = np.random.default_rng(3)
+    rets = rng.uniform(worst, 0.25, 300).tolist()
+    rows = [(DAY + dt.timedelta(hours=7 * i), "CSM", r) for i, r in enumerate(rets)] + [(DAY + dt.timedelta(hours=5 * i), None, None if i % 4 == 0 else 0.1 * (i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_datetime timestamp_ntz, strategy string, ret double").repartition(5)
+    for name in ("CSM", None):
+        of = sorted((t, r) for t, s, r in rows if s == name)
+        equity = peak = None
+        got = metrics.equity_curve(df).where(F.col("strategy").eqNullSafe(F.lit(name))).orderBy("event_datetime").collect()
+        assert len(got) == len(of)
+        for g, (_, r) in zip(got, of, strict=True):
+            if r is not None:
+                equity = (1.0 if equity is None else equity) * (1 + r)
+                peak = equity if peak is None else max(peak, equity)
+            assert g["equity"] == (None if equity is None else pytest.approx(equity, rel=1e-9, abs=1e-300))
+            assert g["peak"] == (None if peak is None else pytest.approx(peak, rel=1e-9, abs=1e-300))
+    windows_over_all = [x for x in metrics.equity_curve(df)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "__day" not in x]
+    assert windows_over_all == []
+
+
+def test_lazy_metrics_are_those_of_the_call(spark):
+    y, p, x = frames(spark)
+    assert metrics.evaluate_all_metrics(y, p, x, lazy=True).first().asDict() == pytest.approx(metrics.evaluate_all_metrics(y, p, x).first().asDict())
+
+
+@pytest.mark.parametrize("mode", returns.MODES)
+def test_one_exchange_joins_as_three_joins_do(spark, mode):
+    y, p, x = frames(spark, 5)
+    y = y.unionByName(y.where("window_id = 2 AND time_step = 3")).withColumn("token", F.lit("t"))
+    p = p.where("NOT (window_id = 1 AND time_step = 4)").withColumn("pred_close", F.when((F.col("window_id") == 3) & (F.col("time_step") < 2), F.lit(None)).when(F.col("window_id") == 4, float("nan")).otherwise(F.col("pred_close")))
+    x = x.withColumn("close", F.when((F.col("window_id") == 0) & (F.col("time_step") == 7), float("nan")).otherwise(F.col("close"))).where("NOT (window_id = 2 AND time_step > 50)")
+    base = returns.returns_base(y, p, x, mode)
+    want = base.true.join(base.pred, returns.KEYS)
+    got = returns.joined_returns(y, p, x, mode)
+    assert set(got.columns) == set(want.columns) and dict(got.dtypes) == dict(want.dtypes)
+    rows = lambda df: sorted(repr(r) for r in df.select(*sorted(want.columns)).collect())
+    assert rows(got) == rows(want) and len(rows(want)) > 40
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_run_strategy(spark):
     y, p, x = frames(spark)
     a = {r["event_datetime"]: r["ret"] for r in strategies.run_strategy("proportional", y, p, x).collect()}
