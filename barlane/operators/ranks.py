@@ -1,8 +1,9 @@
 """Ranks and exact quantiles inside groups of any size, without a task that holds a group.
 
 Equal values are counted into one row first. A group's values are then parted into classes that keep their order, numbers
-run inside a class, and start at the count of values in lower classes. So the largest piece of work is a class: the
-distinct values of one group within a factor of 2 ** (1 / SPLITS).
+run inside a class, and start at the count of values in lower classes. Classes have three depths, SPLITS, FINER and FINEST of them to
+a doubling, each numbered inside the one above. So a task's largest piece is bounded whatever the values: half a million
+classes of a group, 4096 of a class, or the million doubles that there are in one of the last depth.
 """
 
 from __future__ import annotations
@@ -13,30 +14,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Classes between a magnitude and its double.
-SPLITS = 256
+#: Classes between a magnitude and its double, at each depth.
+SPLITS, FINER, FINEST = 1 << 8, 1 << 20, 1 << 32
 # The exponents of the smallest and of the largest double.
 LEAST_EXPONENT, MOST_EXPONENT = -1074, 1024
 
 
-def order_class(value: Column) -> Column:
+def order_class(value: Column, splits: int = SPLITS) -> Column:
     """A whole number that never falls while a number rises; null for null."""
     exponent = F.least(F.log2(F.abs(value)), F.lit(float(MOST_EXPONENT)))
-    size = F.floor((exponent - LEAST_EXPONENT) * SPLITS) + 1
+    size = F.floor((exponent - LEAST_EXPONENT) * F.lit(splits).cast("double")) + 1
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
 
 
+def _lower(df: DataFrame, keys: Sequence[str], order: str, size: str, name: str) -> DataFrame:
+    """`df` with the sum of `size` over the rows of the same keys that come before in `order`."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)))
+
+
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null, with the columns of `other` beside its keys."""
+    other = other.select(*(F.col(c).alias(f"same {c}") for c in keys), *(c for c in other.columns if c not in keys))
+    return df.join(other, [F.col(c).eqNullSafe(F.col(f"`same {c}`")) for c in keys]).drop(*(f"same {c}" for c in keys))
+
+
+def inside_class(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`counts` (keys, value, ties; values of one class of the first depth have the same keys) with `inside`, the ties of lower
+    values with the same keys: by the two further depths."""
+    finer, finest = [*keys, "finer"], [*keys, "finer", "finest"]
+    counts = counts.withColumns({"finer": order_class(F.col(value), FINER), "finest": order_class(F.col(value), FINEST)})
+    depth3 = counts.groupBy(*finest).agg(F.sum("ties").alias("size"))
+    depth2 = depth3.groupBy(*finer).agg(F.sum("size").alias("size"))
+    start = _same(_lower(depth3, finer, "finest", "size", "in3").drop("size"), _lower(depth2, keys, "finer", "size", "in2").drop("size"), finer)
+    counts = _same(_lower(counts, finest, value, "ties", "in4"), start, finest)
+    return counts.withColumn("inside", F.col("in2") + F.col("in3") + F.col("in4")).drop("finer", "finest", "in2", "in3", "in4")
+
+
 def positions(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """group, value, ties, before, total: for each distinct value how many rows of its group hold it, how many hold a
     lower one, and how many hold any. A null value counts nowhere; its row stays, so that no group is lost."""
     counts = rows.groupBy(*group, value).agg(F.count(value).alias("ties")).withColumn("class", order_class(F.col(value)))
-    lower = W.partitionBy(*group, "class").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     lower_classes = W.partitionBy(*group).orderBy("class").rowsBetween(W.unboundedPreceding, -1)
     classes = counts.groupBy(*group, "class").agg(F.sum("ties").alias("size"))
     classes = classes.withColumns({"start": F.coalesce(F.sum("size").over(lower_classes), F.lit(0)), "total": F.sum("size").over(W.partitionBy(*group))})
-    inside = counts.withColumn("inside", F.coalesce(F.sum("ties").over(lower), F.lit(0)))
-    same = [inside[c].eqNullSafe(classes[c]) for c in (*group, "class")]
-    return inside.join(classes, same).select(*(inside[c] for c in (*group, value, "ties")), (F.col("start") + F.col("inside")).alias("before"), "total")
+    keys = [*group, "class"]
+    at = _same(inside_class(counts, keys, value), classes.drop("size"), keys)
+    return at.select(*group, value, "ties", (F.col("start") + F.col("inside")).alias("before"), "total")
 
 
 def average_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
@@ -72,8 +96,7 @@ def quantiles(rows: DataFrame, group: Sequence[str], value: str, shares: Sequenc
     asked = classes.where(some).select(*(F.col(c).alias(f"asked {c}") for c in keys), "start", "total")
     near = rows.join(asked, [F.col(c).eqNullSafe(F.col(f"`asked {c}`")) for c in keys])
     ties = near.groupBy(*group, "class", value).agg(F.count(value).alias("ties"), F.first("start").alias("start"), F.first("total").alias("total"))
-    inside = W.partitionBy(*group, "class").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    at = ties.withColumn("before", F.col("start") + F.coalesce(F.sum("ties").over(inside), F.lit(0)))
+    at = inside_class(ties, keys, value).withColumn("before", F.col("start") + F.col("inside"))
     picks = [F.max(F.when(holds(index, "before", "ties"), F.col(value))) for q in shares for index in places(q)[1:]]
     found = at.groupBy(*group).agg(F.first("total").alias("total"), *(p.alias(f"pick{i}") for i, p in enumerate(picks)))
     out = []
