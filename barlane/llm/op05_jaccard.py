@@ -50,8 +50,9 @@ FREQUENT = 1 << 20
 BUCKETS = (64, 8192)
 #: One list in so many, by the hash of its key, is measured for the cost of scanning.
 MEASURED = 64
-#: Subsets of a set up to which it can be light.
-MOST_SUBSETS = 15
+#: Subsets of a set up to which it takes part in measuring what scanning lists of subsets costs for each entry. Larger sets are taken
+#: to cost as much for each of their entries; which sets are light, the cost alone decides.
+MEASURED_SUBSETS = 15
 #: What a candidate met while scanning costs, in list entries written: its counts move and are compared (190 bytes to 24).
 SCAN_COST = 8
 #: Bytes of a list entry, and of entries in a partition.
@@ -161,8 +162,6 @@ def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float,
     heavies = np.cumsum([k * rule.prefix(n) * (1 + heavy_scan) for n, k in by_size])
     best, least = 0, heavies[-1]
     for i, x in enumerate(at):
-        if subsets(x, rule) > MOST_SUBSETS:
-            break
         first = int(np.searchsorted(at, x * rule.num / rule.den, side="right")) if x < at[-1] else len(at)
         cost = lights[i] + heavies[-1] - (heavies[first - 1] if first else 0)
         if cost < least:
@@ -192,7 +191,7 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule,
                     if often.any():
                         s = np.concatenate([s[~often], frequent[np.sort(order[place[often]])]])
                 mine = []
-                if n <= light or measure and subsets(n, rule) <= MOST_SUBSETS:
+                if n <= light or measure and subsets(n, rule) <= MEASURED_SUBSETS:
                     p = s[: rule.prefix(n, 2)]
                     i, j = np.triu_indices(len(p), 1)
                     mine.append(pairs_key(p[i], p[j]))
@@ -636,3 +635,6 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
 """
+
+#: The same with the number of documents that each one links with.
+SQL_LINKS = SQL.replace("r.component_id\nFROM", "r.component_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links\nFROM")

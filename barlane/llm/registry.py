@@ -26,6 +26,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op4_line_dedup": op04_line_dedup.SQL,
     "op5_jaccard": op05_jaccard.SQL,
+    "op5_jaccard_links": op05_jaccard.SQL_LINKS,
     "op8_chat": op08_chat.SQL,
     "op9_decontaminate": op09_decontaminate.SQL,
     "op9_decontaminate_every_id": op09_decontaminate.SQL_EVERY_ID,

@@ -109,6 +109,38 @@ def test_boundary_follows_cost():
     assert op.boundary([], 1.0, 1.0, rule) == 0
 
 
+def test_subsets_win_where_they_cost_less(make_docs, monkeypatch):
+    """Short texts of few words: each shingle is in very many of them, each pair of shingles in few."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(30, 40)))) for i in range(900)]
+    rows += [(2000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    rows += [(3000 + i, t + " a") for i, (_, t) in enumerate(rows[40:90])]
+    chosen, real = [], op.boundary
+    monkeypatch.setattr(op, "boundary", lambda *a: chosen.append(real(*a)) or chosen[-1])
+    rule = op.Rule(5, 80, 100)
+    assert found(op.near_duplicates(make_docs(rows).repartition(3), rule)) == brute(rows, rule)
+    sizes = [len(s) for s in sets(rows, 5)]
+    assert chosen[0] > 0 and sum(n <= chosen[0] for n in sizes) > 100
+
+
+def test_no_cap_on_subsets():
+    rule = op.Rule(5, 80, 100)
+    sizes = [(n, 1) for n in range(6, 3000)]
+    light = op.boundary(sizes, 0.0, 1e9, rule)
+    assert light == 2999 and op.subsets(light, rule) > 10_000
+
+
+def test_links_query_is_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{sf_dir}/documents.parquet'")
+    want = con.execute(op.SQL_LINKS).fetchall()
+    names = [c[0] for c in con.description]
+    got = op.op5_jaccard_links(spark, sf_dir)
+    assert set(got.columns) == set(names) and sorted(map(tuple, got.select(*names).collect())) == sorted(want)
+
+
 def test_prefixes_are_complete():
     rule = op.Rule()
     for n in range(1, 60):
