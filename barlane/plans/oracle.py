@@ -161,13 +161,12 @@ STRING_TIMES = f"""{_returns("literal").replace("merged AS MATERIALIZED (", "spe
     SELECT * REPLACE (try_cast(CASE WHEN window_id % 7 = 0 THEN 'not a time' WHEN window_id % 2 = 0 THEN strftime(event_datetime, '%Y-%m-%d %H:%M:%S') ELSE strftime(event_datetime, '%Y-%m-%dT%H:%M:%S') END AS TIMESTAMP) AS event_datetime)
     FROM spelled WHERE window_id % 7 <> 0
 )"""
-#: Sizes of the cross-sections of edge_sections and edge_ics.
-EDGE_SIZES = (2, 3, 4, 5, 19, 20, 21, 21, 21, 20, 20)
-EDGE = f"""merged AS (
+EDGE = f"""{BARS}, merged AS MATERIALIZED (
     SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(g AS INTEGER)) AS event_datetime,
-           CASE WHEN g = 6 AND i = 2 OR g = 8 AND i = 3 THEN NULL WHEN g = 9 THEN 0.25::DOUBLE WHEN g = 10 THEN -0.1::DOUBLE * (i + 1) ELSE ((i * 7 + g * 3) % 11 - 5) / 10 END AS pred_ret,
-           CASE WHEN g = 7 AND i = 1 THEN NULL ELSE ((i * 5 + g) % 13 - 6) / 100 END AS true_ret
-    FROM (SELECT g, unnest(range(list_extract({list(EDGE_SIZES)}, CAST(g + 1 AS INTEGER)))) AS i FROM range({len(EDGE_SIZES)}) t(g))
+           CASE WHEN g % 11 = 6 AND i = 2 OR g % 11 = 8 AND i = 3 THEN NULL WHEN g % 11 = 9 THEN 0.25::DOUBLE WHEN g % 11 = 10 THEN -0.1::DOUBLE * (i + 1)
+                ELSE CAST(floor(close / 100) AS BIGINT) % 11 / 10 - 0.5 END AS pred_ret,
+           CASE WHEN g % 11 = 7 AND i = 1 THEN NULL ELSE (volume % 13 - 6) / 100 END AS true_ret
+    FROM (SELECT series_id AS g, time_step AS i, CAST(close AS DOUBLE) AS close, CAST(volume AS DOUBLE) AS volume FROM bars WHERE time_step < 2 + series_id % 21)
 )"""
 #: Cross-sections with the rules for missing sides.
 GUARDED = """cuts AS (
@@ -266,7 +265,11 @@ HAVING count(DISTINCT time_step) <> 10 OR count(*) <> 10 OR min(time_step) <> 0
     "submission_summary": _with(TABLES, "SELECT count(*) AS n_rows, count(DISTINCT window_id) AS n_windows FROM y_pred"),
     "timestamp_coerce": "SELECT event_id, try_cast(CASE WHEN event_id % 7 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS event_datetime FROM events",
     "narrow_types": _with(TABLES, "SELECT CAST(window_id AS INTEGER) AS window_id, time_step, round(CAST(CAST(pred_close AS FLOAT) AS DOUBLE), 0) AS pred_close FROM y_pred"),
-    "linspace_source": "SELECT CAST(i AS INTEGER) AS time_step, round(10.0::DOUBLE + i * (10.0::DOUBLE / 9), 8) AS close, round(100.0::DOUBLE + i * (100.0::DOUBLE / 9), 8) AS volume FROM range(10) t(i)",
+    "linspace_source": _with(
+        f"{BARS}, bounds AS (SELECT series_id, count(*) AS n, min(close) AS c0, max(close) AS c1, min(volume) AS v0, max(volume) AS v1 FROM bars GROUP BY series_id)",
+        """SELECT series_id, time_step, round(c0 + time_step * ((c1 - c0) / greatest(n - 1, 1)), 6) AS close, round(v0 + time_step * ((v1 - v0) / greatest(n - 1, 1)), 6) AS volume
+FROM (SELECT *, unnest(range(0, n)) AS time_step FROM bounds)""",
+    ),
     "forecast_persistence": _forecast(ENDS, "last", "ends"),
     "forecast_drift": _forecast(ENDS, "last + (time_step + 1) * (last - first) / (n - 1)", "ends"),
     "forecast_udf": _with(TABLES, "SELECT window_id, CAST(time_step AS INTEGER) AS time_step, round(pred_close, 4) AS pred_close FROM (SELECT window_id, avg(close) AS pred_close, unnest(range(10)) AS time_step FROM x_test WHERE time_step >= 55 GROUP BY window_id)"),

@@ -219,23 +219,23 @@ def strategies_string_times(spark, sf_dir):
     return table.select(F.col("event_datetime").cast("timestamp_ntz").alias("event_datetime"), "n", *(r(c, 7) for c in strategies.NAMES))
 
 
-def _edge_sections(spark):
-    """Cross-sections around every guard: sizes 2 to 21, missing and NaN sides, equal and negative predictions, ties."""
-    rows = spark.range(len(oracle.EDGE_SIZES)).select(F.col("id").alias("g"), F.element_at(F.array(*map(F.lit, oracle.EDGE_SIZES)), (F.col("id") + 1).cast("int")).alias("size"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - F.lit(1).cast("long"))))
-    g, i = F.col("g"), F.col("i")
-    p = F.when((g == 6) & (i == 2), F.lit(None)).when((g == 8) & (i == 3), F.lit("NaN").cast("double")).when(g == 9, 0.25).when(g == 10, -0.1 * (i + 1)).otherwise(((i * 7 + g * 3) % 11 - 5) / 10)
-    t = F.when((g == 7) & (i == 1), F.lit(None)).otherwise(((i * 5 + g) % 13 - 6) / 100)
-    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(g AS INT), 0)")
+def _edge_sections(spark, sf_dir):
+    """A cross-section of each series of bars around every guard: sizes 2 to 22, missing and NaN sides, equal and negative
+    predictions, ties."""
+    g, i = F.col("series_id"), F.col("time_step")
+    rows = fixtures.bars(spark, sf_dir).where(i < 2 + g % 21)
+    p = F.when((g % 11 == 6) & (i == 2), F.lit(None)).when((g % 11 == 8) & (i == 3), F.lit("NaN").cast("double")).when(g % 11 == 9, 0.25).when(g % 11 == 10, -0.1 * (i + 1)).otherwise(F.floor(F.col("close") / 100) % 11 / 10 - 0.5)
+    t = F.when((g % 11 == 7) & (i == 1), F.lit(None)).otherwise((F.col("volume") % 13 - 6) / 100)
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(series_id AS INT), 0)")
     return rows.select(at.alias("event_datetime"), nan_to_null(p.cast("double")).alias("pred_ret"), t.cast("double").alias("true_ret"))
 
 
 def edge_sections(spark, sf_dir):
-    return strategies.portfolio_table(_edge_sections(spark)).select("event_datetime", "n", *(r(c, 7) for c in strategies.NAMES))
+    return strategies.portfolio_table(_edge_sections(spark, sf_dir)).select("event_datetime", "n", *(r(c, 7) for c in strategies.NAMES))
 
 
 def edge_ics(spark, sf_dir):
-    return metrics.ic_by_timestamp(_edge_sections(spark)).select("event_datetime", "n", r("ic"))
+    return metrics.ic_by_timestamp(_edge_sections(spark, sf_dir)).select("event_datetime", "n", r("ic"))
 
 
 def distinct_windows(spark, sf_dir):
@@ -292,7 +292,9 @@ def narrow_types(spark, sf_dir):
 
 
 def linspace_source(spark, sf_dir):
-    return io.linspace(spark, 10, {"close": (10.0, 20.0), "volume": (100.0, 200.0)}).select("time_step", r("close"), r("volume"))
+    """As many evenly spaced prices and volumes as a series has bars, between its smallest and largest."""
+    out = io.spaced(fixtures.bars(spark, sf_dir), ["series_id"], ["close", "volume"])
+    return out.select("series_id", "time_step", r("close", 6), r("volume", 6))
 
 
 def _forecast(model):
