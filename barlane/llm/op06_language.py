@@ -7,7 +7,7 @@ the language whose prototype has the largest cosine with its vector.
 
 Letters are taken in lower case; runs of other characters are one boundary letter. Every letter of every script has a
 vector of its own, drawn from the place in one stream of random numbers that its code gives. Vectors of n-grams of a-z
-are kept; those of others are bound when they are met.
+are made at the start; those of others are bound when they are met, and the first MOST_OTHER of a worker's are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LATIN = 1 + 26
 LETTERS = LATIN + 0x110000
 #: N-grams of LATIN codes only, which come first.
 KEPT = LATIN**3
+#: Other n-grams whose vectors a worker keeps (16 MB).
+MOST_OTHER = 1 << 15
 UNKNOWN = "und"
 GROUP_CHARS = 1 << 20
 
@@ -44,6 +46,9 @@ class Space:
         codes = np.arange(LATIN)
         self.grams = self.bound(*(x.ravel() for x in np.meshgrid(codes, codes, codes, indexing="ij")))
         self.codes = np.array([self.code(c) for c in range(0x10000)], np.int64)
+        #: Other n-grams that are kept, ascending, and the rows of their vectors.
+        self.other, self.rows = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table = np.empty((0, dimensions), np.int8)
 
     @staticmethod
     def code(point: int) -> int:
@@ -65,6 +70,26 @@ class Space:
         """The vectors of n-grams by their letters' codes."""
         return np.roll(self.vectors(a), 2, 1) * np.roll(self.vectors(b), 1, 1) * self.vectors(c)
 
+    def others(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams with letters beyond a-z, by their numbers, which are distinct."""
+        place = np.minimum(np.searchsorted(self.other, grams), max(len(self.other) - 1, 0))
+        known = self.other[place] == grams if len(self.other) else np.zeros(len(grams), bool)
+        out = np.empty((len(grams), self.dimensions), np.int8)
+        out[known] = self.table[self.rows[place[known]]]
+        if not known.all():
+            new = grams[~known]
+            out[~known] = vectors = self.bound(new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS)
+            new, vectors = new[: MOST_OTHER - len(self.other)], vectors[: MOST_OTHER - len(self.other)]
+            if len(new):
+                have = len(self.other)
+                if have + len(new) > len(self.table):
+                    self.table = np.concatenate([self.table, np.empty((max(1024, len(self.table), len(new)), self.dimensions), np.int8)])
+                self.table[have : have + len(new)] = vectors
+                both, rows = np.append(self.other, new), np.append(self.rows, np.arange(have, have + len(new)))
+                order = np.argsort(both)
+                self.other, self.rows = both[order], rows[order]
+        return out
+
     def letters(self, text: str) -> np.ndarray:
         """Codes of a text: 0 for a boundary, runs of which are one; a boundary stands at both ends."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -98,7 +123,7 @@ class Space:
             for low, high in ((at, min(at + 4096, first)), (max(at, first), min(at + 4096, len(which)))):
                 if low < high:
                     some = which[low:high]
-                    vectors = self.grams[some] if high <= first else self.bound((some - KEPT) // LETTERS**2, (some - KEPT) // LETTERS % LETTERS, (some - KEPT) % LETTERS)
+                    vectors = self.grams[some] if high <= first else self.others(some - KEPT)
                     out += weights[low:high].astype(kind) @ vectors.astype(kind)
         return out
 

@@ -98,3 +98,18 @@ def test_query_matches_brute_force(spark, sf_dir):
         cos = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in total.items()} if n else {"und": 0.0}
         best = max(sorted(cos), key=cos.get)
         assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - max(0, cos[best])) < 1e-4
+
+
+def test_kept_vectors_are_those_that_are_bound(monkeypatch):
+    texts = ["Über alte Brücken, señor", "привет мир 日本語 Ǆ", "ça été déjà vu", "Über señor été", "\U0001d11e ẞß"] * 2
+    for most in (0, 3, op.MOST_OTHER):
+        monkeypatch.setattr(op, "MOST_OTHER", most)
+        s = op.Space()
+        for t in texts:
+            which, n = s.counts(t)
+            want = np.zeros(s.dimensions)
+            for g, k in zip(which.tolist(), n.tolist(), strict=True):
+                base, g = (op.LETTERS, g - op.KEPT) if g >= op.KEPT else (op.LATIN, g)
+                want += k * s.bound(*(np.array([x]) for x in (g // base**2, g // base % base, g % base)))[0]
+            assert np.array_equal(s.bundle(t), want.astype(np.float32))
+        assert len(s.other) <= most

@@ -81,3 +81,35 @@ def test_word_features():
     assert op.word_features("ab") == ["ab"]
     model = op.Ordinal(("bad", "wors*"), np.array([1.0, 2.0]), np.array([1.0, 2.0, 3.0]))
     assert dict(op.Scorer(model).counts("Bad, bad worse WORST-bad x")) == {0: 3, 1: 2}
+
+
+def test_weights_are_those_of_a_plain_solver():
+    """The loss of learned weights and thresholds against plain descent by differences."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    grade = np.clip(np.digitize(x @ [1.5, -1.0, 0.0] + rng.logistic(size=300), [0.5, 1.5, 2.5]), 0, 3)
+    m = op.fit(("a", "b", "c"), x, grade)
+    balance = np.where(grade == 0, 0.5 / (grade == 0).sum(), 0.5 / (grade > 0).sum())
+
+    def loss(p):
+        cut = np.concatenate([[-np.inf], p[3] + np.concatenate([[0.0], np.exp(p[4:]).cumsum()]), [np.inf]])
+        f = 1 / (1 + np.exp(-(cut[None] - (x @ p[:3])[:, None])))
+        prob = f[np.arange(300), grade + 1] - f[np.arange(300), grade]
+        return -(balance * np.log(np.maximum(prob, 1e-12))).sum() + op.L2 / 2 * (p[:3] @ p[:3])
+
+    p, step = np.array([0, 0, 0, 1.0, 0, 0]), 1.0
+    for _ in range(1500):
+        g = np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in np.eye(6) * 1e-5])
+        while loss(p - step * g) > loss(p) - 1e-4 * step * (g @ g) and step > 1e-9:
+            step /= 2
+        p, step = p - step * g, step * 1.5
+    mine = np.concatenate([m.weights, m.thresholds[:1], np.log(np.diff(m.thresholds))])
+    assert loss(p) - 1e-6 <= loss(mine) <= loss(p) + 0.01
+    assert np.allclose(m.weights, p[:3], atol=0.1) and (np.diff(m.thresholds) > 0).all()
+
+
+def test_model_does_not_follow_the_order_of_rows(spark, sf_dir):
+    docs, labels = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels")
+    a, b = op.learn(docs.repartition(1), labels), op.learn(docs.repartition(5), labels)
+    assert a.features == b.features and np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+    assert len(op.learn(docs, labels, most=4).features) <= 4
