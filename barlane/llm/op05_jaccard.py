@@ -50,9 +50,9 @@ FREQUENT = 1 << 20
 BUCKETS = (64, 8192)
 #: One list in so many, by the hash of its key, is measured for the cost of scanning.
 MEASURED = 64
-#: Subsets of a set up to which it takes part in measuring what scanning lists of subsets costs for each entry. Larger sets are taken
-#: to cost as much for each of their entries; which sets are light, the cost alone decides.
-MEASURED_SUBSETS = 15
+#: Subsets of a set up to which it can be light, unless told otherwise; larger sets go to the inverted lists, which are exact for all.
+#: What scanning lists of subsets costs is measured on sets of that many.
+MOST_SUBSETS = 15
 #: What a candidate met while scanning costs, in list entries written: its counts move and are compared (190 bytes to 24).
 SCAN_COST = 8
 #: Bytes of a list entry, and of entries in a partition.
@@ -151,9 +151,9 @@ def subsets(n: int, rule: Rule) -> int:
     return rule.prefix(n, 2) * (rule.prefix(n, 2) - 1) // 2
 
 
-def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float, rule: Rule) -> int:
+def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float, rule: Rule, most_subsets: int | None = MOST_SUBSETS) -> int:
     """The size up to which sets enumerate subsets, from (size, sets) pairs and what scanning costs for each entry of
-    the two kinds of lists, in entries written."""
+    the two kinds of lists, in entries written; of sizes with `most_subsets` or fewer, or of all for None."""
     by_size = sorted(sizes)
     if not by_size:
         return 0
@@ -162,6 +162,8 @@ def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float,
     heavies = np.cumsum([k * rule.prefix(n) * (1 + heavy_scan) for n, k in by_size])
     best, least = 0, heavies[-1]
     for i, x in enumerate(at):
+        if most_subsets is not None and subsets(x, rule) > most_subsets:
+            break
         first = int(np.searchsorted(at, x * rule.num / rule.den, side="right")) if x < at[-1] else len(at)
         cost = lights[i] + heavies[-1] - (heavies[first - 1] if first else 0)
         if cost < least:
@@ -169,7 +171,7 @@ def boundary(sizes: list[tuple[int, int]], light_scan: float, heavy_scan: float,
     return best
 
 
-def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule, measure: bool = False) -> DataFrame:
+def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule, measure: bool = False, most_subsets: int | None = MOST_SUBSETS) -> DataFrame:
     """key, f1, n: the lists that each distinct set of a task goes to. `frequent` has shingles by ascending count. To
     measure, sets go to both kinds of lists (keys of the light kind have the highest bit set), but only to some of them."""
     order = np.argsort(frequent)
@@ -191,7 +193,7 @@ def list_entries(sets: DataFrame, frequent: np.ndarray, light: int, rule: Rule,
                     if often.any():
                         s = np.concatenate([s[~often], frequent[np.sort(order[place[often]])]])
                 mine = []
-                if n <= light or measure and subsets(n, rule) <= MEASURED_SUBSETS:
+                if n <= light or measure and (most_subsets is None or subsets(n, rule) <= most_subsets):
                     p = s[: rule.prefix(n, 2)]
                     i, j = np.triu_indices(len(p), 1)
                     mine.append(pairs_key(p[i], p[j]))
@@ -512,17 +514,18 @@ def told_apart(sets: DataFrame) -> DataFrame:
     raise RuntimeError("sets can't be told apart")
 
 
-def join(docs: DataFrame, rule: Rule, rounds: tuple[int | None, ...] = ROUNDS) -> Joined:
+def join(docs: DataFrame, rule: Rule, rounds: tuple[int | None, ...] = ROUNDS, most_subsets: int | None = MOST_SUBSETS) -> Joined:
     """The join of `docs` (doc_id, text; other columns are left out) with itself. With EVERY_LINK as rounds, `links` has
-    every link between unlike sets once; else those that were needed to find the components."""
+    every link between unlike sets once; else those that were needed to find the components. No link depends on `most_subsets`, the
+    number of subsets that a light set has at most; with None the cost alone draws the boundary."""
     table = common.written(hashed_sets(docs, rule), "shingle-sets")
     sets = told_apart(table.where("kind = 0"))
     top = table.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(FREQUENT).select("f1", "n").toArrow()
     frequent = top["f1"].to_numpy().view(np.uint64)[::-1].copy()
     sizes = [(r["n"], r["c"]) for r in sets.groupBy("n").agg(F.count_distinct("f1").alias("c")).collect() if not rule.lonely(r["n"])]
-    lengths = list_entries(sets, frequent, 0, rule, measure=True).groupBy("key").agg(F.count_distinct("f1").alias("c"))
+    lengths = list_entries(sets, frequent, 0, rule, measure=True, most_subsets=most_subsets).groupBy("key").agg(F.count_distinct("f1").alias("c"))
     scan = {r["light"]: SCAN_COST * r["pairs"] / r["entries"] for r in lengths.groupBy((F.col("key") < 0).alias("light")).agg(F.sum("c").alias("entries"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()}
-    light = boundary(sizes, scan.get(True, 0.0), scan.get(False, 0.0), rule)
+    light = boundary(sizes, scan.get(True, 0.0), scan.get(False, 0.0), rule, most_subsets)
     members = common.written(memberships(common.written(lists(list_entries(sets, frequent, light, rule), rule, entries_of(sizes, light, rule)), "lists", NUMERIC_ROWS)), "members")
     nodes = common.written(one_each(sets.select("f1", "n", "sig"), node_filter(members.select("f1"))), "nodes")
     labels, links = None, None
@@ -548,7 +551,7 @@ def classes(joined: Joined) -> DataFrame:
     return joined.documents.join(named.join(whole, "label").select("f1", "label", "component"), "f1", "left")
 
 
-def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule, most_subsets: int | None = MOST_SUBSETS) -> DataFrame:
     """Per row of `docs` (doc_id, text; other columns are left out): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links reach, the own one included. Null and empty texts have no
@@ -556,7 +559,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     returned as such and is never the smallest beside others. An empty table gives no rows.
     """
     with common.workspace(docs.sparkSession, "jaccard") as keep:
-        got = keep(classes(join(docs, rule)).select("did", "n", "component"), "near-duplicates")
+        got = keep(classes(join(docs, rule, most_subsets=most_subsets)).select("did", "n", "component"), "near-duplicates")
     return got.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component_id"))
 
 

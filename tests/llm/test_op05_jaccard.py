@@ -118,16 +118,17 @@ def test_subsets_win_where_they_cost_less(make_docs, monkeypatch):
     chosen, real = [], op.boundary
     monkeypatch.setattr(op, "boundary", lambda *a: chosen.append(real(*a)) or chosen[-1])
     rule = op.Rule(5, 80, 100)
-    assert found(op.near_duplicates(make_docs(rows).repartition(3), rule)) == brute(rows, rule)
+    assert found(op.near_duplicates(make_docs(rows).repartition(3), rule, None)) == brute(rows, rule)
     sizes = [len(s) for s in sets(rows, 5)]
     assert chosen[0] > 0 and sum(n <= chosen[0] for n in sizes) > 100
 
 
-def test_no_cap_on_subsets():
+def test_the_cap_on_subsets_is_a_parameter():
     rule = op.Rule(5, 80, 100)
     sizes = [(n, 1) for n in range(6, 3000)]
-    light = op.boundary(sizes, 0.0, 1e9, rule)
+    light = op.boundary(sizes, 0.0, 1e9, rule, None)
     assert light == 2999 and op.subsets(light, rule) > 10_000
+    assert op.subsets(op.boundary(sizes, 0.0, 1e9, rule), rule) <= op.MOST_SUBSETS
 
 
 def test_links_query_is_its_sql(spark, sf_dir):
