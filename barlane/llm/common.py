@@ -64,11 +64,31 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 _space: ContextVar[str | None] = ContextVar("workspace", default=None)
+#: Paths that stay after their operator has ended.
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, or in the workspace that is open; whoever asks for it writes it."""
-    return f"{_space.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_space.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _space.get():
+        _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that the operators of this process have left in the shared folder, and say how many paths that were. Results that
+    are read from them can't be read any more."""
+    n = 0
+    while _made:
+        n += delete(spark, _made.pop())
+    return n
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file, whatever store it is in; whether it was there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -89,8 +109,7 @@ def workspace(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, s
         yield keep
     finally:
         _space.reset(token)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
 
 
 def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
