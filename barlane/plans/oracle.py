@@ -165,7 +165,7 @@ EDGE = f"""{BARS}, merged AS MATERIALIZED (
     SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(g AS INTEGER)) AS event_datetime,
            CASE WHEN g % 11 = 6 AND i = 2 OR g % 11 = 8 AND i = 3 THEN NULL WHEN g % 11 = 9 THEN 0.25::DOUBLE WHEN g % 11 = 10 THEN -0.1::DOUBLE * (i + 1)
                 ELSE CAST(floor(close / 100) AS BIGINT) % 11 / 10 - 0.5 END AS pred_ret,
-           CASE WHEN g % 11 = 7 AND i = 1 THEN NULL ELSE (volume % 13 - 6) / 100 END AS true_ret
+           CASE WHEN g % 11 = 7 AND i = 1 THEN NULL ELSE (volume * 37 + close) % 97 / 1000 - 0.0431::DOUBLE END AS true_ret
     FROM (SELECT series_id AS g, time_step AS i, CAST(close AS DOUBLE) AS close, CAST(volume AS DOUBLE) AS volume FROM bars WHERE time_step < 2 + series_id % 21)
 )"""
 #: Cross-sections with the rules for missing sides.
@@ -185,7 +185,7 @@ PAIRED_ICS = """sized AS (SELECT *, count(*) OVER (PARTITION BY event_datetime)
            rank() OVER (PARTITION BY event_datetime ORDER BY true_ret) + (count(*) OVER (PARTITION BY event_datetime, true_ret) - 1) / 2.0 AS b
     FROM sized WHERE n >= 3 AND pred_ret IS NOT NULL AND true_ret IS NOT NULL
 )
-SELECT event_datetime, n, round(ic, 8) AS ic FROM (SELECT event_datetime, any_value(n) AS n, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ranked GROUP BY event_datetime) WHERE ic IS NOT NULL"""
+SELECT event_datetime, n, round(ic + 1e-12, 8) AS ic FROM (SELECT event_datetime, any_value(n) AS n, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ranked GROUP BY event_datetime) WHERE ic IS NOT NULL"""
 ENDS = f"{TABLES}, ends AS (SELECT window_id, max_by(close, time_step) AS last, min_by(close, time_step) AS first, count(*) AS n FROM x_test GROUP BY window_id)"
 
 SQL = {
