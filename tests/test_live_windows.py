@@ -102,6 +102,41 @@ def test_equal_steps_and_null_closes(spark, folder):
     assert windows(s.run()) == expected([*bars, bars[4], bars[4]])
 
 
+def test_a_closing_row_in_the_batch_of_the_bars(spark, folder):
+    bars = [bar(s, t) for s in range(16) for t in range(9)]
+    s = Stream(spark, folder, wait=timedelta(minutes=5), told=timedelta(hours=1))
+    s.add([*bars, END])
+    assert windows(s.run()) == expected(bars)
+
+
 def test_waiting_longer_than_telling_is_refused(spark):
     with pytest.raises(ValueError):
         live_windows(spark.range(1).select(F.col("id").alias("series_id")), wait=timedelta(hours=2), told=timedelta(hours=1))
+
+
+def test_the_processor_needs_no_import_path():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from barlane.streaming.live_windows import LiveWindows
+
+    sent = cloudpickle.dumps(LiveWindows(7, 6, 1, 2))
+    code = "import sys; from pyspark import cloudpickle; print(cloudpickle.loads(sys.stdin.buffer.read()).window, 'barlane' in sys.modules)"
+    assert subprocess.run([sys.executable, "-P", "-c", code], input=sent, capture_output=True, cwd="/", env={}).stdout.split() == [b"7", b"False"]
+
+
+def test_a_part_of_many_files_loses_no_window(spark, sf_dir, monkeypatch):
+    from barlane.operators.windows import window_arrays
+    from barlane.plans import queries
+    from barlane.sources import fixtures
+
+    monkeypatch.setattr(queries, "FILES", 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a file for each of 4 partitions
+    try:
+        got = queries.streaming_windows(spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = window_arrays(fixtures.bars(spark, sf_dir)).select("series_id", "start").collect()
+    assert sorted((r["series_id"], r["start"]) for r in got) == sorted(map(tuple, want))
