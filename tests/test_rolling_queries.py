@@ -68,3 +68,20 @@ def test_batches_and_shards_of_every_window(spark, arrays):
     ends = [arrays[s][0][a + 69] for s, a in starts()]
     assert stacked == {b: (len(e), e[0], e[-1]) for b in range(-(-len(ends) // 32)) for e in [ends[32 * b : 32 * b + 32]]}
     assert sorted(r["sample_idx"] for r in queries.QUERIES["shard_round_robin_rolling"](spark, "").collect()) == list(range(1, len(ends), 3))
+
+
+def test_rows_of_windows_are_many_tasks_work(spark, arrays):
+    for name in ("zscore_rolling", "feature_pipeline_rolling", "window_samples_long_rolling", "standardisation_check_rolling"):
+        plan = queries.QUERIES[name](spark, "")._jdf.queryExecution().executedPlan().toString()
+        assert "arrays_zip" not in plan and "aggregate(" not in plan
+        assert f"{4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
+
+
+def test_rounding_takes_halves_from_zero():
+    from barlane.operators.blocks import rounded
+
+    x = np.array([0.5, -0.5, 2.5, -0.2, np.nan, 1e300, np.inf])
+    got = rounded(x, 0)
+    np.testing.assert_array_equal(got, [1, -1, 3, 0, np.nan, 1e300, np.inf])
+    assert not np.signbit(got[3])
+    np.testing.assert_array_equal(rounded(np.array([0.00005, 1234.56]), 4, 1e-7), [0.0001, 1234.56])
