@@ -217,3 +217,18 @@ def test_run_strategy(spark):
         strategies.run_strategy("none", y, p, x)
     tails = strategies.run_strategy("csm", y, p, x, top_decile=0.2)
     assert tails.count() == 10
+
+
+def test_metrics_sort_line_items_once(spark, sf_dir, monkeypatch):
+    from barlane.plans import queries
+
+    kept, before = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    made = metrics.evaluate_all_metrics
+
+    def seen(y_true, y_pred, x_test, **options):
+        kept.extend("InMemoryRelation" in t._jdf.queryExecution().optimizedPlan().toString() for t in (y_true, y_pred, x_test))
+        return made(y_true, y_pred, x_test, **options)
+
+    monkeypatch.setattr(metrics, "evaluate_all_metrics", seen)
+    queries.QUERIES["evaluate_all_metrics"](spark, sf_dir).collect()
+    assert kept == [True] * 3 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
