@@ -77,6 +77,32 @@ def test_rows_of_windows_are_many_tasks_work(spark, arrays):
         assert f"{4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
 
 
+def test_rows_of_windows_come_from_one_row_a_part(spark, arrays):
+    for name in ("vwap_pipeline_rolling", "vwap_rolling", "log_ret_rolling", "zscore_inverse_rolling", "rolling_vol_rolling", "vol_delta_rolling"):
+        plan = queries.QUERIES[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan[: plan.index("MapInArrow")], plan[plan.index("MapInArrow") :]
+        assert above.count("Generate explode") == 2
+        assert "row_number" not in below and "__group" not in below  # bars are sorted in their arrays, windows aren't numbered
+    plan = queries.QUERIES["window_samples_long_rolling"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "__group" not in plan
+
+
+def test_bars_are_moved_under_their_own_names(spark, sf_dir):
+    plan = fixtures.bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "Exchange" in line)
+    assert "hashpartitioning(series_id#" in moved
+
+
+def test_rolling_vol_is_made_when_asked_for():
+    from barlane.operators.blocks import Block
+
+    block = Block(0, 0, np.arange(5), 60, np.linspace(1, 2, 64), np.ones(64))
+    queries.basic.on_block(block)
+    column = block.columns["rolling_vol"]
+    assert callable(column._rows)
+    assert column.rows.shape == (5, 60) and column.rows is column.rows
+
+
 def test_rounding_takes_halves_from_zero():
     from barlane.operators.blocks import rounded
 
