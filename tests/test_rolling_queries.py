@@ -111,3 +111,20 @@ def test_rounding_takes_halves_from_zero():
     np.testing.assert_array_equal(got, [1, -1, 3, 0, np.nan, 1e300, np.inf])
     assert not np.signbit(got[3])
     np.testing.assert_array_equal(rounded(np.array([0.00005, 1234.56]), 4, 1e-7), [0.0001, 1234.56])
+
+
+def test_bars_are_sorted_once(spark, sf_dir):
+    for name in ("log_ret_rolling", "zscore_inverse_rolling"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("row_number()") == 1
+
+
+def test_places_from_steps_equal_counted_ones(spark, monkeypatch):
+    from barlane.operators import windows
+
+    monkeypatch.setattr(windows, "SPAN", 32)
+    rows = [(s, t, 1 + t / 7, float(t)) for s, n in ((1, 69), (2, 70), (8, 141), (None, 80)) for t in range(n)]
+    table = spark.createDataFrame(rows, "series_id long, time_step int, close double, volume double")
+    for numbered in (False, True):
+        counted, told = (sorted(tuple(r) for r in windows.blocks(table, numbered=numbered, dense=d).collect() if len(r["close"]) >= 70) for d in (False, True))
+        assert counted == told and {r[0] for r in told} == {2, 8}
