@@ -128,3 +128,8 @@ def test_places_from_steps_equal_counted_ones(spark, monkeypatch):
     for numbered in (False, True):
         counted, told = (sorted(tuple(r) for r in windows.blocks(table, numbered=numbered, dense=d).collect() if len(r["close"]) >= 70) for d in (False, True))
         assert counted == told and {r[0] for r in told} == {2, 8}
+
+
+def test_samples_are_made_of_few_windows_at_a_time(spark, arrays):
+    plan = queries.QUERIES["window_samples_long_rolling"](spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce " in plan  # between the arrays of groups of windows and the rows
