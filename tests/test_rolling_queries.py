@@ -133,3 +133,23 @@ def test_places_from_steps_equal_counted_ones(spark, monkeypatch):
 def test_samples_are_made_of_few_windows_at_a_time(spark, arrays):
     plan = queries.QUERIES["window_samples_long_rolling"](spark, "")._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce " in plan  # between the arrays of groups of windows and the rows
+
+
+def test_rolling_vol_is_laid_out_once_but_for_first_rows():
+    from barlane.operators.blocks import Block, pieces
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 16, 37):
+        block = Block(0, 0, np.arange(n), 60, rng.uniform(1, 9, n + 59), np.ones(n + 59))
+        queries.basic.on_block(block)
+        for name in ("log_ret", "rolling_vol", "close"):
+            column = block.columns[name].mapped(lambda x: x * 2)
+            laid = column.laid(block.starts, 60, 1)
+            assert len(laid[0]) == n + 59
+            values, offsets, leads = pieces(laid, n, 60, 16)
+            _, by, heads, wide = laid
+            for w, want in enumerate(column.dense(block.starts, 60)):
+                piece, at = values[offsets[w // 16] : offsets[w // 16 + 1]], w % 16
+                own = leads[w // 16] + (at * wide if len(heads) == n else 0)
+                got = np.append(piece[own : own + wide], piece[at * by + wide : at * by + 60])
+                np.testing.assert_array_equal(got, want)
